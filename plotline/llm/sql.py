@@ -94,12 +94,12 @@ b AS (SELECT DISTINCT text FROM d),
 k AS ({" UNION ALL ".join(kinds)}),
 s AS (
   SELECT text, ord, kind, least, vals[j] AS val, length(hits[j]) AS n,
-    coalesce(list_sum(list_transform(gaps[1:j], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hits[1:j-1], lambda g: length(g))), 0) AS at
+    coalesce(list_sum(list_transform(gaps[1:j], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hits[1:j-1], lambda g: length(g))), 0) AS st
   FROM k, unnest(range(1, len(hits) + 1)) AS t(j)),
-f AS (SELECT text, ord, kind, CAST(at AS BIGINT) AS at, CAST(at + n AS BIGINT) AS til FROM s WHERE length(val) >= least),
+f AS (SELECT text, ord, kind, CAST(st AS BIGINT) AS st, CAST(st + n AS BIGINT) AS til FROM s WHERE length(val) >= least),
 g AS (
   SELECT text, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-    string_agg(kind || ':' || at || ':' || til, ',' ORDER BY at, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || at || ':' || til, ',' ORDER BY at, ord) AS spans
+    string_agg(kind || ':' || st || ':' || til, ',' ORDER BY st, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || st || ':' || til, ',' ORDER BY st, ord) AS spans
   FROM f GROUP BY text)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
