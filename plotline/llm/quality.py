@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from plotline.llm.shared import labelled_sample
 from plotline.session import ship
 
 #: At most so many labelled documents, of at most so many characters each, are trained on.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
 MIN_DOCS = 3
 MAX_GRAMS = 100_000
@@ -79,14 +80,20 @@ def dual_descent(cols: list[np.ndarray], vals: list[np.ndarray], y: np.ndarray,
 
 def train(rows: list[tuple]) -> MarginModel:
     """Fit on (doc_id, text, label) rows; without both classes every score is that class's."""
-    bags = [grams(text) for _, text, _ in rows]
     y = np.array([1.0 if label == 1 else -1.0 for *_, label in rows])
     if not len(y) or y.min() == y.max():
         return MarginModel({}, 0.0, 0.0, 0.0 if not len(y) else 6.0 * y[0])
-    seen = Counter(g for bag in bags for g in bag)
+    # grams whose hash is rare are rare themselves; only the others are counted one by one
+    hashed = np.zeros(1 << 22, np.int32)
+    for _, text, _ in rows:
+        hashed[np.unique([zlib.crc32(g.encode()) & (len(hashed) - 1) for g in grams(text)] or [0])] += 1
+    seen: Counter = Counter()
+    for _, text, _ in rows:
+        seen.update(g for g in grams(text) if hashed[zlib.crc32(g.encode()) & (len(hashed) - 1)] >= MIN_DOCS)
     kept = sorted((g for g, n in seen.items() if n >= MIN_DOCS), key=lambda g: (-seen[g], g))[:MAX_GRAMS]
+    del seen, hashed
     index = {g: i for i, g in enumerate(kept)}
-    cols = [np.array(sorted(index[g] for g in bag if g in index), np.int64) for bag in bags]
+    cols = [np.array(sorted(index[g] for g in grams(text) if g in index), np.int32) for _, text, _ in rows]
     counts = {s: np.full(len(kept), SMOOTHING) for s in (-1.0, 1.0)}
     for c, s in zip(cols, y):
         counts[s][c] += 1
