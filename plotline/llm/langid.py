@@ -20,7 +20,7 @@ from plotline.llm.shared import fold
 from plotline.session import ship
 
 #: At most so many documents, of at most so many characters each, are trained on.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 20_000
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -67,14 +67,15 @@ def train(rows: list[tuple]) -> LanguageModel:
     size, k = 1 << BITS, max(1, len(langs))
     if len(langs) < 2:
         return LanguageModel(langs, np.zeros((size, k), np.float32), np.zeros(k), 1.0)
-    bags = [np.unique(gram_ids(text), return_counts=True) for _, text, _ in rows]
+    bags = [(ids.astype(np.int32), n.astype(np.float32)) for ids, n in (np.unique(gram_ids(text), return_counts=True) for _, text, _ in rows)]
     y = np.array([langs.index(r[2]) for r in rows])
     seen = np.zeros(size)
     for ids, _ in bags:
         seen[ids] += 1
     idf = np.log((1 + len(rows)) / (1 + seen)) + 1
     # the bias is a feature of its own, index size
-    feats = [(np.append(ids, size), np.append(n / n.sum() * idf[ids], 1.0)) for ids, n in bags]
+    feats = [(np.append(ids, np.int32(size)), np.append(n / n.sum() * idf[ids], 1.0).astype(np.float32)) for ids, n in bags]
+    del bags
     order = np.random.default_rng(11).permutation(len(rows))
     fit = order[len(order) // CALIBRATION :] if len(order) >= 50 else order
     held = order[: len(order) // CALIBRATION] if len(order) >= 50 else order
