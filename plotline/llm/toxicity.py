@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ from plotline.llm.shared import labelled_sample
 from plotline.session import ship
 
 #: At most so many labelled documents, of at most so many characters each, are trained on.
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 20_000
 #: Words in fewer training documents are no features; at most so many features are kept.
 MIN_DOCS = 4
@@ -62,26 +63,25 @@ class SentenceModel:
 
 def train(rows: list[tuple]) -> SentenceModel:
     """Fit on (doc_id, text, label) rows; without both classes the score is the base rate's."""
-    bags, labels = [], []
-    for _, text, y in rows:
-        bags.append([set(_WORD.findall(s)) for s in _SENTENCE.findall(text.lower())] or [set()])
-        labels.append(float(y == 1))
-    y = np.array(labels)
+    y = np.array([float(label == 1) for *_, label in rows])
     if not len(y) or y.min() == y.max():
         return SentenceModel({}, -20.0 if not len(y) or y.max() == 0 else 20.0)
-    seen = Counter(w for bag in bags for w in set().union(*bag))
+    seen: Counter = Counter()
+    for _, text, _ in rows:
+        seen.update(set(_WORD.findall(text.lower())))
     words = sorted((w for w, n in seen.items() if n >= MIN_DOCS), key=lambda w: (-seen[w], w))[:MAX_WORDS]
     index = {w: i for i, w in enumerate(words)}
-    cols, sent_of, doc_of = [], [], []
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            s = len(doc_of)
+    del seen
+    # flat arrays from the start: sets of words for each sentence would not fit a small driver
+    cols, sizes, doc_of = array("i"), array("i"), array("i")
+    for d, (_, text, _) in enumerate(rows):
+        for sentence in _SENTENCE.findall(text.lower()) or [""]:
+            known = sorted({index[w] for w in _WORD.findall(sentence) if w in index})
+            cols.extend(known)
+            sizes.append(len(known))
             doc_of.append(d)
-            for w in sentence:
-                if (i := index.get(w)) is not None:
-                    cols.append(i)
-                    sent_of.append(s)
-    cols, sent_of, doc_of = np.array(cols, np.int64), np.array(sent_of, np.int64), np.array(doc_of, np.int64)
+    cols, doc_of = np.array(cols, np.int32), np.array(doc_of, np.int32)
+    sent_of = np.repeat(np.arange(len(doc_of), dtype=np.int32), np.array(sizes, np.int32))
     w, b = np.zeros(len(words)), -6.0
     # rare words of offending documents only start the search; the likelihood decides
     positive = np.bincount(cols, weights=y[doc_of[sent_of]], minlength=len(words))
