@@ -6,7 +6,7 @@ missing one; missing streets and units normalise to the empty string.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Street words and their long forms.
@@ -51,10 +51,20 @@ def normalize_unit(unit: Column) -> Column:
     """Lower case without the unit words, each taken off once at most, in their order."""
     out = F.lower(F.trim(unit))
     for prefix in UNIT_PREFIXES:
-        out = F.when(F.startswith(out, F.lit(prefix)), F.trim(F.substr(out, F.lit(len(prefix) + 1)))).otherwise(out)
+        out = F.regexp_replace(out, unit_pattern(prefix), "")
     return F.coalesce(out, F.lit(""))
 
 
+def unit_pattern(prefix: str) -> str:
+    return "^" + prefix.strip().replace(".", "[.]") + (" +" if prefix.endswith(" ") else " *")
+
+
+def with_normal(df: DataFrame, prefix: str = "") -> DataFrame:
+    """The normalised parts as columns nn, ns and nu, so that pairs need not work them out again."""
+    number, street, unit = (F.col(prefix + c) for c in ("number", "street", "unit"))
+    return df.withColumns({f"{prefix}nn": normalize_housenumber(number), f"{prefix}ns": normalize_street(street), f"{prefix}nu": normalize_unit(unit)})
+
+
 def address_key(number: Column, street: Column, unit: Column | None = None) -> Column:
     """The normalised address; without ``unit``, the key of its house number and street."""
     parts = [normalize_housenumber(number), normalize_street(street)]
@@ -87,12 +97,11 @@ def fill_tags(ours: Column, theirs: Column) -> Column:
 def compare(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """How the address ``b``, already there, matches ``a``: one of KINDS, or null.
 
-    Both are given as columns number, street, unit, place and exact (see ``exact_key``).
-    Two missing streets, or units, are equal.
+    Both are given as columns street, place, exact (see ``exact_key``) and the normalised
+    nn, ns and nu (see ``with_normal``). Two missing streets, or units, are equal.
     """
-    number_a, number_b = normalize_housenumber(a["number"]), normalize_housenumber(b["number"])
-    street_a, street_b = normalize_street(a["street"]), normalize_street(b["street"])
-    same_unit = normalize_unit(a["unit"]) == normalize_unit(b["unit"])
+    number_a, number_b, street_a, street_b = a["nn"], b["nn"], a["ns"], b["ns"]
+    same_unit = a["nu"] == b["nu"]
     bare = blank(b["street"]) & blank(b["place"]) & ~(blank(a["street"]) & blank(a["place"]))
     same_street = (street_a == street_b) | (street_a == "") | (street_b == "")
     verbatim = F.lower(F.coalesce(F.trim(a["street"]), F.lit("null"))) == F.lower(F.coalesce(F.trim(b["street"]), F.lit("null")))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -41,3 +42,37 @@ def ship(spark: SparkSession) -> None:
                     out.write(path, os.path.join("plotline", os.path.relpath(path, root)))
     context.addPyFile(target)
     _shipped.add(context.applicationId)
+
+
+_own_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share; a temporary one only where the session names none."""
+    global _own_folder
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="plotline-")
+    return _own_folder
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends here, the plan
+    above it is small, and the rows outlive the executors that made them."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/plotline/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``written`` stored, once nothing reads it any more."""
+    path = getattr(df, "written_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
