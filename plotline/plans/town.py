@@ -162,6 +162,6 @@ existing0 AS (
 existing AS (SELECT *, CAST(NULL AS VARCHAR) AS e_place, {_exact_sql("e_").replace("'e_", "'")} AS e_exact FROM existing0),
 roads AS (
   SELECT r AS road_id, {_list(BASES)}[r % 7 + 1] || ' ' || CASE WHEN r % 3 = 0 THEN {_list(a for a, _ in TYPES)}[r % 5 + 1] ELSE {_list(b for _, b in TYPES)}[r % 5 + 1] END AS name,
-    -10.0::DOUBLE AS ax, r * 30 - 15.0::DOUBLE AS ay, 790.0::DOUBLE AS bx, r * 30 - 15.0::DOUBLE AS by
+    -10.0::DOUBLE AS ax, r * 30 - 15.0::DOUBLE AS ay, 790.0::DOUBLE AS bx, r * 30 - 15.0::DOUBLE AS b_y
   FROM (SELECT DISTINCT c_custkey // 40 AS r FROM customer))
 """
