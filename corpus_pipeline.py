@@ -12,7 +12,8 @@ from plotline.llm.shared import table, written
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is in ``ids`` (_keep), null ids being an id too."""
-    return docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    ids = ids.distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_keep"]), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,18 +45,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = scans.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     found = found.dropDuplicates(["_id", "_blob"])
     blob = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (blob == F.col("_blob")), "left")
-    text = F.when(F.col("_spans").isNotNull(), secrets.redacted(docs["text"], F.col("_spans"))).otherwise(docs["text"])
-    joined = joined.withColumn("_redacted", text)
-    columns = []
-    for name in docs.columns:
-        if name == "text":
-            columns.append(F.col("_redacted").alias("text"))
-        elif name == "n_chars":
-            columns.append(F.when(F.col("_spans").isNotNull(), F.length("_redacted").cast("long")).otherwise(docs["n_chars"]).alias("n_chars"))
-        else:
-            columns.append(docs[name])
-    return joined.select(*columns)
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (blob == found["_blob"]), "left")
+    spans = found["_spans"]
+    text = F.when(spans.isNotNull(), secrets.redacted(docs["text"], spans)).otherwise(docs["text"])
+    changed = {"text": text, "n_chars": F.when(spans.isNotNull(), F.length(text).cast("long")).otherwise(docs["n_chars"])}
+    return joined.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +59,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixed.select(F.col("doc_id").alias("_keep"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("long").alias("_copies"))
     mixed = mixed.dropDuplicates(["_keep"])
     own = [docs[c] for c in docs.columns if c not in ("size", "copies")]
-    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(F.col("_keep")))
-    return joined.select(*own, F.col("_size").alias("size"), F.col("_copies").alias("copies"))
+    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_keep"]))
+    return joined.select(*own, mixed["_size"].alias("size"), mixed["_copies"].alias("copies"))
 
 
 STAGES = [

@@ -2,50 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folder: str | None = None
+from plotline.session import forget, shared_folder, written
 
+__all__ = ["fold", "forget", "held_out", "labelled_sample", "shared_folder", "table", "written"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
-    global _own_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="plotline-")
-    return _own_folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here, and the
-    rows outlive the executors that made them."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/plotline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path  # type: ignore[attr-defined]
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete what ``written`` stored, once nothing reads it any more."""
-    path = getattr(df, "written_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; null for a null id."""
     return F.crc32(doc_id.cast("string")) % 4
