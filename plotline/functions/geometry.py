@@ -180,8 +180,7 @@ def hilbert_tile(zoom: int, x: Column, y: Column) -> Column:
     d, px, py = F.lit(base).cast("long"), x.cast("long"), y.cast("long")
     state = F.struct(d.alias("d"), px.alias("x"), py.alias("y"))
 
-    def step(acc: Column, level: Column) -> Column:
-        s = F.shiftleft(F.lit(1).cast("long"), level)
+    def step(acc: Column, s: Column) -> Column:
         rx = F.when(acc["x"].bitwiseAND(s) > 0, 1).otherwise(0)
         ry = F.when(acc["y"].bitwiseAND(s) > 0, 1).otherwise(0)
         more = s * s * (3 * rx).bitwiseXOR(ry)
@@ -191,4 +190,5 @@ def hilbert_tile(zoom: int, x: Column, y: Column) -> Column:
 
     if zoom == 0:
         return d
-    return F.aggregate(F.sequence(F.lit(zoom - 1), F.lit(0), F.lit(-1)), state, step, lambda acc: acc["d"])
+    halves = F.array(*[F.lit(1 << level).cast("long") for level in range(zoom - 1, -1, -1)])
+    return F.aggregate(halves, state, step, lambda acc: acc["d"])
