@@ -1,4 +1,4 @@
-"""Places for address nodes inside a building's footprint."""
+"""Places for address nodes inside a building's footprint, or beside a building mapped as a node."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ KEEP_APART = 0.5
 PLACE_APART = 2.0
 STEP = 3.0
 RINGS = 39
+STAND_IN = 6.0
+BESIDE_RINGS = 3
 
 
 def place_inside(points: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
@@ -54,3 +56,40 @@ def placed(nodes: DataFrame) -> DataFrame:
         return pd.DataFrame({"id": group["id"].to_numpy(), "bid": group["bid"].to_numpy(), "px": [p[0] for p in spots], "py": [p[1] for p in spots]})
 
     return nodes.groupBy("bid").applyInPandas(run, "id long, bid long, px double, py double")
+
+
+def place_beside(points: list[tuple[float, float]], node: tuple[float, float]) -> list[tuple[float, float]]:
+    """For each point in turn a place near a building's node: its own if it is within the
+    node's stand-in circle and clear of the node and of those placed, else the first clear
+    spot in eight directions on rings round the node, else one ring's width east of it."""
+    taken = [node]
+    clear = lambda p, d: all(math.dist(p, t) >= d for t in taken)
+
+    def spot(p: tuple[float, float]) -> tuple[float, float]:
+        if math.dist(p, node) < STAND_IN and clear(p, KEEP_APART):
+            return p
+        for ring in range(1, BESIDE_RINGS + 1):
+            for eighth in range(8):
+                turn = eighth * math.pi / 4
+                q = (node[0] + ring * PLACE_APART * math.cos(turn), node[1] + ring * PLACE_APART * math.sin(turn))
+                if clear(q, PLACE_APART):
+                    return q
+        return node[0] + PLACE_APART, node[1]
+
+    for p in points:
+        taken.append(spot(p))
+    return taken[1:]
+
+
+def placed_beside(addresses: DataFrame) -> DataFrame:
+    """Places (id, node_id, px, py) of addresses (id, node_id, x, y, mx, my), a node's
+    addresses being one group, in id order."""
+    ship(addresses.sparkSession)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        r = group.iloc[0]
+        spots = place_beside(list(zip(group["x"], group["y"])), (r.mx, r.my))
+        return pd.DataFrame({"id": group["id"].to_numpy(), "node_id": group["node_id"].to_numpy(), "px": [p[0] for p in spots], "py": [p[1] for p in spots]})
+
+    return addresses.groupBy("node_id").applyInPandas(run, "id long, node_id long, px double, py double")
