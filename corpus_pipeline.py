@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline.llm import decontaminate, mixing, secrets, simhash, toxicity
@@ -16,6 +16,17 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_keep"]), "left_semi")
 
 
+def _blob(docs: DataFrame) -> Column:
+    """The hash of a row's text, null as if empty. With the id it names a row: ids may be
+    null or repeated with other texts."""
+    return F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+
+
+def _order(docs: DataFrame) -> Column:
+    """An order of rows with equal id and text, so that reruns agree; maps have none."""
+    return F.struct(F.col("text").isNull().alias("bare"), *[c for c, kind in docs.dtypes if c != "text" and "map<" not in kind])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model accepts, in the columns they came in. Rows that
     share an id go only if all of them are rejected."""
@@ -25,11 +36,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id. Of rows that repeat
-    an id one stays; rows without an id stay only where no row of the component has one."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"))
-    return _chosen(docs, kept).dropDuplicates(["doc_id"])
+    """One document of each component: the one with the smallest id, and of rows with that
+    id the one with the smallest text hash. A row without an id stays only where no row of
+    the component has one. Of rows that repeat id and text one stays, by the other columns."""
+    lacks = F.when(docs["doc_id"].isNull(), True)  # null, which comes first, where there is an id
+    keyed = docs.withColumn("_row", F.struct(lacks.alias("lacks"), docs["doc_id"].alias("id"), _blob(docs).alias("blob")))
+    found = simhash.near_duplicates(keyed, id_col="_row")
+    kept = found.where(F.col("_row") == F.col("component_id")).select(F.col("_row").alias("_kept")).distinct()
+    rows = keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi")
+    return rows.groupBy("_row").agg(F.min_by(F.struct(*docs.columns), _order(docs)).alias("_one")).select("_one.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

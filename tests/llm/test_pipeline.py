@@ -52,3 +52,22 @@ def test_mix_and_run(spark, tiny, docs):
     assert result.count() > 50 and result.groupBy("doc_id").count().where("count > 1").count() == 0
     assert [n for n, _ in C.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "source_mixing"]
     assert C.mix(spark, docs.limit(0), tiny).count() == 0
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def texts(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=str)
+
+
+WORDS = {k: " ".join(f"{k}{i * i}" for i in range(40)) for k in ("ant", "bee", "cow", "dog", "elk")}
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark, tiny):
+    w = WORDS
+    rows = [(None, w["ant"], "a"), (None, w["bee"], "a"), (None, w["bee"], "b"), (None, w["cow"], "a"), (5, w["cow"], "a"), (7, w["dog"], "a"), (7, w["elk"], "a"), (7, w["elk"], "a"), (8, w["elk"].upper(), "a")]
+    out = C.drop_near_duplicates(spark, rows_of(spark, rows), tiny)
+    assert texts(out) == sorted([(None, w["ant"]), (None, w["bee"]), (5, w["cow"]), (7, w["dog"]), (7, w["elk"])], key=str)
+    assert [r["source"] for r in out.where(out["text"] == w["bee"]).collect()] == ["a"]
