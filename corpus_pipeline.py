@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotline.llm import decontaminate, mixing, secrets, simhash, toxicity
@@ -10,12 +10,6 @@ from plotline.llm.queries import TOXIC_FROM
 from plotline.llm.shared import table, written
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (_keep), null ids being an id too."""
-    ids = ids.distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_keep"]), "left_semi")
-
-
 def _blob(docs: DataFrame) -> Column:
     """The hash of a row's text, null as if empty. With the id it names a row: ids may be
     null or repeated with other texts."""
@@ -27,12 +21,19 @@ def _order(docs: DataFrame) -> Column:
     return F.struct(F.col("text").isNull().alias("bare"), *[c for c, kind in docs.dtypes if c != "text" and "map<" not in kind])
 
 
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` but for the texts whose hash is in ``rejected`` (_row), for decisions that
+    follow from the text alone."""
+    rejected = rejected.select(F.col("_row").alias("_rejected")).distinct()
+    return docs.join(rejected, _blob(docs) == rejected["_rejected"], "left_anti")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model accepts, in the columns they came in. Rows that
-    share an id go only if all of them are rejected."""
+    """Documents that the toxicity model accepts, in the columns they came in; each row is
+    judged by its own text."""
     model = toxicity.fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scores = toxicity.score_toxicity(docs, model)
-    return _chosen(docs, scores.where(F.col("score") < TOXIC_FROM).select(F.col("doc_id").alias("_keep")))
+    scores = toxicity.score_toxicity(docs.select(_blob(docs).alias("_row"), "text"), model, id_col="_row")
+    return _without(docs, scores.where(F.col("score") >= TOXIC_FROM))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +49,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _chosen(docs, found.where(~F.col("contaminated")).select(F.col("doc_id").alias("_keep")))
+    """Documents that are not contaminated by the benchmark, each row by its own text."""
+    found = decontaminate.decontaminate(docs.select(_blob(docs).alias("_row"), "text"), table(spark, sf_dir, "benchmark"), id_col="_row")
+    return _without(docs, found.where("contaminated"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +60,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     # rows of one id are told apart by their blobs; those without a finding stay as they are
     found = scans.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     found = found.dropDuplicates(["_id", "_blob"])
-    blob = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (blob == found["_blob"]), "left")
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (_blob(docs) == found["_blob"]), "left")
     spans = found["_spans"]
     text = F.when(spans.isNotNull(), secrets.redacted(docs["text"], spans)).otherwise(docs["text"])
     changed = {"text": text, "n_chars": F.when(spans.isNotNull(), F.length(text).cast("long")).otherwise(docs["n_chars"])}
@@ -69,13 +69,20 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with ``size`` in words and ``copies``, how often
-    each is taken."""
-    mixed = mixing.mix_sources(docs).where("taken > 0")
-    mixed = mixed.select(F.col("doc_id").alias("_keep"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("long").alias("_copies"))
-    mixed = mixed.dropDuplicates(["_keep"])
-    own = [docs[c] for c in docs.columns if c not in ("size", "copies")]
-    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_keep"]))
-    return joined.select(*own, mixed["_size"].alias("size"), mixed["_copies"].alias("copies"))
+    each is taken. Rows of equal id, source and text are taken as often as the mix takes
+    of such rows, the first ones by the other columns where it does not take all alike."""
+    mixed = mixing.mix_rows(docs).where("size > 0")
+    times = F.col("taken") / F.col("size")
+    laps = range(1, mixing.PASSES + 1)
+    rows_of = [F.sum(F.when(times >= lap, 1).otherwise(0)).alias(f"_rows{lap}") for lap in laps]
+    mixed = mixed.groupBy(F.struct(F.col("doc_id").alias("id"), F.col("_source").alias("source"), F.col("_tie").alias("tie")).alias("_taken")).agg(F.max("size").alias("_size"), *rows_of)
+    keyed = docs.withColumn("_row", F.struct(docs["doc_id"].alias("id"), docs["source"].alias("source"), F.xxhash64(docs["text"]).alias("tie")))
+    joined = keyed.join(mixed.where("_rows1 > 0"), F.col("_row") == F.col("_taken"))
+    place = F.row_number().over(Window.partitionBy("_row").orderBy(_order(docs)))
+    joined = joined.withColumn("_place", place)
+    copies = sum((F.when(F.col("_place") <= F.col(f"_rows{lap}"), 1).otherwise(0) for lap in laps), F.lit(0)).cast("long")
+    own = [c for c in docs.columns if c not in ("size", "copies")]
+    return joined.select(*own, F.col("_size").alias("size"), copies.alias("copies")).where("copies > 0")
 
 
 STAGES = [

@@ -142,6 +142,19 @@ def mix_sources(
     is a source of its own, the last. Null and empty texts have size 0 and add nothing.
     An empty table gives an empty result. Other columns are not read.
     """
+    return mix_rows(docs, id_col, text_col, source_col, weights, budget, passes).drop("_source", "_tie")
+
+
+def mix_rows(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple = WEIGHTS,
+    budget: float = BUDGET,
+    passes: int = PASSES,
+) -> DataFrame:
+    """``mix_sources`` with the source and the text's xxhash64 of each row (_source, _tie)."""
     sized = written(
         docs.select(
             F.col(id_col).alias("_id"),
@@ -182,4 +195,6 @@ def mix_sources(
         F.col("_target").alias("target"),
         F.when(F.col("_size") > 0, F.col("_size") * times).otherwise(0).cast("long").alias("taken"),
         finish(0).alias("first_finish"),
+        "_source",
+        "_tie",
     )

@@ -71,3 +71,30 @@ def test_near_duplicates_of_null_and_repeated_ids(spark, tiny):
     out = C.drop_near_duplicates(spark, rows_of(spark, rows), tiny)
     assert texts(out) == sorted([(None, w["ant"]), (None, w["bee"]), (5, w["cow"]), (7, w["dog"]), (7, w["elk"])], key=str)
     assert [r["source"] for r in out.where(out["text"] == w["bee"]).collect()] == ["a"]
+
+
+def test_rejections_of_null_and_repeated_ids(spark, tiny):
+    from plotline.llm import toxicity
+
+    model = toxicity.fit_toxicity(table(spark, tiny, "documents"), table(spark, tiny, "labels"))
+    bad = next(r["text"] for r in table(spark, tiny, "documents").collect() if model.document(r["text"], 1.0)[0] >= C.TOXIC_FROM)
+    item = max((r["text"] for r in table(spark, tiny, "benchmark").collect()), key=len)
+    for stage, text in ((C.drop_toxic, bad), (C.drop_contaminated, item)):
+        rows = [(None, text, "a"), (None, WORDS["ant"], "a"), (None, None, "a"), (3, text, "a"), (3, WORDS["ant"], "a"), (4, text, "b"), (5, WORDS["bee"], "a")]
+        out = stage(spark, rows_of(spark, rows), tiny)
+        assert texts(out) == sorted([(None, WORDS["ant"]), (None, None), (3, WORDS["ant"]), (5, WORDS["bee"])], key=str)
+
+
+def test_mix_of_null_and_repeated_ids(spark, tiny):
+    from collections import Counter
+
+    from plotline.llm import mixing
+
+    rows = [(i // 3 if i % 4 else None, f"{'w ' * (i % 5)}t{i % 11}", "abc"[i % 3]) for i in range(60)] + [(None, "same words here", "a")] * 20 + [(None, "", "a")]
+    docs = rows_of(spark, rows).withColumn("lang", F.lit("en")).cache()
+    want = Counter()
+    for r in mixing.mix_rows(docs).collect():
+        want[r["doc_id"], r["_source"], r["_tie"], r["size"], r["taken"]] += r["taken"] > 0
+    tie = F.xxhash64("text").alias("tie")
+    got = Counter((r["doc_id"], r["source"], r["tie"], r["size"], r["size"] * r["copies"]) for r in C.mix(spark, docs, tiny).select("*", tie).collect())
+    assert got == +want and len({k[4] // k[3] for k in got}) > 1 and sum(got.values()) < 80
