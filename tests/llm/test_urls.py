@@ -51,3 +51,36 @@ def test_propagation_against_brute_force(spark):
 
 def test_empty(spark):
     assert U.judge_urls(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def settled(hosts, edges, seed):
+    """Score of each host after very many rounds along ``edges`` (from, to)."""
+    p = {h: float(h == seed) for h in hosts}
+    for _ in range(400):
+        flow = {h: 0.0 for h in hosts}
+        for a, b in edges:
+            flow[b] += p[a] / sum(x == a for x, _ in edges)
+        moved = sum(flow.values())
+        p = {h: 0.85 * flow[h] + (h == seed) * (1 - 0.85 * moved) for h in hosts}
+    return p
+
+
+def test_a_long_chain_settles(spark):
+    hosts = ["bad.net"] + [f"h{i}.com" for i in range(1, 21)]
+    rows = [(i, f"http://{h}/", f'<a href="http://{hosts[i - 1]}/p">' if i else None) for i, h in enumerate(hosts)]
+    got = judged(spark, rows)
+    want = settled(hosts, [(hosts[i - 1], hosts[i]) for i in range(1, 21)], "bad.net")
+    assert all(abs(got[i]["distrust"] - want[h]) < 1e-5 for i, h in enumerate(hosts))
+    assert [got[i]["verdict"] for i in range(21)] == ["block" if i == 0 or 21 * want[h] > 0.2 else "allow" for i, h in enumerate(hosts)]
+    assert got[9]["verdict"] == "block"
+
+
+def test_links_to_hosts_without_pages_and_without_a_scheme(spark):
+    rows = [(1, "http://a.com/", '<a href="http://x.net/">'), (2, "http://b.com/", "<a href='//between.com/'>"), (3, "https://c.com/", "<a href=//a.com/ > <a href='/local//d.com/'>"), (4, "http://d.com/", '<a href="https://ok.org/fr/x">')]
+    got = judged(spark, rows + [(5, "http://between.org/", None)])
+    hosts = ["a.com", "b.com", "c.com", "d.com", "between.org", "x.net", "between.com", "ok.org"]
+    edges = [("a.com", "x.net"), ("b.com", "between.com"), ("c.com", "a.com"), ("d.com", "ok.org")]
+    want = settled(hosts, [(b, a) for a, b in edges], "x.net")
+    assert all(abs(got[i]["distrust"] - want[h]) < 1e-5 for i, h in enumerate(hosts[:4], 1))
+    assert [got[i]["verdict"] for i in range(1, 6)] == ["block", "allow", "block", "allow", "allow"]
+    assert set(got) == {1, 2, 3, 4, 5}
