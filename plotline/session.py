@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,16 +50,23 @@ def ship(spark: SparkSession) -> None:
 
 
 _own_folder: str | None = None
+#: What ``written`` has stored and nobody has deleted yet, for ``scratch``.
+_open_tables: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session that
+    names none gets a temporary one, deleted when Python ends; on a cluster executors
+    would each write to their own disk, so that there it is an error."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="plotline-")
+        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
     return _own_folder
 
 
@@ -64,6 +76,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/plotline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for tables in _open_tables[-1:]:
+        tables.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path  # type: ignore[attr-defined]
     return out
@@ -73,6 +87,21 @@ def forget(df: DataFrame) -> None:
     """Delete what ``written`` stored, once nothing reads it any more."""
     path = getattr(df, "written_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, what ``written`` stores meanwhile. The work must have been done
+    by then: what is to stay is written by other means, or by ``written`` outside."""
+    _open_tables.append([])
+    try:
+        yield
+    finally:
+        for path in _open_tables.pop():
+            delete(spark, path)
