@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A table's pseudo-rotation is three rounds of random signs and a fast Hadamard transform;
-a unit vector hashes to the signed axis nearest to its rotation. A query probes, in
-each table, the PROBES axes nearest to its own rotation, and all vectors found there
-are reranked by the exact inner product of the original vectors.
+A pseudo-rotation is three rounds of random signs and a fast Hadamard transform; a unit
+vector hashes to the signed axis nearest to its rotation. A table concatenates several
+such hashes, more of them the more vectors there are. A query's loss at a bucket is how
+much nearer its rotations are to their own axes than to the bucket's, added up over the
+hashes; it probes all buckets up to one loss, which is fitted on a bounded sample of
+queries whose true neighbours are known. What the probes find is reranked by the exact
+inner product of the original vectors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,16 +19,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.llm.shared import written
+from plotline.llm.shared import join_spread, written
 from plotline.session import ship
 
 TABLES = 4
-PROBES = 32
-#: Axes whose buckets are searched by one task, and vectors of one task at most, about.
-AXES = 16
+#: The loss is fitted so that this share of the sampled queries' neighbours is found.
+RECALL = 0.955
+SAMPLE_QUERIES = 96
+#: Vectors that a bucket has on average, if they lie evenly; sets the number of hashes.
+BUCKET_ROWS = 8
+#: Codes of the leading hashes in a table, by which vectors are dealt to tasks.
+MOST_CODES = 1 << 16
+#: Vectors, and queries, of one task at most, about.
 TASK_ROWS = 8000
-#: Queries multiplied with a task's vectors at once.
-QUERY_ROWS = 256
+TASK_QUERIES = 16000
+#: Candidates held at once in a task.
+HELD = 2_000_000
 SEED = 20
 
 
@@ -39,23 +49,50 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def axes(vectors: np.ndarray, tables: int, probes: int, seed: int = SEED) -> np.ndarray:
-    """For each table and vector the ``probes`` nearest signed axes, nearest first."""
-    rows, dim = vectors.shape
-    n = 1 << max(0, dim - 1).bit_length()
-    unit = np.zeros((rows, n))
-    # scaled first, so that neither very large nor very small components leave the range
-    unit[:, :dim] = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, n))
-    out = np.empty((tables, rows, min(probes, 2 * n)), np.int32)
-    for t in range(tables):
-        y = unit
-        for s in signs[t]:
-            y = hadamard(y * s)
-        both = np.concatenate([-y, y], axis=1)
-        out[t] = np.argsort(both, axis=1, kind="stable")[:, ::-1][:, : out.shape[2]]
-    return out
+class Hashes:
+    """``depth`` hashes in each of ``tables`` tables for vectors of ``dim`` components."""
+
+    def __init__(self, dim: int, tables: int, depth: int, seed: int = SEED):
+        self.dim, self.tables, self.depth = dim, tables, depth
+        self.n = 1 << max(0, dim - 1).bit_length()
+        #: Axes, with signs, and how many leading hashes make the code that deals out rows.
+        self.axes = 2 * self.n
+        self.lead = min(depth, 2 if self.axes * self.axes <= MOST_CODES else 1)
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, depth, 3, self.n))
+
+    def nearness(self, vectors: np.ndarray, table: int) -> list[np.ndarray]:
+        """For each hash of the table, the rows' coordinates on all signed axes."""
+        unit = np.zeros((len(vectors), self.n))
+        # scaled first, so that neither very large nor very small components leave the range
+        unit[:, : self.dim] = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        out = []
+        for signs in self.signs[table]:
+            y = unit
+            for s in signs:
+                y = hadamard(y * s)
+            out.append(np.concatenate([-y, y], axis=1))
+        return out
+
+    def losses(self, vectors: np.ndarray, table: int) -> list[np.ndarray]:
+        return [y.max(axis=1, keepdims=True) - y for y in self.nearness(vectors, table)]
+
+    def buckets(self, vectors: np.ndarray, table: int) -> np.ndarray:
+        """The rows' axes, one column for each hash."""
+        return np.column_stack([y.argmax(axis=1) for y in self.nearness(vectors, table)]).astype(np.int32)
+
+    def code(self, axes: np.ndarray) -> np.ndarray:
+        code = axes[:, 0].astype(np.int64)
+        for j in range(1, self.lead):
+            code = code * self.axes + axes[:, j]
+        return code
+
+    def lead_losses(self, losses: list[np.ndarray]) -> np.ndarray:
+        """Losses of a query at every code of the leading hashes."""
+        out = losses[0]
+        for j in range(1, self.lead):
+            out = (out[:, :, None] + losses[j][:, None, :]).reshape(len(out), -1)
+        return out
 
 
 def usable(vector: Column) -> Column:
@@ -77,96 +114,243 @@ def nearest(
     query_every: int = 20,
     k: int = 20,
     tables: int = TABLES,
-    probes: int = PROBES,
+    recall: float = RECALL,
     task_rows: int = TASK_ROWS,
+    task_queries: int = TASK_QUERIES,
 ) -> DataFrame:
     """Rows query_id, rank, vec_id, score: for each query (id divisible by ``query_every``)
     the ``k`` nearest vectors found, ties to the smaller id.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor
-    do those without an id or of another length than most (the longest of equally
-    common ones). Repeated ids count once, with the smallest vector. A query that finds
-    fewer than it could is searched again with every axis, that is exactly. An empty
-    table gives an empty result; other columns are not read. A bucket beyond
-    ``task_rows`` is divided among tasks, each of which has all of the bucket's queries.
+    do those without an id. Vectors of different lengths have no inner product: each
+    length is searched by itself. Repeated ids count once, with the smallest vector. A
+    query that finds fewer than there are is searched again without a bound on the loss,
+    that is exactly. An empty table gives an empty result; other columns are not read.
+
+    Equal vectors are one entry of the index, with their ``k`` + 1 smallest ids (no more
+    can be among a query's nearest), and one query, however many ids they have. Tasks
+    hold ``task_rows`` entries and ``task_queries`` queries: a bucket beyond that is
+    divided on both sides.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
     rows = rows.where(F.col("_id").isNotNull() & usable(F.col("_v"))).groupBy("_id").agg(F.min("_v").alias("_v"))
-    rows = written(rows, "vectors")
+    rows = written(rows.withColumn("_dim", F.size("_v")), "vectors")
+    out = rows.select(F.col("_id").alias("query_id"), F.lit(1).alias("rank"), F.col("_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     # one row for each length that occurs
-    common = rows.groupBy(F.size("_v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
-    if common is None:
-        return rows.select(F.col("_id").alias("query_id"), F.lit(1).alias("rank"), F.col("_id").alias("vec_id"), F.lit(0.0).alias("score"))
-    dim, total = common["dim"], common["n"]
-    rows = rows.where(F.size("_v") == dim)
-
-    def hashed(df: DataFrame, count: int) -> DataFrame:
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                found = axes(_matrix(batch.column(1), dim), tables, count)
-                for t in range(tables):
-                    lists = pa.ListArray.from_arrays(np.arange(0, found[t].size + 1, found.shape[2], dtype=np.int32), pa.array(found[t].ravel()))
-                    yield pa.record_batch([pa.array(np.full(batch.num_rows, t, np.int32)), lists, batch.column(0), batch.column(1)], ["_t", "_axes", "_id", "_v"])
-
-        return df.select("_id", "_v").mapInArrow(run, "_t int, _axes array<int>, _id bigint, _v array<double>")
-
-    base = hashed(rows, 1).select("_t", F.col("_axes")[0].alias("_axis"), (F.col("_axes")[0] / AXES).cast("int").alias("_g"), "_id", "_v")
-    base = written(base, "buckets")
-    # a row for each table and group of axes
-    parts = base.groupBy("_t", "_g").agg(F.ceil(F.count(F.lit(1)) / task_rows).cast("int").alias("_parts"))
-    parts = written(parts.select(F.col("_t").alias("_pt"), F.col("_g").alias("_pg"), "_parts"), "parts")
-    here = (F.col("_t") == F.col("_pt")) & (F.col("_g") == F.col("_pg"))
-    base = base.join(F.broadcast(parts), here).select("_t", "_g", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int").alias("_part"), "_axis", "_id", "_v")
-    queries = rows.where(F.col("_id") % query_every == 0)
-
-    def search(asked: DataFrame, count: int) -> DataFrame:
-        groups = F.array_distinct(F.transform("_axes", lambda a: (a / AXES).cast("int")))
-        probing = hashed(asked, count).select("_t", "_axes", "_id", "_v", F.explode(groups).alias("_g"))
-        probing = probing.withColumn("_axes", F.filter("_axes", lambda a: (a / AXES).cast("int") == F.col("_g")))
-        probing = probing.join(F.broadcast(parts), here).select("_t", "_g", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_axes", "_id", "_v")
-        keys = ["_t", "_g", "_part"]
-        found = base.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInArrow(lambda b, q: _rerank(b, q, dim, k), "query_id bigint, vec_id bigint, score double")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    found = written(search(queries, probes), "found")
-    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(k, total - 1))
-    short = queries.join(full, F.col("_id") == F.col("query_id"), "left_anti")
-    if total > 1 and short.take(1):
-        short = written(short, "short")
-        again = search(short, 1 << 30)
-        found = found.join(short.select(F.col("_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
-    return found.select("query_id", "rank", "vec_id", "score")
-
-
-def _rerank(base: pa.Table, queries: pa.Table, dim: int, k: int) -> pa.Table:
-    """The best k of a task's vectors for each of its queries, among probed axes only."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    for length in rows.groupBy("_dim").agg(F.count(F.lit(1)).alias("n")).orderBy("_dim").collect():
+        if length["n"] > 1:
+            same = rows.where(F.col("_dim") == length["_dim"]).drop("_dim")
+            out = out.unionByName(_nearest(same, length["_dim"], length["n"], query_every, k, tables, recall, task_rows, task_queries))
+    return out
+
+
+def depth_for(entries: int, dim: int) -> int:
+    """Hashes of a table: as many as make buckets of BUCKET_ROWS, and one more to sift with."""
+    axes = 2 << max(0, dim - 1).bit_length()
+    return 1 + max(1, math.ceil(math.log(max(2.0, entries / BUCKET_ROWS)) / math.log(axes)))
+
+
+def _nearest(rows: DataFrame, dim: int, total: int, every: int, k: int, tables: int, recall: float, task_rows: int, task_queries: int) -> DataFrame:
+    same = Window.partitionBy("_v").orderBy("_id")
+    first = rows.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1)
+    entries = written(first.groupBy("_v").agg(F.array_sort(F.collect_list("_id")).alias("_ids")), "entries")
+    queries = rows.where(F.col("_id") % every == 0)
+    asked = written(queries.groupBy("_v").agg(F.min("_id").alias("_q")), "asked")
+    hashes = Hashes(dim, tables, depth_for(entries.count(), dim))
+    base, sizes = _index(entries, hashes)
+
+    def search(wanted: DataFrame, loss: float) -> DataFrame:
+        found = _probe(base, sizes, wanted, hashes, loss, k + 1, task_rows, task_queries)
+        best = Window.partitionBy("_q").orderBy(F.desc("_score"), "_id")
+        found = found.dropDuplicates(["_q", "_id"]).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1)
+        hits = found.groupBy("_q").agg(F.array_sort(F.collect_list(F.struct("_n", "_id", "_score"))).alias("_hits"))
+        return wanted.join(hits, "_q").select("_v", "_q", "_hits")
+
+    hits = written(search(asked, fitted_loss(entries, asked, hashes, k, recall)), "hits")
+    full = F.size("_hits") >= min(k + 1, total)
+    short = written(hits.where(~full).select("_v", "_q"), "short")
+    if short.take(1):
+        hits = written(hits.where(full).unionByName(search(short, math.inf)), "all-hits")
+    answered = join_spread(queries, hits.select("_v", "_hits"), "_v", how="inner")
+    others = F.slice(F.filter("_hits", lambda h: h["_id"] != F.col("_id")), 1, k)
+    ranked = answered.select(F.col("_id").alias("query_id"), F.posexplode(others).alias("_p", "_h"))
+    return ranked.select("query_id", (F.col("_p") + 1).alias("rank"), F.col("_h._id").alias("vec_id"), F.col("_h._score").alias("score"))
+
+
+def _index(entries: DataFrame, hashes: Hashes) -> tuple[DataFrame, list[np.ndarray]]:
+    """Rows (_t, _code, _axes, _ids, _v) of every entry in every table, and the number of
+    entries at each code of each table: at most MOST_CODES numbers a table, or one for
+    each axis where there are more axes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = _matrix(batch.column(0), hashes.dim)
+            for t in range(hashes.tables):
+                axes = hashes.buckets(v, t)
+                lists = pa.ListArray.from_arrays(np.arange(0, axes.size + 1, axes.shape[1], dtype=np.int32), pa.array(axes.ravel()))
+                table = pa.array(np.full(len(v), t, np.int32))
+                yield pa.record_batch([table, pa.array(hashes.code(axes)), lists, batch.column(1), batch.column(0)], ["_t", "_code", "_axes", "_ids", "_v"])
+
+    base = entries.select("_v", "_ids").mapInArrow(run, "_t int, _code bigint, _axes array<int>, _ids array<bigint>, _v array<double>")
+    base = written(base, "index")
+    sizes = [np.zeros(hashes.axes**hashes.lead, np.int64) for _ in range(hashes.tables)]
+    for r in base.groupBy("_t", "_code").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["_t"]][r["_code"]] = r["n"]
+    return base, sizes
+
+
+def fitted_loss(entries: DataFrame, asked: DataFrame, hashes: Hashes, k: int, recall: float) -> float:
+    """The loss up to which buckets must be probed to find ``recall`` of the neighbours of
+    at most SAMPLE_QUERIES queries, told by comparing these with all entries, in blocks."""
+    sample = asked.orderBy(F.xxhash64("_q"), "_q").limit(SAMPLE_QUERIES).collect()
+    if not sample:
+        return 0.0
+    q = np.array([r["_v"] for r in sample])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = _matrix(batch.column(0), hashes.dim)
+            scores = q @ v.T
+            n = min(k + 1, len(v))
+            top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+            i = np.repeat(np.arange(len(q)), n)
+            yield pa.record_batch([pa.array(i), pa.array(scores[i, top.ravel()]), batch.column(0).take(pa.array(top.ravel()))], ["_i", "_score", "_v"])
+
+    near = entries.select("_v").mapInArrow(run, "_i bigint, _score double, _v array<double>")
+    best = Window.partitionBy("_i").orderBy(F.desc("_score"), "_v")
+    near = near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).select("_i", "_v").collect()  # the sample's neighbours
+    i, v = np.array([r["_i"] for r in near]), np.array([r["_v"] for r in near])
+    least = np.full(len(i), np.inf)
+    for t in range(hashes.tables):
+        axes, losses = hashes.buckets(v, t), hashes.losses(q, t)
+        least = np.minimum(least, sum(loss[i, axes[:, j]] for j, loss in enumerate(losses)))
+    apart = least[(v != q[i]).any(axis=1)]  # a query's own entry is found at no loss
+    return float(np.quantile(apart, min(1.0, recall), method="higher")) + 1e-9 if len(apart) else 0.0
+
+
+def dealt(sizes: np.ndarray, task_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each code, of consecutive codes with about ``task_rows`` entries, and
+    the parts that each group is divided into."""
+    group = np.maximum(np.cumsum(sizes) - 1, 0) // task_rows
+    # a code that is large by itself does not take its neighbours along
+    group = np.cumsum(np.r_[0, (np.diff(group) > 0) | (sizes[1:] > task_rows) | (sizes[:-1] > task_rows)])
+    rows = np.bincount(group, weights=sizes)
+    return group.astype(np.int32), np.maximum(1, np.ceil(rows / task_rows)).astype(np.int32)
+
+
+def _probe(base: DataFrame, sizes: list[np.ndarray], wanted: DataFrame, hashes: Hashes, loss: float, most: int, task_rows: int, task_queries: int) -> DataFrame:
+    """Rows (_q, _id, _score): for each query the best ``most`` of each task's candidates."""
+    groups, parts = zip(*[dealt(s, task_rows) for s in sizes])
+    width = max(len(p) for p in parts)
+    spark = base.sparkSession
+    sent = spark.sparkContext.broadcast((groups, parts))  # a number for each code
+
+    def to_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, parts = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                v = _matrix(piece.column(1), hashes.dim)
+                for t in range(hashes.tables):
+                    i, code = np.nonzero(hashes.lead_losses(hashes.losses(v, t)) <= loss)
+                    pair = np.unique(i * width + groups[t][code])
+                    i, g = pair // width, pair % width
+                    n = parts[t][g]
+                    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    i, g = np.repeat(i, n), np.repeat(g, n)
+                    at_i = pa.array(i)
+                    cols = [pa.array(np.full(len(i), t, np.int32)), pa.array(g.astype(np.int32)), pa.array(part.astype(np.int32)), piece.column(0).take(at_i), piece.column(1).take(at_i)]
+                    yield pa.record_batch(cols, ["_t", "_g", "_part", "_q", "_v"])
+
+    probing = written(wanted.select("_q", "_v").mapInArrow(to_groups, "_t int, _g int, _part int, _q bigint, _v array<double>"), "probing")
+    key = ["_t", "_g", "_part"]
+    # a row for each task; only those with more queries than one takes are divided again
+    crowded = probing.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / task_queries).cast("int").alias("_turns")).where("_turns > 1")
+    crowded = written(crowded, "crowded")
+
+    def to_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, parts = sent.value
+        for batch in batches:
+            t, code, spread = (np.asarray(batch.column(j)) for j in (0, 1, 5))
+            g = np.zeros(len(t), np.int32)
+            n = np.ones(len(t), np.int64)
+            for table in np.unique(t):
+                own = t == table
+                g[own] = groups[table][code[own]]
+                n[own] = parts[table][g[own]]
+            yield pa.record_batch([batch.column(0), pa.array(g), pa.array((spread % n).astype(np.int32)), *(batch.column(j) for j in (2, 3, 4))], ["_t", "_g", "_part", "_axes", "_ids", "_v"])
+
+    spread = F.pmod(F.xxhash64(F.col("_ids")[0]), F.lit(1 << 31))
+    placed = base.select("_t", "_code", "_axes", "_ids", "_v", spread.alias("_spread")).mapInArrow(to_parts, "_t int, _g int, _part int, _axes array<int>, _ids array<bigint>, _v array<double>")
+    turns = F.coalesce("_turns", F.lit(1))
+    placed = placed.join(crowded, key, "left").withColumn("_turn", F.explode(F.sequence(F.lit(0), turns - 1))).drop("_turns")
+    probing = probing.join(crowded, key, "left").withColumn("_turn", F.pmod(F.xxhash64("_q"), turns).cast("int")).drop("_turns")
+    task = [*key, "_turn"]
+    return placed.groupBy(*task).cogroup(probing.groupBy(*task)).applyInArrow(lambda b, q: _rerank(b, q, hashes, loss, most), "_q bigint, _id bigint, _score double")
+
+
+def _rerank(base: pa.Table, queries: pa.Table, hashes: Hashes, loss: float, most: int) -> pa.Table:
+    """The best of a task's entries for each of its queries, bucket by bucket: only queries
+    whose loss at a bucket is low enough are compared with what is in it."""
+    schema = pa.schema([("_q", pa.int64()), ("_id", pa.int64()), ("_score", pa.float64())])
     if not base.num_rows or not queries.num_rows:
         return schema.empty_table()
-    ids, b = np.asarray(base.column("_id")), _matrix(base.column("_v"), dim)
-    axis = np.asarray(base.column("_axis")) % AXES
-    asked, q = np.asarray(queries.column("_id")), _matrix(queries.column("_v"), dim)
-    lists = queries.column("_axes").combine_chunks()
-    probed = np.zeros((len(asked), AXES), bool)
-    probed[np.repeat(np.arange(len(asked)), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten()) % AXES] = True
-    out = []
-    for at in range(0, len(asked), QUERY_ROWS):
-        part = slice(at, at + QUERY_ROWS)
-        scores = q[part] @ b.T
-        scores[~probed[part][:, axis] | (asked[part][:, None] == ids[None, :])] = -np.inf
-        n = min(k, scores.shape[1])
-        least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
-        # the product's last digits depend on a row's place; those near the last are all summed anew
-        slack = 1e-9 * np.abs(np.where(np.isfinite(least), least, 0.0)) + 1e-12
-        i, j = np.nonzero((scores >= (least - slack)[:, None]) & (scores > -np.inf))
-        exact = np.concatenate([(q[part][i[c : c + 65536]] * b[j[c : c + 65536]]).sum(axis=1) for c in range(0, len(i), 65536)] or [np.zeros(0)])
-        order = np.lexsort((ids[j], -exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        first = np.searchsorted(i, i)
-        keep = np.arange(len(i)) - first < k
-        out.append(pa.table([pa.array(asked[part][i[keep]]), pa.array(ids[j[keep]]), pa.array(exact[keep])], schema=schema))
-    return pa.concat_tables(out)
+    b, q = _matrix(base.column("_v"), hashes.dim), _matrix(queries.column("_v"), hashes.dim)
+    axes = np.asarray(base.column("_axes").combine_chunks().flatten()).reshape(len(b), hashes.depth)
+    code = hashes.code(axes)
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+    losses = hashes.losses(q, base.column("_t")[0].as_py())
+    kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    new: list[tuple] = []
+    held = 0
+    for begin, end in zip(starts, np.r_[starts[1:], len(order)]):
+        there = order[begin:end]
+        spent = sum(losses[j][:, axes[there[0], j]] for j in range(hashes.lead))
+        near = np.flatnonzero(spent <= loss)
+        # as many queries at once as their candidates may be held of
+        step = max(1, HELD // len(there))
+        for at in range(0, len(near), step):
+            some = near[at : at + step]
+            total = np.broadcast_to(spent[some][:, None], (len(some), len(there)))
+            for j in range(hashes.lead, hashes.depth):
+                total = total + losses[j][np.ix_(some, axes[there, j])]
+            i, j = np.nonzero(total <= loss)
+            rows = np.flatnonzero(np.bincount(i, minlength=len(some)))
+            cols = np.flatnonzero(np.bincount(j, minlength=len(there)))
+            if not len(rows):
+                continue
+            scores = q[some[rows]] @ b[there[cols]].T
+            new.append((some[i], there[j], scores[np.searchsorted(rows, i), np.searchsorted(cols, j)]))
+            held += len(i)
+            if held >= HELD:
+                kept, new, held = _best([kept, *new], most), [], 0
+    i, j, _ = _best([kept, *new], most)
+    exact = np.concatenate([(q[i[c : c + 65536]] * b[j[c : c + 65536]]).sum(axis=1) for c in range(0, len(i), 65536)] or [np.zeros(0)])
+    ids = base.column("_ids").combine_chunks()
+    offsets, flat = np.asarray(ids.offsets).astype(np.int64), np.asarray(ids.values)
+    n = offsets[j + 1] - offsets[j]
+    where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[j], n)
+    i, exact, found = np.repeat(i, n), np.repeat(exact, n), flat[where]
+    by = np.lexsort((found, -exact, i))
+    i, exact, found = i[by], exact[by], found[by]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < most
+    asked = np.asarray(queries.column("_q"))
+    return pa.table([pa.array(asked[i[keep]]), pa.array(found[keep]), pa.array(exact[keep])], schema=schema)
+
+
+def _best(pieces: list, most: int) -> list[np.ndarray]:
+    """Of (query, entry, score) arrays those with a score near or above the query's
+    ``most``-th: a product's last digits depend on a row's place, so ties are all kept."""
+    i, j, s = (np.concatenate([p[c] for p in pieces]) for c in range(3))
+    order = np.lexsort((-s, i))
+    i, j, s = i[order], j[order], s[order]
+    first = np.searchsorted(i, i)
+    last = np.minimum(first + most, np.searchsorted(i, i, side="right")) - 1
+    keep = s >= s[last] - (1e-9 * np.abs(s[last]) + 1e-12)
+    return [i[keep], j[keep], s[keep]]

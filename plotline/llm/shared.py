@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotline.session import forget, shared_folder, written
 
-__all__ = ["fold", "forget", "held_out", "labelled_sample", "shared_folder", "table", "written"]
+__all__ = ["balanced_sample", "fold", "forget", "held_out", "join_spread", "labelled_sample", "shared_folder", "table", "written"]
+
+#: A key of more rows than this is hot; so there is at most one hot key for so many rows.
+HOT_ROWS = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,26 +27,60 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> list:
+def join_spread(rows: DataFrame, unique: DataFrame, key: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined to ``unique``, which has one row a key, null keys matching nothing.
+
+    Rows of hot keys stay where they are: their rows of ``unique``, at most one for each
+    ``hot_rows`` rows, are broadcast. The others are shuffled. ``rows`` is read three
+    times, so it should be a written table.
+    """
+    hot = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_many")).where(F.col("_many") > hot_rows).select("_hot")
+    hot = written(hot, "hot-keys")
+    if not hot.take(1):
+        return rows.join(unique, key, how)
+    theirs = unique.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_semi")
+    here = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_semi")
+    rest = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_anti")
+    return here.join(F.broadcast(theirs), key, how).unionByName(rest.join(unique, key, how))
+
+
+def _sampled(narrow: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> list:
+    """Rows (_id, _tie, _y, _text) for the (_id, _tie, _y) of ``narrow``, a bounded sample;
+    repeated rows count once."""
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tie"), F.col(text_col).alias("_text"))
+    found = texts.join(F.broadcast(narrow), ["_id", "_tie"]).groupBy("_id", "_tie", "_y").agg(F.first("_text").alias("_text"))
+    return sorted(((r["_id"], r["_text"], r["_y"]) for r in found.collect()), key=lambda r: (r[0], r[1]))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list:
     """At most ``rows`` labelled training documents, as (doc_id, text, label) rows.
 
-    The ids are drawn from the narrow label table in hash order, so that the choice is
-    random, repeatable and of bounded size; the texts are fetched by a broadcast of
-    those ids. Documents of more than ``chars`` characters are not trained on. Rows
-    with a null id, null label or null text, and the held-out fold, are never used.
+    Of all rows that have an id, a text and a label and are not held out, those with the
+    smallest hash of id and text are drawn: random, repeatable and of bounded size. A
+    document is one (id, text); an id whose label rows disagree has no label. Texts of
+    any length are taken whole.
+    """
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_y"))
+    known = known.where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & (fold(F.col("_id")) != 2))
+    known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_most")).where("_y = _most").drop("_most")
+    narrow = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2))
+    narrow = narrow.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie")).distinct()
+    drawn = narrow.join(known, "_id").orderBy(F.xxhash64("_id", "_tie"), "_id", "_tie").limit(rows)
+    return _sampled(written(drawn, "drawn"), docs, "doc_id", "text")
+
+
+def balanced_sample(docs: DataFrame, label: str, rows: int) -> list:
+    """At most ``rows`` training documents as (doc_id, text, label) rows, with as many of
+    each label as there are, up to an equal share; what rare ones leave goes to the others.
+
+    As ``labelled_sample``, but that the label is a column of ``docs``; rows of one id and
+    text whose labels disagree are not used.
     """
-    ids = (
-        labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_y"))
-        .where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & (fold(F.col("_id")) != 2))
-        .dropDuplicates(["_id"])
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(rows)
-    )
-    found = (
-        docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-        .where(F.col("_text").isNotNull() & (F.length("_text") <= chars))
-        .join(F.broadcast(ids), "_id")
-        .limit(rows)
-        .collect()
-    )
-    return sorted(((r["_id"], r["_text"], r["_y"]) for r in found), key=lambda r: (r[0], r[1]))
+    narrow = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id")) != 2))
+    narrow = narrow.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"), F.col(label).alias("_y"))
+    narrow = narrow.groupBy("_id", "_tie").agg(F.min("_y").alias("_y"), F.max("_y").alias("_most")).where("_y = _most").drop("_most")
+    order = (F.xxhash64("_id", "_tie"), F.col("_id"), F.col("_tie"))
+    # of each label no task passes on more than ``rows``
+    placed = narrow.withColumn("_n", F.row_number().over(Window.partitionBy("_y").orderBy(*order))).where(F.col("_n") <= rows)
+    drawn = placed.orderBy("_n", *order).limit(rows).drop("_n")
+    return _sampled(written(drawn, "drawn"), docs, "doc_id", "text")
