@@ -47,15 +47,43 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     first, rest = df.where("doc_id < 4"), df
-    count = lambda: spark.read.parquet(ledger).groupBy("rule_version").count().rdd.collectAsMap()
+    rows = lambda rules=S.RULES: S.read_ledger(spark, ledger, rules).count()
+    batches = lambda: sorted(spark.read.parquet(str(p)).count() for p in (tmp_path / "ledger" / S.version_of(S.RULES)).iterdir())
     result(first, ledger=ledger)
-    assert count() == {1: 3}  # null and empty share a blob
+    assert rows() == 3  # null and empty share a blob
     assert sorted(result(rest, ledger=ledger), key=str) == sorted(((i, brute(t)) for i, t in enumerate(TEXTS)), key=str)
-    assert count() == {1: len(set(t or "" for t in TEXTS))}
+    every = len(set(t or "" for t in TEXTS))
+    assert rows() == every and batches() == sorted([3, every - 3])
     result(rest, ledger=ledger)
-    assert count() == {1: len(set(t or "" for t in TEXTS))}
-    result(first, ledger=ledger, rule_version="2")
-    assert count() == {1: len(set(t or "" for t in TEXTS)), 2: 3}
+    assert rows() == every and batches() == sorted([0, 3, every - 3])
+
+
+def test_findings_of_other_rules_are_not_seen(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    df = spark.createDataFrame([(1, "key AKIA" + "Z" * 20)], "doc_id long, text string")
+    only_hex = S.BASE_RULES[2:]
+    assert [r["spans"] for r in S.scan_secrets(df, rules=only_hex, ledger=ledger).collect()] == [[]]
+    assert result(df, ledger=ledger) == [(1, brute("key AKIA" + "Z" * 20))]
+    assert S.version_of(only_hex) != S.version_of(S.RULES) != S.version_of(S.RULES[::-1])
+
+
+def test_repeated_and_unfinished_batches(spark, tmp_path):
+    import shutil
+
+    ledger = tmp_path / "ledger"
+    df = spark.createDataFrame([(1, TEXTS[2]), (None, TEXTS[2]), (None, TEXTS[2]), (2, None)], "doc_id long, text string")
+    want = sorted([(1, brute(TEXTS[2])), (None, brute(TEXTS[2])), (None, brute(TEXTS[2])), (2, brute(None))], key=str)
+    assert sorted(result(df, ledger=str(ledger)), key=str) == want
+    (batch,) = (ledger / S.version_of(S.RULES)).iterdir()
+    assert spark.read.parquet(str(batch)).count() == 2
+    shutil.copytree(batch, batch.parent / "again")  # as by a run at the same time
+    assert sorted(result(df, ledger=str(ledger)), key=str) == want
+    half = batch.parent / "half"
+    shutil.copytree(batch, half)
+    (half / "_SUCCESS").unlink()
+    for part in half.glob("part-*"):
+        part.write_bytes(b"torn")
+    assert sorted(result(df, ledger=str(ledger)), key=str) == want
 
 
 def test_added_kinds_and_redaction(spark):
