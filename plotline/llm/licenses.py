@@ -33,6 +33,8 @@ MORE_PHRASES = {
     "lesser general public license": "lgpl",
     "affero general public license": "agpl",
     "cc by nc": "cc-by-nc",
+    "cc by nc nd": "cc-by-nc-nd",
+    "cc by nc sa": "cc-by-nc-sa",
     "cc by nd": "cc-by-nd",
     "cc by sa": "cc-by-sa",
     "cc0": "cc0",
@@ -41,34 +43,40 @@ MORE_PHRASES = {
     "open database license": "odbl",
 }
 TAG_PHRASE = "spdx license identifier"
-TAG = re.compile(rb"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)")
+TAG = re.compile(rb"spdx-license-identifier[ \t]*:")
+_RUN = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 #: How freely a text under a licence may be used: 1 is unrestricted, 0 is not at all.
 LEVELS = {
     "cc0": 1.0, "public-domain": 1.0, "unlicense": 1.0,
     "mit": 0.9, "apache": 0.9, "bsd": 0.9, "isc": 0.9, "cc-by": 0.8, "creative-commons": 0.5,
     "mpl": 0.6, "epl": 0.6, "lgpl": 0.6, "cc-by-sa": 0.5, "odbl": 0.5,
-    "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.1, "cc-by-nd": 0.1, "reserved": 0.0,
+    "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.1, "cc-by-nd": 0.1, "cc-by-nc-nd": 0.1, "cc-by-nc-sa": 0.1, "reserved": 0.0,
 }
 UNKNOWN_LEVEL = 0.5
+#: Licences that are not in the public list, named by their authors.
+OWN_TERMS, OWN_LEVEL = "licenseref-", 0.1
 EXCEPTION_GAIN = 0.1
 
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
-_SYMBOL = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+_SYMBOL = re.compile(r"[()\r\n]|[A-Za-z0-9.+:-]+")
 _VERSION = re.compile(r"-(?:v?\d[\w.]*)?(?:-?(?:only|or-later|clause|deed))?\+?$|\+$")
 
 
-def to_postfix(expression: str) -> list[str]:
-    """Postfix form of the licence expression at the start of ``expression``.
+def to_postfix(text: str, start: int = 0) -> list[str]:
+    """Postfix form of the licence expression at ``start`` of ``text``.
 
-    Reading stops at the first symbol that cannot follow, as in prose after a tag.
-    A dangling operator is dropped; unbalanced parentheses raise ValueError.
+    Reading stops at the end of the line, or at the first symbol that cannot follow, as
+    in prose after a tag. A dangling operator is dropped; unbalanced parentheses raise
+    ValueError.
     """
     out: list[str] = []
     waiting: list[str] = []
     operand_next = True
-    for symbol in _SYMBOL.findall(expression):
-        word = symbol.lower()
+    for symbol in _SYMBOL.finditer(text, start):
+        word = symbol[0].lower()
+        if word in "\r\n":
+            break
         if operand_next:
             if word == "(":
                 waiting.append(word)
@@ -107,24 +115,30 @@ def family(identifier: str) -> str:
     return name
 
 
-def evaluate(expression: str) -> tuple[float, list[str]] | None:
-    """Level and licence labels of an expression; None if it holds no licence."""
+def level_of(label: str) -> float:
+    return LEVELS.get(label, OWN_LEVEL if label.startswith(OWN_TERMS) else UNKNOWN_LEVEL)
+
+
+def evaluate(text: str, start: int = 0) -> tuple[float, list[str]] | None:
+    """Level and licence labels, sorted, of the expression at ``start``; None if there is none."""
     try:
-        postfix = to_postfix(expression)
+        postfix = to_postfix(text, start)
     except ValueError:
         return None
-    stack: list[tuple[float, list[str]]] = []
+    stack: list[tuple[float, set[str]]] = []
     for symbol in postfix:
         if symbol not in _STRENGTH:
-            stack.append((LEVELS.get(family(symbol), UNKNOWN_LEVEL), [family(symbol)]))
+            stack.append((level_of(family(symbol)), {family(symbol)}))
             continue
         right, left = stack.pop(), stack.pop()
         if symbol == "with":
             stack.append((min(1.0, left[0] + EXCEPTION_GAIN), left[1]))
         else:
-            level = (max if symbol == "or" else min)(left[0], right[0])
-            stack.append((level, left[1] + right[1]))
-    return stack[0] if stack else None
+            # the smaller set goes into the larger, so that long expressions stay cheap
+            few, many = sorted((left[1], right[1]), key=len)
+            many |= few
+            stack.append(((max if symbol == "or" else min)(left[0], right[0]), many))
+    return (stack[0][0], sorted(stack[0][1])) if stack else None
 
 
 #: Every ASCII byte that is no digit or lower-case letter becomes a space.
@@ -153,21 +167,24 @@ class Scanner:
         lower = (text or b"").lower()
         words = lower.translate(_SPACED).split()
         row = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        findings, levels, seen, done, tagged = [], [], 0, 0, False
+        findings, levels, tags, seen, done = [], [], [], 0, 0
         for end, hits in self.automaton.iter(row):
             done += row.count(" ", seen, end + 1)
             seen = end + 1
             for kind, label, n in hits:
                 if kind == "tag":
-                    tagged = True
+                    tags.append(done - 1 - n)
                     continue
                 findings.append((kind, label, done - 1 - n, n))
-                levels.append(LEVELS.get(label, UNKNOWN_LEVEL))
-        for m in TAG.finditer(lower) if tagged else ():
-            if result := evaluate(m[1].decode("utf-8", "replace")):
-                at = len(lower[: m.start()].translate(_SPACED).split())
-                findings += [("tag", label, at, 3) for label in result[1]]
-                levels.append(result[0])
+                levels.append(level_of(label))
+        if tags:
+            starts = [m.start() for m in _RUN.finditer(lower)]  # of the words
+            plain = lower.decode("latin-1")  # a character for each byte
+            for at in tags:
+                tag = TAG.match(lower, starts[at])
+                if tag and (result := evaluate(plain, tag.end())):
+                    findings += [("tag", label, at, 3) for label in result[1]]
+                    levels.append(result[0])
         return len(words), findings, levels
 
 

@@ -57,3 +57,21 @@ def test_tag_in_text(spark):
     df = spark.createDataFrame([(1, "// SPDX-License-Identifier: (MIT OR GPL-2.0)\ncode")], "doc_id long, text string")
     r = report(df)[1]
     assert r["labels"] == "gpl,mit" and r["score"] == 0.9 and r["n_base"] == 0
+
+
+def test_many_tags_and_own_terms(spark):
+    import time
+
+    assert L.evaluate("CC-BY-NC-SA-4.0")[0] == L.evaluate("CC-BY-NC-ND-4.0")[0] == L.evaluate("LicenseRef-Proprietary")[0] == 0.1
+    text = "é x-spdx-license-identifier: no; " + " ".join(f"SPDX-License-Identifier: MIT OR L{i} AND SPDX-License-Identifier: (" for i in range(3000))
+    scanner = L.Scanner(L.BASE_PHRASES, L.MORE_PHRASES)
+    began = time.time()
+    n, found, _ = scanner.scan(text.encode())
+    assert time.time() - began < 2 and sum(f[1] == "mit" for f in found) == 3000
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    assert n == len(words) and all(words[at : at + 5] == ["spdx", "license", "identifier", "mit", "or"] for _, label, at, _ in found if label == "mit")
+    began = time.time()
+    level, labels = L.evaluate(" OR ".join(f"L{i}" for i in range(50_000)))
+    assert len(labels) == 50_000 and time.time() - began < 5
+    df = spark.createDataFrame([(1, "SPDX-License-Identifier:\nMIT"), (2, "spdx license identifier: MIT"), (3, "SPDX-License-Identifier : CC-BY-NC-SA-4.0")], "doc_id long, text string")
+    assert {i: r["labels"] for i, r in report(df).items()} == {1: "", 2: "", 3: "cc-by,cc-by-nc,cc-by-nc-sa"}
