@@ -20,8 +20,11 @@ K = 6
 WINDOW = 8
 #: Items of fewer than SPAN words are sought by their first words, at most so many.
 ANCHOR = 3
-#: Up to so many benchmark fingerprints (16 bytes each and item) are broadcast; beyond, both sides are shuffled.
+#: Up to so many benchmark fingerprints (16 bytes each and item) and bytes of item texts are broadcast;
+#: beyond, both sides are shuffled, and the benchmark's rows meet each document in one of SALTS tasks.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+SALTS = 32
 #: A document is contaminated if a twentieth of its words or more is hit.
 SHARE = 20
 
@@ -77,11 +80,25 @@ def _spread(df: DataFrame, col: str, window: int, pick) -> DataFrame:
     return df
 
 
-def fingerprints(df: DataFrame, keep: list[str], k: int = K, window: int = WINDOW) -> DataFrame:
-    """Rows (keep..., _pos, _hash) of the winnowed k-grams of the column ``_h1``.
+def _neighbours(kept: Column) -> Column:
+    """The array's values with the one before and the one after: structs h, b, a."""
+    none = F.array(F.lit(None).cast("bigint"))
+    pairs = F.zip_with(kept, F.slice(F.concat(none, kept), 1, F.greatest(F.size(kept), F.lit(1))), lambda h, b: F.struct(h.alias("h"), b.alias("b")))
+    after = F.concat(F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1))), none)
+    return F.zip_with(pairs, after, lambda p, a: F.struct(p["h"].alias("h"), p["b"].alias("b"), a.alias("a")))
+
+
+def winnowed(df: DataFrame, k: int, window: int, every: int | None) -> DataFrame:
+    """``_kept``: the k-grams of the column ``_h1``, null but for the winnowed ones.
 
     A k-gram is kept if it is the smallest of some window, which it is if it equals the
-    largest of the minima of the windows over it. Equal minima are all kept.
+    largest of the minima of the windows over it. Of equal minima in a row (one word
+    again and again) the first and the last are kept, and, unless
+    ``every`` is None, each that lies at a multiple of it. It is enough to thin the items
+    to both ends, and the documents to both ends and every ``window``-th: a shared window
+    that leaves the run has an end of the run in it, at the same place on both sides; one
+    wholly inside is found, from the places kept, by laying the item's run from its start
+    at each of them, as the item's run is longer than the steps.
     """
     df = _grams(df, k, "_h")
     df = _spread(df.withColumn("_low", F.col("_h")), "_low", window, F.least)
@@ -91,12 +108,27 @@ def fingerprints(df: DataFrame, keep: list[str], k: int = K, window: int = WINDO
     df = df.withColumn("_high", F.concat(pad, F.col("_low"), pad))
     df = _spread(df, "_high", window, F.greatest)
     df = df.withColumn("_kept", F.zip_with("_h", F.slice("_high", 1, F.greatest(F.size("_h"), F.lit(1))), lambda h, m: F.when(h == m, h)))
-    # the outer form, as a filter inferred below an inner one would repeat the whole chain of columns
-    return df.select(*keep, F.posexplode_outer("_kept").alias("_pos", "_hash")).where("_hash IS NOT NULL")
+    step = (lambda i: i % every == 0) if every else (lambda i: F.lit(False))
+    ends = lambda g, i: F.when(~g["h"].eqNullSafe(g["b"]) | ~g["h"].eqNullSafe(g["a"]) | step(i), g["h"])
+    return df.withColumn("_kept", F.transform(_neighbours(F.col("_kept")), ends))
+
 
+def fingerprints(df: DataFrame, keep: list[str], anchors: list[int], k: int = K, window: int = WINDOW, every: int | None = None) -> DataFrame:
+    """Rows (keep..., _k, _pos, _hash): the winnowed k-grams of the column ``_h1`` with _k
+    0, and, for each of ``anchors``, all grams of so many words with _k that number."""
+    df = winnowed(df, k, window, every)
 
-def _all_grams(df: DataFrame, keep: list[str], k: int) -> DataFrame:
-    return _grams(df, k, "_h").select(*keep, F.posexplode_outer("_h").alias("_pos", "_hash")).where("_hash IS NOT NULL")
+    def numbered(grams: str, n: int) -> Column:
+        return F.transform(grams, lambda h, i: F.struct(F.lit(n).alias("k"), i.alias("pos"), h.alias("hash")))
+
+    found = [numbered("_kept", 0)]
+    for n in anchors:
+        df = _grams(df, n, f"_a{n}")
+        found.append(numbered(f"_a{n}", n))
+    every_one = F.filter(F.concat(*found), lambda g: g["hash"].isNotNull())
+    # the outer form, as a filter inferred below an inner one would repeat the whole chain of columns
+    df = df.select(*keep, F.explode_outer(every_one).alias("_g")).where("_g IS NOT NULL")
+    return df.select(*keep, F.col("_g.k").alias("_k"), F.col("_g.pos").alias("_pos"), F.col("_g.hash").alias("_hash"))
 
 
 def find_occurrences(
@@ -108,6 +140,7 @@ def find_occurrences(
     item_text_col: str = "text",
     span: int = SPAN,
     broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Rows (_id, _tie, item_id, start, end): runs of document words, end exclusive, each
     word of which lies in an occurrence of one of the item's windows.
@@ -124,48 +157,43 @@ def find_occurrences(
     lengths = [r[0] for r in items.where(F.col("_size") < span).select(F.least("_size", F.lit(ANCHOR))).distinct().collect()]  # 3 at most
 
     hashed_items = _hashed(items, "_item")
-    wanted = fingerprints(hashed_items.where(F.col("_size") >= span), ["item_id", "_size"], K, span - K + 1).withColumn("_k", F.lit(0))
+    wanted = fingerprints(hashed_items.where(F.col("_size") >= span), ["item_id", "_size"], [], K, span - K + 1)
     for k in sorted(lengths):
         short = hashed_items.where((F.col("_size") < span) & (F.least("_size", F.lit(ANCHOR)) == k))
-        wanted = wanted.unionByName(_all_grams(short, ["item_id", "_size"], k).where("_pos = 0").withColumn("_k", F.lit(k)))
-    wanted = written(wanted.withColumnRenamed("_pos", "_at"), "wanted")
-    small = wanted.count() <= broadcast_rows
+        grams = _grams(short, k, "_first").select("item_id", "_size", F.lit(k).alias("_k"), F.lit(0).alias("_pos"), F.col("_first")[0].alias("_hash"))
+        wanted = wanted.unionByName(grams)
+    wanted = written(wanted.withColumnsRenamed({"_pos": "_at", "_hash": "_same", "_k": "_length"}), "wanted")
+    letters = F.aggregate("_item", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 16)
+    small = wanted.count() <= broadcast_rows and (items.agg(F.sum(letters)).first()[0] or 0) <= broadcast_bytes
+
+    def beside(side: DataFrame, left: DataFrame, spread: Column, on: Column) -> DataFrame:
+        """``left`` joined to rows of the benchmark: by a broadcast, or with hot keys salted."""
+        if small:
+            return left.join(F.broadcast(side), on)
+        salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        left = left.withColumn("_spread", F.pmod(spread, F.lit(SALTS)).cast("int"))
+        return left.join(salted, on & (F.col("_spread") == F.col("_salt"))).drop("_spread", "_salt")
 
     hashed = _hashed(rows.withColumn("_words", words_of(F.col("_text"))))
-    seeds = None
-    for k in [0, *sorted(lengths)]:
-        if k:
-            grams = _all_grams(hashed, ["_id", "_tie"], k)
-        else:
-            grams = fingerprints(hashed, ["_id", "_tie"], K, span - K + 1)
-        side = wanted.where(F.col("_k") == k).select(F.col("_hash").alias("_same"), "item_id", "_size", "_at")
-        hit = grams.join(F.broadcast(side) if small else side, F.col("_hash") == F.col("_same"))
-        hit = hit.select("_id", "_tie", "item_id", "_size", (F.col("_pos") - F.col("_at")).alias("_shift"))
-        seeds = hit if seeds is None else seeds.unionByName(hit)
-    per_doc = (
-        seeds.groupBy("_id", "_tie", "item_id", "_size", "_shift")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy(F.col("_id").alias("_seed_id"), F.col("_tie").alias("_seed_tie"))
-        .agg(F.collect_list(F.struct("item_id", "_size", "_shift")).alias("_seeds"))  # within one document
+    grams = fingerprints(hashed, ["_id", "_tie"], sorted(lengths), K, span - K + 1, every=span - K + 1)
+    hit = beside(wanted, grams, F.xxhash64("_id", "_tie"), (F.col("_hash") == F.col("_same")) & (F.col("_k") == F.col("_length")))
+    seeds = hit.select("_id", "_tie", "item_id", "_size", (F.col("_pos") - F.col("_at")).alias("_shift")).distinct()
+    per_doc = seeds.groupBy(F.col("_id").alias("_seed_id"), F.col("_tie").alias("_seed_tie")).agg(
+        F.collect_list(F.struct("item_id", "_size", "_shift")).alias("_seeds")  # three numbers for each seed of one document
     )
     per_doc = written(per_doc, "seeds")
 
-    # lay each item over its document: the document's words beside the item's, from where both have words
-    laid = rows.join(per_doc, F.col("_id").eqNullSafe(F.col("_seed_id")) & (F.col("_tie") == F.col("_seed_tie")))
-    laid = laid.withColumn("_words", words_of(F.col("_text"))).withColumn("_count", F.size("_words"))
-
-    def beside(seed: Column) -> Column:
-        begin = F.greatest(seed["_shift"], F.lit(0))
-        n = F.least(seed["_shift"] + seed["_size"], F.col("_count")) - begin
-        return F.struct(
-            seed["item_id"].alias("item_id"), seed["_size"].alias("size"), begin.alias("begin"), (begin - seed["_shift"]).alias("skip"),
-            F.slice("_words", begin + 1, F.greatest(n, F.lit(0))).alias("words"),
-        )
-
-    laid = laid.select("_id", "_tie", "_count", F.explode_outer(F.transform("_seeds", beside)).alias("_s"))
-    laid = laid.select("_id", "_tie", F.col("_s.item_id").alias("item_id"), "_s.size", "_s.begin", "_s.skip", "_s.words")
+    # lay each item over its document, one seed a row: the document's words beside the item's, from where both have words
+    laid = rows.distinct().join(per_doc, F.col("_id").eqNullSafe(F.col("_seed_id")) & (F.col("_tie") == F.col("_seed_tie")))
+    laid = laid.select("_id", "_tie", words_of(F.col("_text")).alias("_all"), "_seeds").select("_id", "_tie", "_all", F.explode_outer("_seeds").alias("_s"))
+    begin = F.greatest(F.col("_s._shift"), F.lit(0))
+    n = F.greatest(F.least(F.col("_s._shift") + F.col("_s._size"), F.size("_all")) - begin, F.lit(0))
+    laid = laid.select(
+        "_id", "_tie", F.col("_s.item_id").alias("item_id"), F.col("_s._size").alias("size"), begin.alias("begin"), (begin - F.col("_s._shift")).alias("skip"),
+        F.slice("_all", begin + 1, n).alias("words"),
+    )
     texts = items.select(F.col("item_id").alias("_own"), F.col("_item"))
-    laid = laid.join(F.broadcast(texts) if small else texts, F.col("item_id").eqNullSafe(F.col("_own")) & (F.size("_item") == F.col("size")))
+    laid = beside(texts, laid, F.xxhash64("_id", "_tie", "begin", "skip"), F.col("item_id").eqNullSafe(F.col("_own")) & (F.size("_item") == F.col("size")))
     marks = F.zip_with("words", F.slice("_item", F.col("skip") + 1, F.size("words")), lambda a, b: F.when(a == b, "1").otherwise("0"))
     runs = F.split(F.array_join(marks, ""), "0", -1)
     start = F.struct(F.col("begin").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))

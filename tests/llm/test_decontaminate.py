@@ -50,3 +50,23 @@ def test_short_items_overlaps_and_edges(spark):
     assert result(d, b) == brute(docs, items)
     assert result(d, b.limit(0)) == brute(docs, [])
     assert result(d.limit(0), b) == []
+
+
+def test_one_word_again_and_again(spark):
+    items = [(1, "na " * 30), (2, "a b " + "na " * 9 + "c d"), (3, "na " * 14 + "end it"), (4, "na na"), (5, "so " + "na " * 20), (6, "x y " * 12)]
+    docs = [(i, f"p{i} so " + "na " * n + tail) for i, (n, tail) in enumerate((n, t) for n in (1, 7, 12, 13, 14, 29, 61, 200) for t in ("", "end it now", "c d na na"))]
+    docs += [(90, "a b " + "na " * 9 + "c d na"), (91, "x y " * 40 + "z"), (None, "na " * 50), (None, "na " * 50)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert result(d, b) == brute(docs, items)
+    assert result(d, b, broadcast_rows=0) == brute(docs, items)
+
+
+def test_texts_drawn_at_random(spark):
+    import random
+
+    rng = random.Random(4)
+    draw = lambda n, m: " ".join(rng.choice("abcd"[:m]) for _ in range(n))
+    items = [(i, draw(rng.choice([3, 14, 20, 60]), rng.choice([1, 2, 2]))) for i in range(8)]
+    docs = [(i, draw(rng.choice([5, 40, 90]), rng.choice([1, 2, 3])) + " " + rng.choice(items)[1]) for i in range(30)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert result(d, b) == brute(docs, items)
