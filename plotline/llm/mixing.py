@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.llm.shared import written
+from plotline.llm.shared import numbered, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -32,26 +32,25 @@ def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, budget: float =
     times all words, at most ``passes`` times its size, the excess reshared by weight.
 
     One row per source comes in and goes out. Sources are ranked by code point, null
-    last, for the repeating weights. Resharing until no source is above its cap ends at
-    targets of min(weight * level, cap) with one level for all; it is found from running
-    sums over the sources in the order of cap / weight.
+    last, for the repeating weights. Resharing goes as it says: all open sources get one
+    level of words for each unit of weight, those whose caps that exceeds are closed at
+    their caps, until none is. A round is one aggregate, of which a row reaches the driver.
     """
-    rank = Window.orderBy(F.col("_source").isNull(), "_source")
-    by_ratio = Window.orderBy("_ratio", "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
-    left = F.lit(float(budget)) * F.sum("_size").over(every) - F.coalesce(F.sum("_cap").over(by_ratio), F.lit(0.0))
-    open_weight = F.sum("_weight").over(every) - F.coalesce(F.sum("_weight").over(by_ratio), F.lit(0.0))
-    levels = (
-        sources.withColumn("_rank", F.row_number().over(rank) - 1)
-        .withColumn("_weight", weight)
-        .withColumn("_cap", F.lit(float(passes)) * F.col("_size"))
-        .withColumn("_ratio", F.col("_cap") / F.col("_weight"))
-        .withColumn("_level", left / open_weight)  # if this source and all later ones stay below their caps
-    )
-    first_open = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_rank", "_level"))).over(every)
-    target = F.coalesce(F.least("_cap", F.col("_weight") * F.col("_common")), F.col("_cap"))
-    return levels.withColumn("_common", first_open["_level"]).select("_source", F.col("_size").alias("_source_size"), target.alias("_target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_n") % len(weights) + 1).cast("int"))
+    sized = numbered(sources, F.col("_source").isNull(), "_source").withColumn("_weight", weight).withColumn("_cap", F.lit(float(passes)) * F.col("_size"))
+    sized = written(sized.select("_source", "_size", "_weight", "_cap"), "sources")
+    words = budget * (sized.agg(F.sum("_size")).first()[0] or 0)
+    level, closed = 0.0, -1
+    while True:
+        full = F.col("_cap") < F.col("_weight") * level
+        now = sized.agg(
+            F.count(F.when(full, 1)).alias("closed"), F.coalesce(F.sum(F.when(full, F.col("_cap"))), F.lit(0.0)).alias("taken"), F.coalesce(F.sum(F.when(~full, F.col("_weight"))), F.lit(0.0)).alias("open")
+        ).first()
+        if now["closed"] == closed or not now["open"]:
+            break
+        closed, level = now["closed"], (words - now["taken"]) / now["open"]
+    target = F.least("_cap", F.col("_weight") * level) if now["open"] else F.col("_cap")
+    return sized.select("_source", F.col("_size").alias("_source_size"), target.alias("_target"))
 
 
 def _queue(sized: DataFrame, rows: int) -> DataFrame:
@@ -137,8 +136,8 @@ def mix_sources(
 
     ``taken`` counts the words that the mix takes of the document, repeats included: 0,
     its size, or up to ``passes`` times its size. The queue order within a source is
-    that of md5(id); equal or null ids follow one another in the order of a text hash,
-    and full ties are the same row twice, of which either may come first. A null source
+    that of a hash of id and text, so that rows without an id, or of one id, are spread
+    over it; full ties are the same row twice, of which either may come first. A null source
     is a source of its own, the last. Null and empty texts have size 0 and add nothing.
     An empty table gives an empty result. Other columns are not read.
     """
@@ -160,7 +159,7 @@ def mix_rows(
             F.col(id_col).alias("_id"),
             F.col(source_col).alias("_source"),
             F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), GAP), "")).cast("long").alias("_size"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_place"),
+            F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("binary")).alias("_place"),
             F.xxhash64(text_col).alias("_tie"),
         ),
         "sized",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotline.session import forget, shared_folder, written
 
-__all__ = ["balanced_sample", "fold", "forget", "held_out", "join_spread", "labelled_sample", "shared_folder", "table", "written"]
+__all__ = ["balanced_sample", "fold", "forget", "held_out", "join_spread", "labelled_sample", "numbered", "shared_folder", "table", "written"]
 
 #: A key of more rows than this is hot; so there is at most one hot key for so many rows.
 HOT_ROWS = 200_000
@@ -27,6 +27,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
+def numbered(rows: DataFrame, *order: Column | str, at_once: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with ``_n``, their places in the order from 0. More than ``at_once`` rows
+    are numbered within ranges, and the few ranges' sizes are added up."""
+    if rows.count() <= at_once:
+        return rows.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1)
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))  # a row for each range
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    placed = ranged.withColumn("_own", own).join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    return placed.withColumn("_n", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")
+
+
 def join_spread(rows: DataFrame, unique: DataFrame, key: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
     """``rows`` joined to ``unique``, which has one row a key, null keys matching nothing.
 

@@ -7,8 +7,10 @@ carries the bits in which its paths differ, and is given up beyond the budget.
 To spread that over tasks, every distinct fingerprint is entered in BUDGET + 1 tries,
 in each of which another block of bits leads. Of two linked fingerprints at least one
 block is equal, so it is enough to join, in each trie, the subtree below a whole block
-with itself. A subtree of more than SUBTREE_ROWS is divided into pairs of its nodes
-eight levels further down, which are tasks of their own.
+with itself. A subtree of more than SUBTREE_ROWS is divided in the same way by the bits
+that are left, into tries led by one of BUDGET + 1 blocks of these, again and again until
+all are small enough: a fingerprint in it is copied BUDGET + 1 times, not once for each
+node it might meet.
 """
 
 from __future__ import annotations
@@ -20,14 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.shared import forget, written
+from plotline.llm.shared import forget, join_spread, written
 from plotline.session import ship
 
 SHINGLE = 3
 BUDGET = 3
 BLOCKS = BUDGET + 1
-BLOCK_BITS = 64 // BLOCKS
-LOW_BITS = 64 - BLOCK_BITS
 SUBTREE_ROWS = 200_000
 #: Pairs of nodes followed at once in a task, and hashes counted at once.
 FRONT = 500_000
@@ -150,28 +150,20 @@ def join_trie(low: np.ndarray, front: tuple[np.ndarray, ...], top: int, budget:
 
 
 def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (_a, _b) of a forest over each task's links, task by task."""
-    names = ["_trie", "_block", "_n1", "_n2", "_side", "_low", "_fp"]
+    """Edges (_a, _b) of a forest over each subtree's links, subtree by subtree."""
+    names = ["_bits", "_trie", "_path", "_low", "_fp"]
 
     def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
-        trie, block, n1, n2, side, low, fp = cols
+        bits, trie, path, low, fp = cols
         low = low.astype(np.uint64)
-        begin = np.flatnonzero(np.r_[True, (np.diff(trie) != 0) | (np.diff(block) != 0) | (np.diff(n1) != 0) | (np.diff(n2) != 0)])
+        begin = np.flatnonzero(np.r_[True, (np.diff(bits) != 0) | (np.diff(trie) != 0) | (np.diff(path) != 0)])
         end = np.r_[begin[1:], len(low)]
         forest = Forest(len(low))
-        whole = n1[begin] == n2[begin]  # a subtree with itself; the others are two nodes, divided by side
-        split = np.array([b + np.searchsorted(side[b:e], 1) for b, e in zip(begin[~whole], end[~whole])], np.int64)
-        b1 = np.r_[begin[whole], begin[~whole]]
-        e1 = np.r_[end[whole], split]
-        b2 = np.r_[begin[whole], split]
-        e2 = np.r_[end[whole], end[~whole]]
-        spent = np.r_[np.zeros(int(whole.sum()), np.int64), np.bitwise_count((n1 ^ n2)[begin[~whole]]).astype(np.int64)]
-        full = (e1 > b1) & (e2 > b2)
-        divided = n1[np.minimum(b1, len(n1) - 1)] >= 0
-        for deep in (False, True):
-            take = full & (divided == deep)
-            if take.any():
-                join_trie(low, tuple(x[take] for x in (b1, e1, b2, e2, spent)), LOW_BITS - 1 - 8 * deep, BUDGET, forest)
+        for left in np.unique(bits[begin]):
+            own = (bits[begin] == left) & (end - begin > 1)
+            b, e = begin[own], end[own]
+            if len(b):
+                join_trie(low, (b, e, b, e, np.zeros(len(b), np.int64)), int(left) - 1, BUDGET, forest)
         found = np.flatnonzero(forest.root != np.arange(len(low)))
         return pa.record_batch([pa.array(fp[found]), pa.array(fp[forest.root[found]])], ["_a", "_b"])
 
@@ -183,9 +175,9 @@ def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(cols[0]):
             continue
         last = np.ones(len(cols[0]), bool)
-        for c in cols[:4]:
+        for c in cols[:3]:
             last &= c == c[-1]
-        cut = len(last) - int(last.sum())  # the last task's rows may go on in the next batch
+        cut = len(last) - int(last.sum())  # the last subtree's rows may go on in the next batch
         rest = [c[cut:] for c in cols]
         if cut:
             yield edges([c[:cut] for c in cols])
@@ -193,38 +185,46 @@ def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(rest)
 
 
-def fingerprint_links(distinct: DataFrame, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
-    """Edges (_a, _b) between the distinct fingerprints of the column _fp, enough to
-    connect all that the links connect: a forest for each task, not all pairs."""
+def _deeper(rows: DataFrame, bits: int) -> tuple[DataFrame, int]:
+    """Each row of subtrees with ``bits`` bits left, in BLOCKS tries led by another block
+    of these bits, and the bits then left."""
+    block, low = bits // BLOCKS, F.col("_low")
 
-    def rotated(trie: int) -> Column:
-        left, fp = trie * BLOCK_BITS, F.col("_fp")
-        return F.shiftleft(fp, left).bitwiseOR(F.shiftrightunsigned(fp, 64 - left)) if left else fp
+    def rotated(by: int) -> Column:
+        turned = F.shiftleft(low, by).bitwiseOR(F.shiftrightunsigned(low, bits - by)) if by else low
+        return turned.bitwiseAND(F.lit((1 << bits) - 1)) if bits < 64 else turned
 
-    tries = F.array(*[F.struct(F.lit(t).alias("trie"), rotated(t).alias("value")) for t in range(BLOCKS)])
-    rows = distinct.select("_fp", F.explode(tries).alias("_t")).select(
+    tries = F.array(*[F.struct(F.lit(t).alias("t"), rotated(t * block).alias("v")) for t in range(BLOCKS)])
+    rows = rows.select("_fp", "_trie", "_path", F.explode(tries).alias("_t"))
+    left = bits - block
+    rows = rows.select(
         "_fp",
-        F.col("_t.trie").alias("_trie"),
-        F.shiftrightunsigned("_t.value", LOW_BITS).cast("int").alias("_block"),
-        F.col("_t.value").bitwiseAND(F.lit((1 << LOW_BITS) - 1)).alias("_low"),
+        (F.col("_trie") * BLOCKS + F.col("_t.t")).alias("_trie"),
+        F.shiftleft("_path", block).bitwiseOR(F.shiftrightunsigned("_t.v", left)).alias("_path"),
+        F.col("_t.v").bitwiseAND(F.lit((1 << left) - 1)).alias("_low"),
     )
-    sizes = rows.groupBy("_trie", "_block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > subtree_rows)
-    large = written(sizes.select(F.col("_trie").alias("_lt"), F.col("_block").alias("_lb")), "large")
-    rows = rows.join(large, (F.col("_trie") == F.col("_lt")) & (F.col("_block") == F.col("_lb")), "left")
-    # pairs of the nodes eight levels down within the budget; a row goes to all of its node's
-    node = F.shiftright("_low", LOW_BITS - 8).cast("int")
-    masks = F.array(*[F.lit(m) for m in range(256) if m.bit_count() <= BUDGET])
-    pairs = F.transform(
-        masks,
-        lambda m: F.struct(
-            F.least(node, node.bitwiseXOR(m)).alias("n1"), F.greatest(node, node.bitwiseXOR(m)).alias("n2"), (node > node.bitwiseXOR(m)).cast("int").alias("side")
-        ),
-    )
-    alone = F.array(F.struct(F.lit(-1).alias("n1"), F.lit(-1).alias("n2"), F.lit(0).alias("side")))
-    rows = rows.select("_trie", "_block", "_low", "_fp", F.explode(F.when(F.col("_lt").isNull(), alone).otherwise(pairs)).alias("_p"))
-    rows = rows.select("_trie", "_block", F.col("_p.n1").alias("_n1"), F.col("_p.n2").alias("_n2"), F.col("_p.side").alias("_side"), "_low", "_fp")
-    task = ["_trie", "_block", "_n1", "_n2"]
-    return rows.repartition(*task).sortWithinPartitions(*task, "_side", "_low").mapInArrow(_linked, "_a bigint, _b bigint")
+    return rows, left
+
+
+def fingerprint_links(distinct: DataFrame, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
+    """Edges (_a, _b) between the distinct fingerprints of the column _fp, enough to
+    connect all that the links connect: a forest for each subtree, not all pairs."""
+    whole = distinct.select("_fp", F.lit(0).alias("_trie"), F.lit(0).cast("bigint").alias("_path"), F.col("_fp").alias("_low"))
+    rows, bits = _deeper(whole, 64)
+    subtree = ["_trie", "_path"]
+    parts: DataFrame | None = None
+    while True:
+        large = rows.groupBy(*subtree).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > subtree_rows).select(*subtree)
+        large = written(large, "large")  # at most a row for each ``subtree_rows`` rows
+        more = bits >= 2 * BLOCKS and bool(large.take(1))
+        kept = rows.join(F.broadcast(large), subtree, "left_anti") if more else rows
+        kept = kept.withColumn("_bits", F.lit(bits))
+        parts = kept if parts is None else parts.unionByName(kept)
+        if not more:
+            break
+        rows, bits = _deeper(rows.join(F.broadcast(large), subtree, "left_semi"), bits)
+    task = ["_bits", *subtree]
+    return parts.repartition(*task).sortWithinPartitions(*task, "_low").mapInArrow(_linked, "_a bigint, _b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,8 +266,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = grouped.groupBy(F.col("_root").alias("_r")).agg(F.min("_first").alias("_least"))
     named = grouped.join(named, F.col("_root") == F.col("_r")).select(F.col("_fp").alias("_linked"), "_least")
     classes = leaves.join(named, F.col("_fp") == F.col("_linked"), "left").select(
-        F.col("_fp").alias("_leaf"), F.when(F.col("_linked").isNull(), F.col("_first")).otherwise(F.col("_least")).alias("_class")
+        "_fp", F.when(F.col("_linked").isNull(), F.col("_first")).otherwise(F.col("_least")).alias("_class")
     )
-    return rows.join(written(classes, "classes"), F.col("_fp") == F.col("_leaf"), "left").select(
+    return join_spread(rows, written(classes, "classes"), "_fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_class").alias("component_id")
     )

@@ -34,7 +34,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)
 
 MIXING_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS place,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS place,
     CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY source),
@@ -56,24 +56,49 @@ SELECT q.doc_id, q.size, CAST(q.source_size AS BIGINT) AS source_size, q.target,
 FROM q LEFT JOIN k USING (doc_id)
 """
 
-# no page of the tables links to another host, so that the scores of hosts are their seeds'
 URLS_SQL = r"""
-WITH p AS (
-  SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH RECURSIVE p AS (
+  SELECT page_id, html, regexp_extract(url, '^(.*?)://', 1, 's') AS scheme,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
   FROM pages),
 rules(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 m AS (
-  SELECT page_id, host, path, rh || rp AS rule, v
+  SELECT page_id, html, scheme, host, path, rh || rp AS rule, v
   FROM p LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
   QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) = 1),
-h AS (
+raw AS (
+  SELECT host AS src, CASE WHEN starts_with(l, '//') THEN scheme || ':' || l ELSE l END AS url
+  FROM (SELECT host, scheme, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]*)', 1)) AS l FROM m WHERE host <> '')),
+l0 AS (
+  SELECT src, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, row_number() OVER () AS i
+  FROM raw),
+l1 AS (
+  SELECT src, dst, v FROM l0 LEFT JOIN rules ON (dst = rh OR ends_with(dst, '.' || rh)) AND starts_with(path, rp)
+  WHERE dst <> '' AND src <> dst QUALIFY row_number() OVER (PARTITION BY i ORDER BY length(rh || rp) DESC) = 1),
+judged AS (
   SELECT host, avg(CASE WHEN v = 'allow' THEN 1.0 ELSE 0 END) > 0.5 AS good, avg(CASE WHEN v = 'block' THEN 1.0 ELSE 0 END) > 0.5 AS bad
   FROM m WHERE host <> '' GROUP BY host),
+h AS (
+  SELECT * FROM judged UNION ALL
+  SELECT dst, avg(CASE WHEN v = 'allow' THEN 1.0 ELSE 0 END) > 0.5, avg(CASE WHEN v = 'block' THEN 1.0 ELSE 0 END) > 0.5
+  FROM l1 WHERE dst NOT IN (SELECT host FROM judged) GROUP BY dst),
+seeds AS (
+  SELECT 'trust' AS kind, host, CASE WHEN good THEN 1.0::DOUBLE / nullif(count(*) FILTER (good) OVER (), 0) ELSE 0 END AS seed FROM h UNION ALL
+  SELECT 'distrust', host, CASE WHEN bad THEN 1.0::DOUBLE / nullif(count(*) FILTER (bad) OVER (), 0) ELSE 0 END FROM h),
+ways0 AS (SELECT 'trust' AS kind, src AS a, dst AS b, count(*) AS n FROM l1 GROUP BY ALL UNION ALL SELECT 'distrust', dst, src, count(*) FROM l1 GROUP BY ALL),
+ways AS (SELECT kind, a, b, CAST(n / sum(n) OVER (PARTITION BY kind, a) AS DOUBLE) AS share FROM ways0),
+st AS (
+  SELECT kind, host, seed, seed AS score, 0 AS r FROM seeds UNION ALL
+  SELECT kind, host, seed, 0.85::DOUBLE * flow + seed * (1 - 0.85::DOUBLE * sum(flow) OVER (PARTITION BY kind)), r + 1
+  FROM (
+    SELECT t.kind, t.host, t.seed, t.r, coalesce(f.flow, 0) AS flow
+    FROM st t LEFT JOIN (SELECT ways.kind, b, sum(score * share) AS flow FROM st JOIN ways ON st.kind = ways.kind AND st.host = a GROUP BY ways.kind, b) f ON t.kind = f.kind AND t.host = f.b)
+  WHERE r < 100),
 s AS (
-  SELECT host, round((CASE WHEN bad THEN 1.0 / nullif(count(*) FILTER (bad) OVER (), 0) ELSE 0 END
-    - CASE WHEN good THEN 1.0 / nullif(count(*) FILTER (good) OVER (), 0) ELSE 0 END) * count(*) OVER (), 9) > 0.2 AS blocked
-  FROM h)
+  SELECT host, round((sum(CASE kind WHEN 'distrust' THEN score ELSE -score END)) * (SELECT count(*) FROM h), 9) > 0.2 AS blocked
+  FROM st WHERE r = 100 GROUP BY host)
 SELECT page_id, m.host, path, rule, coalesce(v, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM m LEFT JOIN s ON m.host = s.host
 """

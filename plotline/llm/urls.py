@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.shared import forget, written
+from plotline.llm.shared import HOT_ROWS, forget, join_spread, written
 
 # The contract's rules, as (host, path, verdict).
 RULES = (
@@ -71,17 +71,24 @@ def host_scores(pages: DataFrame, edges: DataFrame, damping: float = DAMPING, ro
     ways = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n")
     )
-    out = ways.groupBy("kind", "a").agg(F.sum("n").alias("all"))
-    ways = written(ways.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("share")), "ways")
+    ways = written(ways.withColumn("_from", F.struct("kind", "a")), "ways")
     if not ways.take(1):
         return _by_host(seeds.withColumnRenamed("seed", "score"))
-    state = seeds.select("kind", "host", "seed", F.col("seed").alias("score"))
+    # the links of a host with very many are dealt to several tasks, as many as its fan
+    out = ways.groupBy("_from").agg(F.sum("n").alias("all"), F.ceil(F.count(F.lit(1)) / HOT_ROWS).cast("int").alias("fan"))
+    out = written(out, "out")
+    ways = join_spread(ways, out, "_from").select("kind", "a", "b", (F.col("n") / F.col("all")).alias("share"), F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("turn"))
+    ways = written(ways, "shares")
+    fans = out.select(F.col("_from.kind").alias("kind"), F.col("_from.a").alias("host"), "fan")
+    state = seeds.join(fans, ["kind", "host"], "left").select("kind", "host", "seed", F.coalesce("fan", F.lit(1)).alias("fan"), F.col("seed").alias("score"))
+    state = written(state, "state")
     enough = tolerance / max(1, pages.count())
     previous, done = None, 0
     while rounds is None or done < rounds:
         flow = (
-            state.join(ways, (state["kind"] == ways["kind"]) & (state["host"] == ways["a"]))
-            .groupBy(ways["kind"].alias("_kind"), F.col("b"))
+            state.select(F.col("kind").alias("_kind"), "host", "score", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("_turn"))
+            .join(ways, (F.col("_kind") == F.col("kind")) & (F.col("host") == F.col("a")) & (F.col("_turn") == F.col("turn")))
+            .groupBy("_kind", "b")
             .agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
         )
         moved = flow.groupBy("_kind").agg(F.sum("flow").alias("moved")).withColumnRenamed("_kind", "_k")  # two rows
@@ -89,7 +96,7 @@ def host_scores(pages: DataFrame, edges: DataFrame, damping: float = DAMPING, ro
         state = (
             state.join(flow, (F.col("kind") == F.col("_kind")) & (F.col("host") == F.col("b")), "left")
             .join(F.broadcast(moved), F.col("kind") == F.col("_k"), "left")
-            .select("kind", "host", "seed", score.alias("score"), F.abs(score - F.col("score")).alias("change"))
+            .select("kind", "host", "seed", "fan", score.alias("score"), F.abs(score - F.col("score")).alias("change"))
         )
         state, old = written(state, "scores"), previous
         previous, done = state, done + 1
@@ -143,8 +150,8 @@ def judge_urls(
     scores = host_scores(hosts, edges.select("src", "dst", "n"), damping, rounds)
     n = hosts.agg(F.count(F.lit(1)).alias("_n"))  # one row
     scores = scores.crossJoin(F.broadcast(n)).withColumn("_blocked", F.round((F.col("distrust") - F.col("trust")) * F.col("_n"), 9) > threshold)
-    scores = written(scores.withColumnRenamed("host", "_scored"), "host-scores")
-    found = judged.drop("_html").join(scores, F.col("_host") == F.col("_scored"), "left")
+    scores = written(scores.withColumnRenamed("host", "_host"), "host-scores")
+    found = join_spread(written(judged.drop("_html", "_scheme"), "judged"), scores, "_host")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_blocked"), "block").otherwise("allow"))
     return found.select(
         F.col("_page").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), verdict.alias("verdict"),

@@ -84,3 +84,42 @@ def test_links_to_hosts_without_pages_and_without_a_scheme(spark):
     assert all(abs(got[i]["distrust"] - want[h]) < 1e-5 for i, h in enumerate(hosts[:4], 1))
     assert [got[i]["verdict"] for i in range(1, 6)] == ["block", "allow", "block", "allow", "allow"]
     assert set(got) == {1, 2, 3, 4, 5}
+
+
+def test_the_registered_query_and_its_sql_on_linked_pages(spark, tmp_path):
+    """Absolute and protocol-relative links, hosts without pages, a hub: the query beside its SQL in DuckDB."""
+    import random
+
+    import duckdb
+
+    from plotline.llm import queries
+    from plotline.llm.sql import URLS_SQL
+
+    rng = random.Random(8)
+    hosts = [f"h{i}.com" for i in range(30)] + ["bad.net", "m.example.net", "de.example.com", "x.org", "hub.com"]
+    far = ["evil.net", "uncrawled.com", "ok.org"]
+    rows = []
+    for i in range(120):
+        h = rng.choice(hosts)
+        to = [rng.choice(hosts + far) for _ in range(rng.choice([0, 1, 3]))] if h != "hub.com" else hosts + far
+        html = " ".join(rng.choice(['<a href="http://{}/fr/x">', "<A HREF = '//{}/de/'>", "<a href=https://{}:80/en/?q>", "<a href='/{}'>"]).format(t) for t in to)
+        rows.append((i, f"{rng.choice(['http', 'HTTPS'])}://{h}{rng.choice(['', '/', '/en/p', '/de/p', '/fr/p'])}", html if i % 7 else None))
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    mine = sorted(tuple(r) for r in queries.op6_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    theirs = sorted(con.execute(URLS_SQL).fetchall())
+    assert mine == theirs
+    unruled = [r for r in mine if r[3] is None]
+    assert {r[4] for r in unruled} == {"allow", "block"}
+
+
+def test_repeated_rows_long_html_and_ties(spark):
+    page = "<p>" + "x " * 100_000 + '<a href="http://bad.net/">'
+    rows = [(1, "http://a.com/", page), (1, "http://a.com/", page), (None, "http://a.com/", None), (2, "http://example.net/en/", ""), (3, "http://bad.net/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((str(r["page_id"]), r["rule"], r["verdict"]) for r in U.judge_urls(df).collect())
+    assert got == [("1", None, "block")] * 2 + [("2", "example.net/en/", "allow"), ("3", "net/", "block"), ("None", None, "block")]
+    # rules of equal length: the later by name decides
+    tied = U.judge_urls(df, rules=(("a.com", "/", "block"), ("com", "/", "allow"))).where("host = 'a.com'").collect()
+    assert {r["rule"] for r in tied} == {"a.com/"}
