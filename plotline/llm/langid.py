@@ -7,21 +7,20 @@ penalties; the probabilities are then calibrated by one temperature.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.shared import fold
+from plotline.llm.shared import balanced_sample
 from plotline.session import ship
 
-#: At most so many documents, of at most so many characters each, are trained on.
+#: At most so many documents are trained on, each with its whole text.
 SAMPLE_ROWS = 2500
-SAMPLE_CHARS = 20_000
 BITS = 16
 ORDERS = (1, 2, 3)
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-3, 1e-3
@@ -29,14 +28,27 @@ EPOCHS = 4
 #: Every CALIBRATION-th training document sets the temperature instead of the weights.
 CALIBRATION = 5
 
-_GAPS = re.compile(r"[\W\d_]+")
 UNDETERMINED = "und"
 
 
+@cache
+def _letters() -> np.ndarray:
+    """For each code point whether it is a letter: alphanumeric and no decimal digit."""
+    return np.fromiter((chr(c).isalnum() and not chr(c).isdecimal() for c in range(0x110000)), bool, 0x110000)
+
+
+def plain_points(text: str) -> np.ndarray:
+    """Code points of a text in lower case, its words set off by single spaces."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    letter = np.concatenate([[False], _letters()[points], [False]])
+    # of each run of other characters one stays, as a space; there is one at either end
+    kept = letter | np.concatenate([[True], letter[:-1]])
+    return np.where(letter, np.concatenate([[32], points, [32]]), 32)[kept].astype(np.uint64)
+
+
 def gram_ids(text: str) -> np.ndarray:
-    """Hashed n-grams of the letters of a text, words being set off by single spaces."""
-    plain = " " + _GAPS.sub(" ", text.lower()).strip() + " "
-    points = np.frombuffer(plain.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    """Hashed n-grams of the letters of a text."""
+    points = plain_points(text)
     out, h = [], np.zeros(len(points), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         h = h[: len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :] + np.uint64(n)
@@ -61,6 +73,29 @@ class LanguageModel:
         return self.langs[best], float(p[best])
 
 
+class Leader:
+    """Follow-the-regularised-leader for a softmax over ``k`` classes: the weights are those
+    that are best for all gradients so far, with step sizes of their own and both penalties."""
+
+    def __init__(self, size: int, k: int):
+        self.z, self.n2 = np.zeros((size, k)), np.zeros((size, k))
+
+    def weights(self, ids: np.ndarray) -> np.ndarray:
+        z, n2 = self.z[ids], self.n2[ids]
+        return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n2)) / ALPHA + L2))
+
+    def learn(self, ids: np.ndarray, x: np.ndarray, label: int) -> None:
+        w = self.weights(ids)
+        s = x @ w
+        p = np.exp(s - s.max())
+        p /= p.sum()
+        p[label] -= 1
+        g = x[:, None] * p[None, :]
+        n2 = self.n2[ids]
+        self.z[ids] += g - (np.sqrt(n2 + g * g) - np.sqrt(n2)) / ALPHA * w
+        self.n2[ids] = n2 + g * g
+
+
 def train(rows: list[tuple]) -> LanguageModel:
     """Fit on (doc_id, text, lang) rows; with no row there is no language to predict."""
     langs = tuple(sorted({r[2] for r in rows}))
@@ -79,25 +114,11 @@ def train(rows: list[tuple]) -> LanguageModel:
     order = np.random.default_rng(11).permutation(len(rows))
     fit = order[len(order) // CALIBRATION :] if len(order) >= 50 else order
     held = order[: len(order) // CALIBRATION] if len(order) >= 50 else order
-    z, n2 = np.zeros((size + 1, k)), np.zeros((size + 1, k))
-
-    def weights(ids):
-        zi, ni = z[ids], n2[ids]
-        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-
+    leader = Leader(size + 1, k)
     for _ in range(EPOCHS):
         for i in fit:
-            ids, x = feats[i]
-            w = weights(ids)
-            s = x @ w
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            p[y[i]] -= 1
-            g = x[:, None] * p[None, :]
-            ni = n2[ids]
-            z[ids] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
-            n2[ids] = ni + g * g
-    w = weights(np.arange(size + 1))
+            leader.learn(*feats[i], y[i])
+    w = leader.weights(np.arange(size + 1))
     logits = np.array([x @ w[ids] for ids, x in (feats[i] for i in held)])
 
     def loss(t: float) -> float:
@@ -109,34 +130,17 @@ def train(rows: list[tuple]) -> LanguageModel:
     return LanguageModel(langs, (w[:-1] * idf[:, None]).astype(np.float32), w[-1], float(temperature))
 
 
-def fit_language(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Train on a bounded sample of documents with a language, outside the held-out fold.
-
-    The ids are drawn from the narrow columns in hash order, the texts fetched by a
-    broadcast of at most ``rows`` ids.
-    """
-    ids = (
-        docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2))
-        .select(F.col("doc_id").alias("_id"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(rows)
-        .distinct()
-    )
-    found = (
-        docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
-        .where(F.col("_text").isNotNull() & F.col("_lang").isNotNull() & (F.length("_text") <= chars))
-        .join(F.broadcast(ids), "_id")
-        .limit(rows)
-        .collect()
-    )
-    return train(sorted((r["_id"], r["_text"], r["_lang"]) for r in found))
+def fit_language(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
+    """Train on a sample of at most ``rows`` documents with a language, outside the
+    held-out fold, as many of each language as there are up to an equal share."""
+    return train(balanced_sample(docs, "lang", rows))
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, lang_pred and score, the calibrated probability.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was
-    learnt. Repeated rows and null ids are predicted and returned each; other columns
+    learnt; of equally likely languages the first by name. Repeated rows and null ids are predicted and returned each; other columns
     are not read; an empty table gives an empty result. Row by row: no shuffle.
     """
     ship(docs.sparkSession)

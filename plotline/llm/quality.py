@@ -8,8 +8,8 @@ are turned into probabilities by a logistic fit on training rows it has not seen
 from __future__ import annotations
 
 import math
+import operator
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 from plotline.llm.shared import labelled_sample
 from plotline.session import ship
 
-#: At most so many labelled documents, of at most so many characters each, are trained on.
+#: At most so many labelled documents are trained on, each with its whole text.
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 20_000
+#: N-grams in fewer training documents are no features.
 MIN_DOCS = 3
-MAX_GRAMS = 100_000
 SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 15
@@ -34,41 +33,77 @@ EPOCHS = 15
 CALIBRATION = 4
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
+AGAIN, OFTEN = "<again>", "<again often>"
 
 
-def grams(text: str) -> set[str]:
-    """The n-grams, n = 1 and 2, of a text's tokens; capitals and repetitions are kept as shapes."""
-    tokens = ["<caps>" if len(t) > 1 and t.isupper() else t.lower() for t in _TOKEN.findall(text)]
-    out = set(tokens)
-    pairs = set(zip(tokens, tokens[1:]))
-    out.update(map(" ".join, pairs))
-    words = [t for t in tokens if t.isalpha()]
-    again = sum(map(str.__eq__, words, words[1:]))
-    if again:
-        out.add("<again>" if again * 10 < len(words) else "<again often>")
-    return out
+def shape(token: str) -> str:
+    """Tokens in lower case; those all in capitals are one."""
+    return "<caps>" if len(token) > 1 and token.isupper() else token.lower()
+
+
+class Memo(dict):
+    """What ``make`` gives for a token, remembered for up to MOST tokens."""
+
+    MOST = 1 << 18
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, token: str):
+        if len(self) >= self.MOST:
+            self.clear()
+        self[token] = value = self.make(token)
+        return value
+
+
+def _word(token: str) -> str | None:
+    token = shape(token)
+    return token if token.isalpha() else None
+
+
+class Grams:
+    """Features of texts: of the tokens in ``vocabulary`` those that occur, and pairs of
+    them that follow one another, as numbers first * size + second beyond the tokens."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary, self.size = vocabulary, len(vocabulary)
+        self.ids = Memo(lambda t: vocabulary.get(shape(t), -1))
+        self.words = Memo(_word)
+
+    def of(self, text: str) -> np.ndarray:
+        tokens = _TOKEN.findall(text)
+        ids = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
+        known = ids >= 0
+        pairs = (ids[:-1] * self.size + ids[1:])[known[:-1] & known[1:]] + self.size
+        words = list(filter(None, map(self.words.__getitem__, tokens)))
+        again = sum(map(operator.eq, words, words[1:]))
+        mark = self.vocabulary.get(AGAIN if again * 10 < len(words) else OFTEN, -1) if again else -1
+        return np.unique(np.concatenate([ids[known], pairs, [mark] if mark >= 0 else []]).astype(np.int64))
 
 
 @dataclass(frozen=True)
 class MarginModel:
-    weights: dict[str, float]
+    vocabulary: dict[str, int]
+    grams: np.ndarray  # the features' numbers, ascending
+    weights: np.ndarray
     bias: float
     slope: float
     offset: float
 
-    def score(self, text: str | None) -> float:
-        weights = self.weights
-        found = [weights[g] for g in grams(text or "") if g in weights]
-        margin = self.bias + sum(sorted(found)) / math.sqrt(max(1, len(found)))
+    def score(self, grams: np.ndarray) -> float:
+        at = np.minimum(np.searchsorted(self.grams, grams), max(0, len(self.grams) - 1))
+        found = self.weights[at[self.grams[at] == grams]] if len(self.grams) else self.weights
+        margin = self.bias + found.sum() / math.sqrt(max(1, len(found)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * margin + self.offset))))
 
 
-def dual_descent(cols: list[np.ndarray], vals: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+def dual_descent(cols: list[np.ndarray], vals: list[np.ndarray], y: np.ndarray, size: int, epochs: int = EPOCHS) -> np.ndarray:
     """Weights of min |w|^2/2 + COST * sum of hinge losses, one dual variable at a time."""
     w, alpha = np.zeros(size), np.zeros(len(y))
     norms = np.array([v @ v for v in vals]) + 1e-12
     rng = np.random.default_rng(7)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for i in rng.permutation(len(y)):
             gain = (1 - y[i] * (w[cols[i]] @ vals[i])) / norms[i]
             new = min(max(alpha[i] + gain, 0.0), COST)
@@ -82,18 +117,19 @@ def train(rows: list[tuple]) -> MarginModel:
     """Fit on (doc_id, text, label) rows; without both classes every score is that class's."""
     y = np.array([1.0 if label == 1 else -1.0 for *_, label in rows])
     if not len(y) or y.min() == y.max():
-        return MarginModel({}, 0.0, 0.0, 0.0 if not len(y) else 6.0 * y[0])
-    # grams whose hash is rare are rare themselves; only the others are counted one by one
-    hashed = np.zeros(1 << 22, np.int32)
-    for _, text, _ in rows:
-        hashed[np.unique([zlib.crc32(g.encode()) & (len(hashed) - 1) for g in grams(text)] or [0])] += 1
-    seen: Counter = Counter()
+        return MarginModel({}, np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, 0.0 if not len(y) else 6.0 * y[0])
+    seen: Counter = Counter({AGAIN: MIN_DOCS, OFTEN: MIN_DOCS})
     for _, text, _ in rows:
-        seen.update(g for g in grams(text) if hashed[zlib.crc32(g.encode()) & (len(hashed) - 1)] >= MIN_DOCS)
-    kept = sorted((g for g, n in seen.items() if n >= MIN_DOCS), key=lambda g: (-seen[g], g))[:MAX_GRAMS]
-    del seen, hashed
-    index = {g: i for i, g in enumerate(kept)}
-    cols = [np.array(sorted(index[g] for g in grams(text) if g in index), np.int32) for _, text, _ in rows]
+        seen.update(set(map(shape, set(_TOKEN.findall(text)))))
+    # a pair is in no more documents than either of its tokens
+    vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in seen.items() if n >= MIN_DOCS))}
+    del seen
+    grams = Grams(vocabulary)
+    bags = [grams.of(text) for _, text, _ in rows]
+    kept, counts = np.unique(np.concatenate(bags), return_counts=True)
+    kept = kept[counts >= MIN_DOCS]
+    cols = [np.searchsorted(kept, bag[np.isin(bag, kept, assume_unique=True)]).astype(np.int32) for bag in bags]
+    del bags, counts
     counts = {s: np.full(len(kept), SMOOTHING) for s in (-1.0, 1.0)}
     for c, s in zip(cols, y):
         counts[s][c] += 1
@@ -107,8 +143,7 @@ def train(rows: list[tuple]) -> MarginModel:
     w = dual_descent([cols[i] for i in fit], [vals[i] for i in fit], y[fit], len(kept) + 1)
     margins = np.array([w[cols[i]] @ vals[i] for i in held])
     slope, offset = logistic_line(margins, (y[held] > 0).astype(float))
-    scaled = w[:-1] * ratio
-    return MarginModel({kept[i]: float(scaled[i]) for i in np.flatnonzero(scaled)}, float(w[-1]), slope, offset)
+    return MarginModel(vocabulary, kept, w[:-1] * ratio, float(w[-1]), slope, offset)
 
 
 def logistic_line(x: np.ndarray, t: np.ndarray) -> tuple[float, float]:
@@ -126,9 +161,9 @@ def logistic_line(x: np.ndarray, t: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> MarginModel:
-    """Train on a bounded sample of labelled documents outside the held-out fold."""
-    return train(labelled_sample(docs, labels, "quality", rows, chars))
+def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> MarginModel:
+    """Train on a sample of at most ``rows`` labelled documents outside the held-out fold."""
+    return train(labelled_sample(docs, labels, "quality", rows))
 
 
 def score_quality(docs: DataFrame, model: MarginModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,12 +175,13 @@ def score_quality(docs: DataFrame, model: MarginModel, id_col: str = "doc_id", t
     """
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS weights
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each n-gram of the bounded sample, at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
+        grams = Grams(own.vocabulary)
         for batch in batches:
-            scores = [own.score(text.as_py()) for text in batch.column(1)]
+            scores = [own.score(grams.of(text.as_py() or "")) for text in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], ["_id", "score"])
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {id_type}, score double").withColumnRenamed("_id", id_col)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline.llm import decontaminate, langid, licenses, mixing, neighbours, quality, secrets, simhash, toxicity, urls
@@ -43,7 +43,9 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _judged(toxicity.score_toxicity(docs, model), TOXIC_FROM)
+    scores = toxicity.score_toxicity(docs, model, span_score=TOXIC_FROM)
+    places = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return _judged(scores, TOXIC_FROM, places.alias("sentences"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +54,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score_quality(docs, model), GOOD_FROM)
 
 
-def _judged(scores: DataFrame, least: float) -> DataFrame:
-    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+def _judged(scores: DataFrame, least: float, *more: Column) -> DataFrame:
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *more)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

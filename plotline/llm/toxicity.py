@@ -23,12 +23,10 @@ from pyspark.sql import functions as F
 from plotline.llm.shared import labelled_sample
 from plotline.session import ship
 
-#: At most so many labelled documents, of at most so many characters each, are trained on.
+#: At most so many labelled documents are trained on, each with its whole text.
 SAMPLE_ROWS = 6000
-SAMPLE_CHARS = 20_000
-#: Words in fewer training documents are no features; at most so many features are kept.
+#: Words in fewer training documents are no features.
 MIN_DOCS = 4
-MAX_WORDS = 50_000
 STEPS = 150
 RATE = 0.3
 L1 = 2e-4
@@ -61,6 +59,28 @@ class SentenceModel:
         return -math.expm1(rest), spans
 
 
+@dataclass(frozen=True)
+class Bags:
+    """Documents as bags of sentences, in flat arrays: the words of all sentences, the
+    sentence of each word, the document of each sentence, the label of each document."""
+
+    cols: np.ndarray
+    sent_of: np.ndarray
+    doc_of: np.ndarray
+    y: np.ndarray
+    n_words: int
+
+    def loss(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        """Mean negative log-likelihood of the labels under the noisy-or, and its gradient."""
+        z = b + np.bincount(self.sent_of, weights=w[self.cols], minlength=len(self.doc_of))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        clean = np.bincount(self.doc_of, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(self.y))
+        q = np.exp(clean)
+        value = -np.where(self.y > 0, np.log(np.maximum(1 - q, 1e-9)), clean).mean()
+        pull = np.where(self.y > 0, -q / np.maximum(1 - q, 1e-9), 1.0)[self.doc_of] * p / len(self.y)
+        return float(value), np.bincount(self.cols, weights=pull[self.sent_of], minlength=self.n_words), float(pull.sum())
+
+
 def train(rows: list[tuple]) -> SentenceModel:
     """Fit on (doc_id, text, label) rows; without both classes the score is the base rate's."""
     y = np.array([float(label == 1) for *_, label in rows])
@@ -69,7 +89,7 @@ def train(rows: list[tuple]) -> SentenceModel:
     seen: Counter = Counter()
     for _, text, _ in rows:
         seen.update(set(_WORD.findall(text.lower())))
-    words = sorted((w for w, n in seen.items() if n >= MIN_DOCS), key=lambda w: (-seen[w], w))[:MAX_WORDS]
+    words = sorted(w for w, n in seen.items() if n >= MIN_DOCS)
     index = {w: i for i, w in enumerate(words)}
     del seen
     # flat arrays from the start: sets of words for each sentence would not fit a small driver
@@ -80,20 +100,15 @@ def train(rows: list[tuple]) -> SentenceModel:
             cols.extend(known)
             sizes.append(len(known))
             doc_of.append(d)
-    cols, doc_of = np.array(cols, np.int32), np.array(doc_of, np.int32)
-    sent_of = np.repeat(np.arange(len(doc_of), dtype=np.int32), np.array(sizes, np.int32))
+    bags = Bags(np.array(cols, np.int32), np.repeat(np.arange(len(doc_of), dtype=np.int32), np.array(sizes, np.int32)), np.array(doc_of, np.int32), y, len(words))
     w, b = np.zeros(len(words)), -6.0
     # rare words of offending documents only start the search; the likelihood decides
-    positive = np.bincount(cols, weights=y[doc_of[sent_of]], minlength=len(words))
-    total = np.maximum(np.bincount(cols, minlength=len(words)), 1)
+    positive = np.bincount(bags.cols, weights=y[bags.doc_of[bags.sent_of]], minlength=len(words))
+    total = np.maximum(np.bincount(bags.cols, minlength=len(words)), 1)
     w += np.clip(np.log((positive + 0.5) / (total - positive + 0.5)) - math.log(y.mean() / (1 - y.mean())), -1, 3)
     m1, m2, mb1, mb2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        z = b + np.bincount(sent_of, weights=w[cols], minlength=len(doc_of))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        q = np.exp(np.bincount(doc_of, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y)))
-        pull = np.where(y > 0, -q / np.maximum(1 - q, 1e-9), 1.0)[doc_of] * p / len(y)
-        g, gb = np.bincount(cols, weights=pull[sent_of], minlength=len(words)), pull.sum()
+        _, g, gb = bags.loss(w, b)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         mb1, mb2 = 0.9 * mb1 + 0.1 * gb, 0.99 * mb2 + 0.01 * gb * gb
         rate = RATE / (1 + t / 50)
@@ -104,9 +119,9 @@ def train(rows: list[tuple]) -> SentenceModel:
     return SentenceModel({words[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)}, float(b))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> SentenceModel:
-    """Train on a bounded sample of labelled documents outside the held-out fold."""
-    return train(labelled_sample(docs, labels, "toxic", rows, chars))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> SentenceModel:
+    """Train on a sample of at most ``rows`` labelled documents outside the held-out fold."""
+    return train(labelled_sample(docs, labels, "toxic", rows))
 
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
@@ -121,7 +136,7 @@ def score_toxicity(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id"
     """
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_WORDS weights
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each word of the bounded sample, at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
