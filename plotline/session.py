@@ -70,13 +70,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, the plan
-    above it is small, and the rows outlive the executors that made them."""
+    above it is small, and the rows outlive the executors that made them. ``keep``
+    exempts the table from ``scratch``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/plotline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for tables in _open_tables[-1:]:
+    for tables in _open_tables[-1:] if not keep else ():
         tables.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path  # type: ignore[attr-defined]
@@ -98,7 +99,7 @@ def delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete, at the end, what ``written`` stores meanwhile. The work must have been done
-    by then: what is to stay is written by other means, or by ``written`` outside."""
+    by then: what is to stay is written with ``keep``, or by other means."""
     _open_tables.append([])
     try:
         yield
