@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from plotline.llm import decontaminate, mixing, secrets, simhash, toxicity
 from plotline.llm.queries import TOXIC_FROM
-from plotline.llm.shared import table, written
+from plotline.llm.shared import forget, table, written
+from plotline.session import scratch
 
 
 def _blob(docs: DataFrame) -> Column:
@@ -99,8 +100,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each result written and read again."""
+    """The stages applied to documents, each result written and read again. What a stage
+    writes on the way, and what its predecessor kept, is deleted once its result is there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            kept = written(stage(spark, docs, sf_dir), name, keep=True)
+        forget(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
