@@ -162,9 +162,9 @@ def _nearest(rows: DataFrame, dim: int, total: int, every: int, k: int, tables:
 
     def search(wanted: DataFrame, loss: float) -> DataFrame:
         found = _probe(base, sizes, wanted, hashes, loss, k + 1, task_rows, task_queries)
-        best = Window.partitionBy("_q").orderBy(F.desc("_score"), "_id")
-        found = found.dropDuplicates(["_q", "_id"]).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1)
-        hits = found.groupBy("_q").agg(F.array_sort(F.collect_list(F.struct("_n", "_id", "_score"))).alias("_hits"))
+        # a row for each task that a query went to, with the best there; each query's rows are few
+        every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_best"))))
+        hits = found.groupBy("_q").agg(F.slice(every, 1, k + 1).alias("_hits"))
         return wanted.join(hits, "_q").select("_v", "_q", "_hits")
 
     hits = written(search(asked, fitted_loss(entries, asked, hashes, k, recall)), "hits")
@@ -175,7 +175,7 @@ def _nearest(rows: DataFrame, dim: int, total: int, every: int, k: int, tables:
     answered = join_spread(queries, hits.select("_v", "_hits"), "_v", how="inner")
     others = F.slice(F.filter("_hits", lambda h: h["_id"] != F.col("_id")), 1, k)
     ranked = answered.select(F.col("_id").alias("query_id"), F.posexplode(others).alias("_p", "_h"))
-    return ranked.select("query_id", (F.col("_p") + 1).alias("rank"), F.col("_h._id").alias("vec_id"), F.col("_h._score").alias("score"))
+    return ranked.select("query_id", (F.col("_p") + 1).alias("rank"), F.col("_h._id").alias("vec_id"), (-F.col("_h._less")).alias("score"))
 
 
 def _index(entries: DataFrame, hashes: Hashes) -> tuple[DataFrame, list[np.ndarray]]:
@@ -244,7 +244,8 @@ def dealt(sizes: np.ndarray, task_rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _probe(base: DataFrame, sizes: list[np.ndarray], wanted: DataFrame, hashes: Hashes, loss: float, most: int, task_rows: int, task_queries: int) -> DataFrame:
-    """Rows (_q, _id, _score): for each query the best ``most`` of each task's candidates."""
+    """Rows (_q, _best): for each query the best ``most`` of each task's candidates, as
+    structs of the score with its sign turned (_less) and _id, best first."""
     groups, parts = zip(*[dealt(s, task_rows) for s in sizes])
     width = max(len(p) for p in parts)
     spark = base.sparkSession
@@ -291,13 +292,14 @@ def _probe(base: DataFrame, sizes: list[np.ndarray], wanted: DataFrame, hashes:
     placed = placed.join(crowded, key, "left").withColumn("_turn", F.explode(F.sequence(F.lit(0), turns - 1))).drop("_turns")
     probing = probing.join(crowded, key, "left").withColumn("_turn", F.pmod(F.xxhash64("_q"), turns).cast("int")).drop("_turns")
     task = [*key, "_turn"]
-    return placed.groupBy(*task).cogroup(probing.groupBy(*task)).applyInArrow(lambda b, q: _rerank(b, q, hashes, loss, most), "_q bigint, _id bigint, _score double")
+    return placed.groupBy(*task).cogroup(probing.groupBy(*task)).applyInArrow(lambda b, q: _rerank(b, q, hashes, loss, most), "_q bigint, _best array<struct<_less:double,_id:bigint>>")
 
 
 def _rerank(base: pa.Table, queries: pa.Table, hashes: Hashes, loss: float, most: int) -> pa.Table:
     """The best of a task's entries for each of its queries, bucket by bucket: only queries
     whose loss at a bucket is low enough are compared with what is in it."""
-    schema = pa.schema([("_q", pa.int64()), ("_id", pa.int64()), ("_score", pa.float64())])
+    hit = pa.struct([("_less", pa.float64()), ("_id", pa.int64())])
+    schema = pa.schema([("_q", pa.int64()), ("_best", pa.list_(hit))])
     if not base.num_rows or not queries.num_rows:
         return schema.empty_table()
     b, q = _matrix(base.column("_v"), hashes.dim), _matrix(queries.column("_v"), hashes.dim)
@@ -340,8 +342,11 @@ def _rerank(base: pa.Table, queries: pa.Table, hashes: Hashes, loss: float, most
     by = np.lexsort((found, -exact, i))
     i, exact, found = i[by], exact[by], found[by]
     keep = np.arange(len(i)) - np.searchsorted(i, i) < most
-    asked = np.asarray(queries.column("_q"))
-    return pa.table([pa.array(asked[i[keep]]), pa.array(found[keep]), pa.array(exact[keep])], schema=schema)
+    i, exact, found = i[keep], exact[keep], found[keep]
+    begin = np.flatnonzero(np.r_[True, np.diff(i) != 0][: len(i)])
+    best = pa.StructArray.from_arrays([pa.array(-exact), pa.array(found)], fields=list(hit))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(i)].astype(np.int32)), best)
+    return pa.table([pa.array(np.asarray(queries.column("_q"))[i[begin]]), lists.cast(pa.list_(hit))], schema=schema)
 
 
 def _best(pieces: list, most: int) -> list[np.ndarray]:
