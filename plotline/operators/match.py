@@ -1,12 +1,12 @@
 """The match of addresses to buildings by way of cells, and the sorting into buckets.
 
-Shapes are boxes (columns with a prefix, see functions.geometry), which keeps the whole
-match in generated code; every join is a grid join or an equi-join on ids.
+Shapes are columns with a prefix, boxes or general polygons (see functions.shapes); every
+join is a grid join on their boxes or an equi-join on ids.
 
 Addresses:  id, x, y, number, street, unit, place, exact, and nn, ns, nu (see
             functions.address.with_normal)
-Cells:      cell_id, cxmin, cymin, cxmax, cymax
-Buildings:  bid, building, factor, bxmin, bymin, bxmax, bymax, b_number, b_street,
+Cells:      cell_id and a shape c
+Buildings:  bid, building, factor, a shape b, b_number, b_street,
             b_unit, b_place, b_exact (null without an address), b_nn, b_ns, b_nu
 Existing:   eid, ex, ey, e_number, e_street, e_unit, e_place, e_exact, e_nn, e_ns, e_nu
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.functions import address as A
-from plotline.functions.geometry import box_distance, box_overlap, in_box
+from plotline.functions.shapes import in_shape, shape_area, shape_columns, shape_distance, shape_overlap
 from plotline.operators.grid import grid_join, with_box
 from plotline.operators.settings import GENERIC_BUILDINGS, KIND_CONFIDENCE, OTHER_KIND_CONFIDENCE, MatchSettings, bucket_rank
 from plotline.session import written
@@ -31,19 +31,15 @@ def address_columns(prefix: str = "") -> dict[str, Column]:
     return {p: F.col(prefix + p) for p in PARTS}
 
 
-def box_area(prefix: str) -> Column:
-    return (F.col(f"{prefix}xmax") - F.col(f"{prefix}xmin")) * (F.col(f"{prefix}ymax") - F.col(f"{prefix}ymin"))
-
-
 def assign_cells(addresses: DataFrame, cells: DataFrame, settings: MatchSettings) -> DataFrame:
     """Addresses with cell_id, snapped and cell_distance: the smallest cell that holds the
     point, edges included, or else the nearest within the match distance; ties by id.
     One join, and one partial aggregate per address, finds both."""
     near = grid_join(
-        with_box(addresses.select("id", "x", "y"), "p", "x", "y", settings.match_distance), cells.select("cell_id", "cxmin", "cymin", "cxmax", "cymax"), "p", "c", GRID
+        with_box(addresses.select("id", "x", "y"), "p", "x", "y", settings.match_distance), cells.select("cell_id", *shape_columns(cells, "c")), "p", "c", GRID
     )
-    near = near.withColumn("d", box_distance(F.col("x"), F.col("y"), "c")).where(F.col("d") <= settings.match_distance)
-    best = F.min(F.struct((F.col("d") > 0).alias("snapped"), F.when(F.col("d") > 0, F.col("d")).otherwise(box_area("c")).alias("m"), F.col("cell_id").alias("cell_id"), F.col("d").alias("d")))
+    near = near.withColumn("d", shape_distance(near, "c", F.col("x"), F.col("y"))).where(F.col("d") <= settings.match_distance)
+    best = F.min(F.struct((F.col("d") > 0).alias("snapped"), F.when(F.col("d") > 0, F.col("d")).otherwise(shape_area(near, "c")).alias("m"), F.col("cell_id").alias("cell_id"), F.col("d").alias("d")))
     found = near.groupBy(F.col("id").alias("_id")).agg(best.alias("b"))
     joined = addresses.join(found, F.col("id") == F.col("_id"), "left")
     return joined.select(*addresses.columns, F.col("b.cell_id").alias("cell_id"), F.coalesce("b.snapped", F.lit(False)).alias("snapped"), F.coalesce("b.d", F.lit(0.0)).alias("cell_distance"))
@@ -68,8 +64,8 @@ def building_cells(buildings: DataFrame, cells: DataFrame, addressed: DataFrame,
     """Pairs of building and cell with area_in, share and score. With parcels, a building
     that an addressed parcel holds but for the tolerance belongs to the parcel that holds
     most of it; slivers of too small a share and area are no pairs."""
-    pairs = grid_join(buildings.select("bid", "factor", "bxmin", "bymin", "bxmax", "bymax"), cells, "b", "c", GRID)
-    pairs = pairs.withColumn("area", box_area("b")).withColumn("area_in", box_overlap("b", "c")).where(F.col("area_in") > 0)
+    pairs = grid_join(buildings.select("bid", "factor", *shape_columns(buildings, "b")), cells.select("cell_id", *shape_columns(cells, "c")), "b", "c", GRID)
+    pairs = pairs.withColumn("area", shape_area(pairs, "b")).withColumn("area_in", shape_overlap(pairs, "b", "c")).where(F.col("area_in") > 0)
     pairs = pairs.withColumn("share", F.col("area_in") / F.col("area"))
     if parcels:
         with_address = addressed.select(F.col("cell_id").alias("_addressed")).distinct()
@@ -87,18 +83,18 @@ def rank_buildings(groups: DataFrame, cell_buildings: DataFrame, buildings: Data
     cell's. Equal scores keep the order: the cell's by their own score, then the others,
     then by id."""
     points = groups.where(F.col("cell_id").isNotNull() & ~F.col("cross_dup"))
-    holding = grid_join(with_box(points.select("id", "x", "y"), "p", "x", "y"), buildings.select("bid", "bxmin", "bymin", "bxmax", "bymax"), "p", "b", GRID, in_box(F.col("x"), F.col("y"), "b", strict=True))
+    holding = grid_join(with_box(points.select("id", "x", "y"), "p", "x", "y"), buildings.select("bid", *shape_columns(buildings, "b")), "p", "b", GRID, in_shape(buildings, "b", F.col("x"), F.col("y"), strict=True))
     holding = holding.select("id", "bid", F.lit(True).alias("holds"))
     own = points.select("id", "cell_id").join(cell_buildings.select("cell_id", "bid", "cell_score"), "cell_id").select("id", "bid", "cell_score")
     both = own.join(holding, ["id", "bid"], "full")
     detail = both.join(buildings, "bid").join(points.select("id", "x", "y", *PARTS), "id")
-    area = box_area("b")
+    area = shape_area(buildings, "b")
     extra = F.col("cell_score").isNull()
     generic = F.coalesce(F.col("building").isin(*GENERIC_BUILDINGS), F.lit(True))
     explicit = F.max((F.col("factor") >= 1) & ~generic).over(Window.partitionBy("id"))
     detail = detail.withColumns({"extra": extra, "base": F.coalesce("cell_score", area * F.col("factor")), "holds": F.coalesce("holds", F.lit(False)), "explicit": explicit})
     if synthetic:
-        detail = detail.where(F.col("holds") | (box_distance(F.col("x"), F.col("y"), "b") <= settings.match_distance))
+        detail = detail.where(F.col("holds") | (shape_distance(detail, "b", F.col("x"), F.col("y")) <= settings.match_distance))
     score = F.col("base")
     score = F.when(F.col("explicit") & ~F.col("holds") & generic & (F.col("factor") >= 1), score * settings.generic_beside_explicit).otherwise(score)
     score = F.when(F.col("holds") & (F.col("factor") >= 1), score * settings.contains_factor).otherwise(score)
@@ -112,7 +108,7 @@ def rank_buildings(groups: DataFrame, cell_buildings: DataFrame, buildings: Data
 
 def existing_in_cells(existing: DataFrame, cells: DataFrame) -> DataFrame:
     """Existing addresses with every cell that holds their point, edges included."""
-    return grid_join(with_box(existing, "q", "ex", "ey"), cells, "q", "c", GRID, in_box(F.col("ex"), F.col("ey"), "c")).select(*existing.columns, "cell_id")
+    return grid_join(with_box(existing, "q", "ex", "ey"), cells, "q", "c", GRID, in_shape(cells, "c", F.col("ex"), F.col("ey"))).select(*existing.columns, "cell_id")
 
 
 def best_existing(groups: DataFrame, located: DataFrame) -> DataFrame:
@@ -140,7 +136,7 @@ def bucket_addresses(groups: DataFrame, ranked: DataFrame, cell_buildings: DataF
     Rules about the group come first; groups that none of them decides are assigned to
     their best building, and the rules about buildings see all of its groups."""
     top = ranked.where("rank = 1").select(
-        F.col("id").alias("_t"), "bid", "ratio", "kind", F.col("b_exact").isNotNull().alias("_has"), box_distance(F.col("x"), F.col("y"), "b").alias("_far")
+        F.col("id").alias("_t"), "bid", "ratio", "kind", F.col("b_exact").isNotNull().alias("_has"), shape_distance(ranked, "b", F.col("x"), F.col("y")).alias("_far")
     )
     rows = groups.join(top, F.col("id") == F.col("_t"), "left")
     if existing is None:
@@ -215,9 +211,9 @@ def shared_building_pass(proposals: DataFrame, groups: DataFrame, buildings: Dat
     rows = rows.join(units, F.col("_plain") == F.col("_p"), "left")
     lone_unit = has_unit & (F.coalesce("_buildings", F.lit(0)) <= 1)
     mine = rows.where("_one").select(F.col("id").alias("_mine"), F.col("target").alias("_bid"))
-    mine = mine.join(buildings.select(F.col("bid").alias("_b2"), "bxmin", "bymin", "bxmax", "bymax"), F.col("_bid") == F.col("_b2"))
+    mine = mine.join(buildings.select(F.col("bid").alias("_b2"), *shape_columns(buildings, "b")), F.col("_bid") == F.col("_b2"))
     other = with_box(rows.select(F.col("id").alias("_oid"), F.col("x").alias("_ox"), F.col("y").alias("_oy"), F.col("target").alias("_ot")), "o", "_ox", "_oy")
-    inside = in_box(F.col("_ox"), F.col("_oy"), "b", strict=True)
+    inside = in_shape(buildings, "b", F.col("_ox"), F.col("_oy"), strict=True)
     hits = grid_join(mine, other, "b", "o", GRID, inside & (F.col("_oid") != F.col("_mine")) & (F.col("_ot").isNull() | (F.col("_ot") == F.col("_bid")))).select("_mine")
     if existing is not None:
         there = with_box(existing.select(F.col("ex").alias("_ox"), F.col("ey").alias("_oy")), "o", "_ox", "_oy")
@@ -229,12 +225,13 @@ def shared_building_pass(proposals: DataFrame, groups: DataFrame, buildings: Dat
     return rows.select("id", bucket.alias("bucket"), "confidence", "target", "ratio", "kind", (unit | shared).alias("keeps_node"))
 
 
-def match_addresses(addresses: DataFrame, cells: DataFrame, buildings: DataFrame, existing: DataFrame | None = None, settings: MatchSettings | None = None) -> DataFrame:
-    """The whole match over parcels: one proposal per distinct address and cell."""
+def match_addresses(addresses: DataFrame, cells: DataFrame, buildings: DataFrame, existing: DataFrame | None = None, settings: MatchSettings | None = None, synthetic: bool = False) -> DataFrame:
+    """The whole match: one proposal per distinct address and cell. Cells are parcels, or,
+    if ``synthetic``, made from the addresses (see operators.site_cells)."""
     settings = settings or MatchSettings()
     groups = written(group_addresses(assign_cells(addresses, cells, settings)), "groups")
-    pairs = written(building_cells(buildings, cells, groups.where("cell_id IS NOT NULL"), settings), "pairs")
-    ranked = rank_buildings(groups, pairs, buildings, settings)
+    pairs = written(building_cells(buildings, cells, groups.where("cell_id IS NOT NULL"), settings, parcels=not synthetic), "pairs")
+    ranked = rank_buildings(groups, pairs, buildings, settings, synthetic)
     matches = best_existing(groups, existing_in_cells(existing, cells)) if existing is not None else None
     proposals = written(bucket_addresses(groups, ranked, pairs, matches, settings), "proposals")
     return shared_building_pass(proposals, groups, buildings, existing)

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.functions.geometry import in_box, segment_distance
+from plotline.functions.geometry import segment_distance
+from plotline.functions.shapes import in_shape, shape_area
 from plotline.operators.grid import grid_join, with_box
-from plotline.operators.match import box_area
 
 ROAD_RADIUS = 60.0
 STREET_RADIUS = 200.0
@@ -43,14 +43,14 @@ def along(x: Column, y: Column) -> Column:
 
 
 def roads_near(points: DataFrame, roads: DataFrame, radius: float) -> DataFrame:
-    """Pairs of point and road piece at most ``radius`` apart, with the distance."""
+    """Pairs of point and road piece at most ``radius`` apart, with the distance, to a nanometre."""
     boxed = roads.withColumns(
         {"rxmin": F.least("ax", "bx"), "rymin": F.least("ay", "by"), "rxmax": F.greatest("ax", "bx"), "rymax": F.greatest("ay", "by")}
     )
     pairs = grid_join(with_box(points, "p", "x", "y", radius), boxed, "p", "r", max(60.0, radius))
     pairs = pairs.drop("pxmin", "pymin", "pxmax", "pymax", "rxmin", "rymin", "rxmax", "rymax")
     distance = segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    return pairs.withColumn("distance", distance).where(F.col("distance") <= radius)
+    return pairs.withColumn("distance", F.round(distance, 9)).where(F.col("distance") <= radius)
 
 
 def street_names(addresses: DataFrame, roads: DataFrame, radius: float = STREET_RADIUS) -> DataFrame:
@@ -91,12 +91,12 @@ def neighbour_streets(addresses: DataFrame, roads: DataFrame) -> DataFrame:
     )
 
 
-def placed_on_streets(addresses: DataFrame, roads: DataFrame) -> DataFrame:
+def placed_on_streets(addresses: DataFrame, roads: DataFrame, nearest_side: float = SIDE_NEAREST, farthest_side: float = SIDE_FARTHEST) -> DataFrame:
     """Addresses with the piece of their own street they lie at: side, metres along and number."""
-    near = roads_near(addresses.select("id", "x", "y", "ns", "house"), roads.select("road_id", "key", "ax", "ay", "bx", "by"), SIDE_FARTHEST).where("ns = key")
+    near = roads_near(addresses.select("id", "x", "y", "ns", "house"), roads.select("road_id", "key", "ax", "ay", "bx", "by"), farthest_side).where("ns = key")
     nearest = near.groupBy("id").agg(F.min(F.struct("distance", "road_id", "ax", "ay", "bx", "by", "x", "y", "house", "key")).alias("r")).select("id", "r.*")
     placed = nearest.withColumns({"side": side_of(F.col("x"), F.col("y")), "at": along(F.col("x"), F.col("y"))})
-    return placed.where((F.col("distance") >= SIDE_NEAREST) & (F.col("side") != 0) & (F.col("house") >= 0)).select("id", "road_id", "key", "side", "at", "house")
+    return placed.where((F.col("distance") >= nearest_side) & (F.col("side") != 0) & (F.col("house") >= 0)).select("id", "road_id", "key", "side", "at", "house")
 
 
 def out_of_sequence(placed: DataFrame) -> DataFrame:
@@ -121,14 +121,14 @@ def wrong_parity(placed: DataFrame) -> DataFrame:
     return rows.where((F.col("n") >= MIN_PARITY_SIDE) & usual.isNotNull() & (F.col("house") % 2 != usual)).select("id", "road_id", "side", "house")
 
 
-def nodes_in_buildings(addresses: DataFrame, buildings: DataFrame) -> DataFrame:
+def nodes_in_buildings(addresses: DataFrame, buildings: DataFrame, large: float = LARGE_BUILDING) -> DataFrame:
     """Address nodes strictly inside the smallest building around them whose own address
     differs in number or street; minor where the building is shared or has two fronts."""
-    held = grid_join(with_box(addresses.select("id", "x", "y", "nn", "ns"), "p", "x", "y"), buildings, "p", "b", 40.0, in_box(F.col("x"), F.col("y"), "b", strict=True))
-    held = held.withColumn("area", box_area("b"))
+    held = grid_join(with_box(addresses.select("id", "x", "y", "nn", "ns"), "p", "x", "y"), buildings, "p", "b", 40.0, in_shape(buildings, "b", F.col("x"), F.col("y"), strict=True))
+    held = held.withColumn("area", shape_area(held, "b"))
     inside = held.groupBy(F.col("bid").alias("_b")).agg(F.count(F.lit(1)).alias("inside"))
     smallest = held.groupBy("id").agg(F.min(F.struct("area", "bid", "b_nn", "b_ns", "nn", "ns", "b_exact")).alias("s")).select("id", "s.*")
     streets_differ = (F.col("ns") != "") & (F.col("b_ns") != "") & (F.col("ns") != F.col("b_ns"))
     rows = smallest.where(F.col("b_exact").isNotNull() & ((F.col("nn") != F.col("b_nn")) | streets_differ)).join(inside, F.col("bid") == F.col("_b"))
-    minor = (F.col("inside") >= 2) | (streets_differ & (F.col("area") >= LARGE_BUILDING))
+    minor = (F.col("inside") >= 2) | (streets_differ & (F.col("area") >= large))
     return rows.select("id", "bid", F.when(minor, "OTHER").otherwise("WARNING").alias("severity"), "inside")

@@ -12,36 +12,57 @@ from pyspark.sql import functions as F
 
 from plotline.operators.grid import grid_join, with_box
 from plotline.session import ship, written
+from plotline.spread import numbered
 
 NEAR = 8
 AROUND = 10
 MIN_SPACING = 1.0
 CORNERS = 32
+# Fixed values of the shift estimate.
+LEAST_SAMPLES, CHANGED = 5, 0.01
+SIGNIFICANT_SAMPLES, SIGNIFICANT_SHIFT, SIGNIFICANT_GAIN, SIGNIFICANT_RATIO, SIGNIFICANT_IMPROVED = 20, 1.5, 0.02, 3, 5
+#: So few points may be compared with all sites.
+FAR_POINTS = 1000
+
+
+def _finite(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf))
+    return df
 
 
 def nearest_sites(points: DataFrame, sites: DataFrame, k: int, radius: float) -> DataFrame:
     """For each point (pid, px, py) its ``k`` nearest sites (sid, sx, sy) with rank and distance.
 
     Points that find fewer within ``radius`` are tried again with twice the radius, until
-    all have k, or all sites; each round only those are left that still lack some.
+    all have k, or all sites; each round only those are left that still lack some. The
+    last FAR_POINTS, which lie far from everything, are compared with all sites, each task
+    of which passes on k for a point. Points and sites without finite coordinates take
+    no part.
     """
-    total = sites.count()
-    need, out = min(k, total), None
-    left = points
-    while need:
+    points, sites = _finite(points, "px", "py"), written(_finite(sites, "sx", "sy"), "sites")
+    need, out = min(k, sites.count()), None
+    left = written(points, "points")
+    nothing = points.select("pid", F.lit(0).cast("long").alias("sid"), F.lit(0).alias("rank"), F.lit(0.0).alias("distance")).limit(0)
+    waiting = left.count() if need else 0
+    apart = F.sqrt(F.pow(F.col("px") - F.col("sx"), 2) + F.pow(F.col("py") - F.col("sy"), 2))
+    nearest = Window.partitionBy("pid").orderBy("distance", "sid")
+    tried = False
+    while waiting:
+        if tried and waiting <= FAR_POINTS:
+            pairs = sites.crossJoin(F.broadcast(left)).select("pid", "sid", apart.alias("distance"))
+            last = pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= need).select("pid", "sid", "rank", "distance")
+            return last if out is None else out.unionByName(last)
         pairs = grid_join(with_box(left, "a", "px", "py", radius), with_box(sites, "s", "sx", "sy"), "a", "s", radius)
-        d = F.sqrt(F.pow(F.col("px") - F.col("sx"), 2) + F.pow(F.col("py") - F.col("sy"), 2))
-        pairs = pairs.select("pid", "px", "py", "sid", d.alias("distance")).where(F.col("distance") <= radius)
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy("distance", "sid"))).where(F.col("rank") <= need)
-        ranked = written(ranked, "nearest")
-        full = ranked.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == need).select(F.col("pid").alias("_f"))
-        done = ranked.join(full, F.col("pid") == F.col("_f"), "left_semi").select("pid", "sid", "rank", "distance")
+        pairs = pairs.select("pid", "sid", apart.alias("distance")).where(F.col("distance") <= radius)
+        ranked = pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= need)
+        ranked = written(ranked.withColumn("_found", F.max("rank").over(Window.partitionBy("pid"))), "nearest")
+        done = ranked.where(F.col("_found") == need).select("pid", "sid", "rank", "distance")
         out = done if out is None else out.unionByName(done)
-        left = written(left.join(full, F.col("pid") == F.col("_f"), "left_anti"), "left")
-        if not left.take(1):
-            return out
+        left = written(left.join(done.where("rank = 1").select(F.col("pid").alias("_f")), F.col("pid") == F.col("_f"), "left_anti"), "left")
+        waiting, tried = left.count(), True
         radius *= 2
-    return points.select("pid", F.lit(0).cast("long").alias("sid"), F.lit(0).alias("rank"), F.lit(0.0).alias("distance")).limit(0)
+    return nothing if out is None else out
 
 
 def local_spacing(sites: DataFrame, radius: float = 60.0) -> DataFrame:
@@ -50,11 +71,12 @@ def local_spacing(sites: DataFrame, radius: float = 60.0) -> DataFrame:
     where none of them has one. Sites at the same place count once."""
     distinct = written(sites.groupBy("sx", "sy").agg(F.min("sid").alias("sid")), "sites")
     points = distinct.select(F.col("sid").alias("pid"), F.col("sx").alias("px"), F.col("sy").alias("py"))
-    gaps = nearest_sites(points, distinct, NEAR, radius).where(F.col("distance") >= MIN_SPACING).groupBy(F.col("pid").alias("_s")).agg(F.min("distance").alias("gap"))
+    near = written(nearest_sites(points, distinct, max(NEAR, AROUND), radius), "near")
+    gaps = near.where((F.col("rank") <= NEAR) & (F.col("distance") >= MIN_SPACING)).groupBy(F.col("pid").alias("_s")).agg(F.min("distance").alias("gap"))
     gaps = written(gaps, "gaps")
-    near = nearest_sites(points, distinct, AROUND, radius).join(gaps, F.col("sid") == F.col("_s"), "left")
+    around = near.where(F.col("rank") <= AROUND).join(gaps, F.col("sid") == F.col("_s"), "left")
     overall = gaps.agg(F.median("gap").alias("_all"))  # one row
-    return near.groupBy("pid").agg(F.median("gap").alias("own")).crossJoin(F.broadcast(overall)).select(F.col("pid").alias("sid"), F.coalesce("own", "_all").alias("spacing"))
+    return around.groupBy("pid").agg(F.median("gap").alias("own")).crossJoin(F.broadcast(overall)).select(F.col("pid").alias("sid"), F.coalesce("own", "_all").alias("spacing"))
 
 
 def clip_to_nearer(ring: np.ndarray, site: tuple[float, float], other: tuple[float, float]) -> np.ndarray:
@@ -111,23 +133,25 @@ def site_cells(sites: DataFrame, reach: DataFrame) -> DataFrame:
 
 def even_sample(rows: DataFrame, order: str, most: int) -> DataFrame:
     """At most about ``most`` rows, evenly over the order: 0, step, 2 step and so on."""
-    n = rows.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1).crossJoin(F.broadcast(n))
-    step = F.greatest(F.lit(1.0), F.col("_n") / most)
-    k = F.ceil(F.col("_i") / step)
-    return numbered.where(F.col("_i") == F.floor(k * step)).drop("_i", "_n")
+    step = max(1.0, rows.count() / most)
+    placed = numbered(rows, order)
+    return placed.where(F.col("_n") == F.floor(F.ceil(F.col("_n") / step) * step)).drop("_n")
+
+
+def _held(samples: DataFrame, parcels: DataFrame, shifts: DataFrame) -> DataFrame:
+    """For each offset and building the most outline points that one parcel holds."""
+    reach = 14.0
+    near = grid_join(with_box(samples, "p", "x", "y", reach), parcels.select("cell_id", "cxmin", "cymin", "cxmax", "cymax"), "p", "c", 40.0).select("bid", "x", "y", "cell_id", "cxmin", "cymin", "cxmax", "cymax")
+    # a stated, small set of offsets against all points
+    moved = near.crossJoin(F.broadcast(shifts)).where("x >= cxmin + dx AND x <= cxmax + dx AND y >= cymin + dy AND y <= cymax + dy")
+    return moved.groupBy("dx", "dy", "bid", "cell_id").agg(F.count(F.lit(1)).alias("n")).groupBy("dx", "dy", "bid").agg(F.max("n").alias("n"))
 
 
 def shift_scores(samples: DataFrame, parcels: DataFrame, offsets: DataFrame) -> DataFrame:
     """For each offset (dx, dy) the mean, over buildings, of the largest share of the
     building's outline points (bid, x, y) that one parcel moved by the offset holds."""
-    reach = 14.0
-    near = grid_join(with_box(samples, "p", "x", "y", reach), parcels.select("cell_id", "cxmin", "cymin", "cxmax", "cymax"), "p", "c", 40.0).select("bid", "x", "y", "cell_id", "cxmin", "cymin", "cxmax", "cymax")
     sizes = samples.groupBy(F.col("bid").alias("_b")).agg(F.count(F.lit(1)).alias("points"))
-    # a stated, small set of offsets against all points
-    moved = near.crossJoin(F.broadcast(offsets)).where("x >= cxmin + dx AND x <= cxmax + dx AND y >= cymin + dy AND y <= cymax + dy")
-    held = moved.groupBy("dx", "dy", "bid", "cell_id").agg(F.count(F.lit(1)).alias("n"))
-    best = held.groupBy("dx", "dy", "bid").agg(F.max("n").alias("n")).join(sizes, F.col("bid") == F.col("_b"))
+    best = _held(samples, parcels, offsets).join(sizes, F.col("bid") == F.col("_b"))
     total = sizes.agg(F.count(F.lit(1)).alias("_t"))  # one row
     return best.groupBy("dx", "dy").agg(F.sum(F.col("n") / F.col("points")).alias("s")).crossJoin(F.broadcast(total)).select("dx", "dy", (F.col("s") / F.col("_t")).alias("score"))
 
@@ -138,6 +162,16 @@ def offsets(spark, dx: float, dy: float, reach: float, step: float, limit: float
     return grid.where((F.abs("dx") <= limit) & (F.abs("dy") <= limit))
 
 
+def _shares(samples: DataFrame, parcels: DataFrame, shifts: DataFrame) -> DataFrame:
+    """For each offset (dx, dy) and building, the largest share of its outline points that
+    one parcel moved by the offset holds; 0 where none holds any."""
+    held = _held(samples, parcels, shifts)
+    sizes = samples.groupBy(F.col("bid").alias("_b")).agg(F.count(F.lit(1)).alias("points"))
+    every = sizes.crossJoin(F.broadcast(shifts)).select(F.col("dx").alias("_dx"), F.col("dy").alias("_dy"), "_b", "points")
+    found = every.join(held, (F.col("_b") == F.col("bid")) & (F.col("_dx") == F.col("dx")) & (F.col("_dy") == F.col("dy")), "left")
+    return found.select(F.col("_dx").alias("dx"), F.col("_dy").alias("dy"), F.col("_b").alias("bid"), (F.coalesce("n", F.lit(0)) / F.col("points")).alias("share"))
+
+
 def best_shift(samples: DataFrame, parcels: DataFrame) -> tuple[float, float]:
     """Coarse to fine: the offset of the best score, the smaller shift of equal ones. One
     row reaches the driver in each of the three rounds."""
@@ -150,3 +184,28 @@ def best_shift(samples: DataFrame, parcels: DataFrame) -> tuple[float, float]:
             return 0.0, 0.0
         x, y = top["dx"], top["dy"]
     return x, y
+
+
+def shift_estimate(samples: DataFrame, parcels: DataFrame) -> DataFrame:
+    """The shift of the parcels (dx, dy) with what speaks for it: samples, the mean share
+    before and after, and how many buildings gain or lose more than a hundredth.
+
+    Buildings of which no parcel holds anything at no shift say nothing and are left out;
+    there is no row for fewer than five others. See SIGNIFICANT_* for when a shift is
+    worth applying.
+    """
+    samples = written(samples, "samples")
+    here = offsets(samples.sparkSession, 0.0, 0.0, 0.0, 1.0)
+    useful = written(_shares(samples, parcels, here).where("share > 0").select(F.col("bid").alias("_u")), "useful")
+    samples = written(samples.join(useful, F.col("bid") == F.col("_u"), "left_semi"), "useful-samples")
+    x, y = best_shift(samples, parcels)
+    moved = here.select(F.lit(x).alias("dx"), F.lit(y).alias("dy"))
+    before = _shares(samples, parcels, here).select(F.col("bid").alias("_b"), F.col("share").alias("before"))
+    rows = _shares(samples, parcels, moved).join(before, F.col("bid") == F.col("_b")).withColumn("gain", F.round(F.col("share") - F.col("before"), 9))
+    out = rows.agg(
+        F.count(F.lit(1)).alias("samples"), F.avg("before").alias("before"), F.avg("share").alias("after"),
+        F.count_if(F.col("gain") > CHANGED).alias("improved"), F.count_if(F.col("gain") < -CHANGED).alias("worsened"),
+    ).where(F.col("samples") >= LEAST_SAMPLES)
+    helps = (F.round(F.col("after") - F.col("before"), 9) >= SIGNIFICANT_GAIN) & (F.col("improved") >= SIGNIFICANT_RATIO * F.col("worsened")) & (F.col("improved") >= SIGNIFICANT_IMPROVED)
+    significant = F.lit(math.hypot(x, y) >= SIGNIFICANT_SHIFT) & (F.col("samples") >= SIGNIFICANT_SAMPLES) & helps
+    return out.select(F.lit(x).alias("dx"), F.lit(y).alias("dy"), "samples", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "improved", "worsened", significant.alias("significant"))

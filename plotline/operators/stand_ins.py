@@ -2,7 +2,7 @@
 footprints of a second layer.
 
 Nodes:  node_id, mx, my
-Hints:  hint_id, factor, hxmin, hymin, hxmax, hymax
+Hints:  hint_id, factor and a shape h (see functions.shapes)
 
 A group that no rule about existing addresses decides goes to its cell's building nodes
 if the cell offers no outline, or else to its best hint if there is no outline or only an
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotline.functions import address as A
-from plotline.functions.geometry import box_distance, in_box
+from plotline.functions.shapes import BOX, SHAPE, in_shape, shape_distance
 from plotline.operators import match as M
 from plotline.operators.grid import grid_join, with_box
 from plotline.operators.settings import MatchSettings
@@ -27,12 +27,12 @@ NODE, HINT = "node", "hint"
 def nodes_in_cells(nodes: DataFrame, cells: DataFrame) -> DataFrame:
     """Building nodes with every cell that holds them, edges included."""
     points = with_box(nodes.select("node_id", "mx", "my"), "m", "mx", "my")
-    return grid_join(points, cells, "m", "c", M.GRID, in_box(F.col("mx"), F.col("my"), "c")).select("node_id", "cell_id")
+    return grid_join(points, cells, "m", "c", M.GRID, in_shape(cells, "c", F.col("mx"), F.col("my"))).select("node_id", "cell_id")
 
 
 def as_buildings(hints: DataFrame) -> DataFrame:
     """Hints in the columns of buildings: without a kind and without an address."""
-    rows = hints.select(F.col("hint_id").alias("bid"), "factor", *[F.col(f"h{c}").alias(f"b{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+    rows = hints.select(F.col("hint_id").alias("bid"), "factor", *[F.col(f"h{c}").alias(f"b{c}") for c in BOX + SHAPE if f"h{c}" in hints.columns])
     nothing = F.lit(None).cast("string")
     return A.with_normal(rows.withColumns({c: nothing for c in ("building", "b_number", "b_street", "b_unit", "b_place", "b_exact")}), "b_")
 
@@ -56,7 +56,7 @@ def diverted(
         rows = rows.withColumns({"hint_id": F.lit(None).cast("long"), "ratio": F.lit(0.0), "far": F.lit(0.0), "_hint_score": F.lit(0.0)})
     else:
         best = ranked_hints.where("rank = 1").select(
-            F.col("id").alias("_h"), F.col("bid").alias("hint_id"), "ratio", box_distance(F.col("x"), F.col("y"), "b").alias("far"), F.col("score").alias("_hint_score")
+            F.col("id").alias("_h"), F.col("bid").alias("hint_id"), "ratio", shape_distance(ranked_hints, "b", F.col("x"), F.col("y")).alias("far"), F.col("score").alias("_hint_score")
         )
         rows = rows.join(best, F.col("id") == F.col("_h"), "left")
     none = F.col("_t").isNull()

@@ -21,6 +21,9 @@ class Town:
     """The match's steps over the town. Steps that several others read are written once;
     each query makes only those it needs."""
 
+    settings = SETTINGS
+    synthetic = False
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.cells = town.cells(spark, sf_dir)
         self.addresses = A.with_normal(town.addresses(spark, sf_dir))
@@ -29,7 +32,7 @@ class Town:
 
     @cached_property
     def located(self) -> DataFrame:
-        return M.assign_cells(self.addresses, self.cells, SETTINGS)
+        return M.assign_cells(self.addresses, self.cells, self.settings)
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -37,11 +40,11 @@ class Town:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return written(M.building_cells(self.buildings, self.cells, self.groups.where("cell_id IS NOT NULL"), SETTINGS), "pairs")
+        return written(M.building_cells(self.buildings, self.cells, self.groups.where("cell_id IS NOT NULL"), self.settings, parcels=not self.synthetic), "pairs")
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return M.rank_buildings(self.groups, self.pairs, self.buildings, SETTINGS)
+        return M.rank_buildings(self.groups, self.pairs, self.buildings, self.settings, self.synthetic)
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -49,7 +52,7 @@ class Town:
 
     @cached_property
     def proposals(self) -> DataFrame:
-        return written(M.bucket_addresses(self.groups, self.ranked, self.pairs, self.matches, SETTINGS), "proposals")
+        return written(M.bucket_addresses(self.groups, self.ranked, self.pairs, self.matches, self.settings), "proposals")
 
     @cached_property
     def final(self) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotline.functions import address as A
+from plotline.functions.shapes import shape_area
 from plotline.operators import quality as Q
 from plotline.operators import spacing as P
-from plotline.operators.match import box_area
 from plotline.plans import sqltext as S
 from plotline.plans import town
 from plotline.plans.match_queries import SETTINGS
@@ -61,7 +61,7 @@ def node_in_building(spark, sf_dir) -> DataFrame:
 
 def outbuilding_addresses(spark, sf_dir) -> DataFrame:
     b = town.buildings(spark, sf_dir, SETTINGS)
-    return b.where("b_exact IS NOT NULL AND factor < 1").select("bid", "building", "factor", box_area("b").alias("area"))
+    return b.where("b_exact IS NOT NULL AND factor < 1").select("bid", "building", "factor", shape_area(b, "b").alias("area"))
 
 
 def _sites(spark, sf_dir) -> DataFrame:
@@ -89,7 +89,7 @@ def voronoi_cells(spark, sf_dir) -> DataFrame:
 def _outline(spark, sf_dir) -> DataFrame:
     """Points a metre apart along the outlines of an even sample of buildings of usual size."""
     b = town.buildings(spark, sf_dir, SETTINGS)
-    area = box_area("b")
+    area = shape_area(b, "b")
     b = P.even_sample(b.where((area >= 20) & (area <= 3000)).select("bid", "bxmin", "bymin", "bxmax", "bymax"), "bid", 300)
     w, h = (F.col("bxmax") - F.col("bxmin")).cast("int"), (F.col("bymax") - F.col("bymin")).cast("int")
     point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -113,8 +113,8 @@ def parcel_shift_scores(spark, sf_dir) -> DataFrame:
 
 
 def parcel_shift_search(spark, sf_dir) -> DataFrame:
-    dx, dy = P.best_shift(_outline(spark, sf_dir), _moved_cells(spark, sf_dir))
-    return spark.range(1).select(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+    """The shift found in three rounds, and what speaks for it."""
+    return P.shift_estimate(_outline(spark, sf_dir), _moved_cells(spark, sf_dir))
 
 
 QUERIES = {
@@ -170,6 +170,25 @@ pts AS (SELECT bid, count(*) AS points FROM outl GROUP BY bid)
 """
 
 
+def _search_sql() -> str:
+    """The three rounds of the search, and the estimate, over buildings that a parcel holds."""
+    within = "x BETWEEN x0 + dx AND x1 + dx AND y BETWEEN y0 + dy AND y1 + dy"
+    out = """, npu AS (SELECT np.* FROM np WHERE bid IN (SELECT bid FROM np WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)),
+ptu AS (SELECT * FROM pts WHERE bid IN (SELECT bid FROM npu)), sb0 AS (SELECT 0.0::DOUBLE AS dx, 0.0::DOUBLE AS dy)"""
+    for k, (reach, step) in enumerate(((12.0, 2.0), (2.0, 0.5), (0.5, 0.25)), 1):
+        n = round(2 * reach / step) + 1
+        out += f""", so{k} AS (SELECT * FROM (SELECT i * {step}::DOUBLE - {reach} + dx AS dx, j * {step}::DOUBLE - {reach} + dy AS dy FROM sb{k - 1}, unnest(range({n})) AS a(i), unnest(range({n})) AS b(j)) WHERE abs(dx) <= 12 AND abs(dy) <= 12),
+sc{k} AS (SELECT dx, dy, bid, max(n) AS n FROM (SELECT dx, dy, bid, cell_id, count(*) AS n FROM npu, so{k} WHERE {within} GROUP BY ALL) GROUP BY ALL),
+sb{k} AS (SELECT dx, dy FROM sc{k} JOIN ptu USING (bid) GROUP BY dx, dy ORDER BY round(sum(n / points) / (SELECT count(*) FROM ptu), 9) DESC, sqrt(dx * dx + dy * dy), dx, dy LIMIT 1)"""
+    share = lambda at: f"SELECT bid, coalesce(n, 0) / points AS s FROM ptu LEFT JOIN (SELECT bid, max(n) AS n FROM (SELECT bid, cell_id, count(*) AS n FROM npu, {at} WHERE {within} GROUP BY ALL) GROUP BY bid) USING (bid)"
+    out += f""", sh AS (SELECT a.s AS s0, b.s AS s1, round(b.s - a.s, 9) AS g FROM ({share("sb0")}) a JOIN ({share("sb3")}) b USING (bid)),
+ag AS (SELECT count(*) AS samples, avg(s0) AS s0, avg(s1) AS s1, count(*) FILTER (g > 0.01) AS up, count(*) FILTER (g < -0.01) AS down FROM sh)
+SELECT dx, dy, samples, round(s0, 6) AS before, round(s1, 6) AS after, up AS improved, down AS worsened,
+  sqrt(dx * dx + dy * dy) >= 1.5 AND samples >= 20 AND round(s1 - s0, 9) >= 0.02 AND up >= 3 * down AND up >= 5 AS significant
+FROM sb3, ag WHERE samples >= 5"""
+    return out
+
+
 _BASE = _base()
 SQL = {
     "roads_within_radius": _BASE + "SELECT id, road_id, round(distance, 6) AS distance FROM near WHERE distance <= 30",
@@ -187,5 +206,6 @@ SQL = {
     "local_spacing": _BASE + "SELECT a AS sid, round(coalesce(median(gap), (SELECT median(gap) FROM gaps)), 6) AS spacing FROM rk LEFT JOIN gaps ON b = sid WHERE r <= 10 GROUP BY a",
     "nearest_site_cells": _BASE + """SELECT bid, id AS sid, round(d, 6) AS distance FROM (SELECT bid, id, sqrt((x - (bxmin + bxmax) / 2) ** 2 + (y - (bymin + bymax) / 2) ** 2) AS d
         FROM buildings JOIN addresses ON abs(x - (bxmin + bxmax) / 2) <= 120 AND abs(y - (bymin + bymax) / 2) <= 120) QUALIFY row_number() OVER (PARTITION BY bid ORDER BY d, id) = 1""",
+    "parcel_shift_search": _BASE + _search_sql(),
     "parcel_shift_scores": _BASE + "SELECT dx, dy, round(sum(n / points) / (SELECT count(*) FROM pts), 6) AS score FROM bs JOIN pts USING (bid) GROUP BY dx, dy",
 }

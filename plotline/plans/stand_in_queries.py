@@ -25,10 +25,11 @@ def hints(spark, sf_dir) -> DataFrame:
 
 
 def nodes(spark, sf_dir) -> DataFrame:
-    """Building nodes, one or two to a lot."""
+    """Building nodes, one for each block of orders, one or two to a lot."""
     n = town.table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n"))  # one row
     o, lot = F.col("o_orderkey"), F.col("lot")
-    rows = town.table(spark, sf_dir, "orders").where(o % 40 == 0).crossJoin(F.broadcast(n)).withColumn("lot", (F.floor(o / 60) * 49 + 21) % F.col("n"))
+    blocks = town.table(spark, sf_dir, "orders").groupBy(F.floor(o / 40)).agg(F.min(o).alias("o_orderkey"))
+    rows = blocks.crossJoin(F.broadcast(n)).withColumn("lot", (F.floor(o / 60) * 49 + 21) % F.col("n"))
     return rows.select(o.cast("long").alias("node_id"), ((lot % 40) * 20 + o % 7 - 3).cast("double").alias("mx"), (F.floor(lot / 40) * 30 + o % 11 - 5).cast("double").alias("my"))
 
 
@@ -71,7 +72,7 @@ hint AS (
     CAST((lot % 40) * 20 + ox + hx AS DOUBLE) AS hxmax, CAST((lot // 40) * 30 + oy + hy AS DOUBLE) AS hymax FROM hint0),
 bnode AS (
   SELECT o_orderkey AS node_id, CAST((lot % 40) * 20 + o_orderkey % 7 - 3 AS DOUBLE) AS mx, CAST((lot // 40) * 30 + o_orderkey % 11 - 5 AS DOUBLE) AS my
-  FROM (SELECT o_orderkey, (o_orderkey // 60 * 49 + 21) % n AS lot FROM orders, n WHERE o_orderkey % 40 = 0)),
+  FROM (SELECT o_orderkey, (o_orderkey // 60 * 49 + 21) % n AS lot FROM (SELECT min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_orderkey // 40), n)),
 bnode_cell AS (SELECT node_id, cell_id FROM bnode JOIN cells ON mx BETWEEN cxmin AND cxmax AND my BETWEEN cymin AND cymax),
 hp0 AS (
   SELECT hid, cell_id, (hxmax - hxmin) * (hymax - hymin) AS area, greatest(0, least(hxmax, cxmax) - greatest(hxmin, cxmin)) * greatest(0, least(hymax, cymax) - greatest(hymin, cymin)) AS area_in
