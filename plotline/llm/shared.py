@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotline.session import forget, shared_folder, written
+from plotline.spread import HOT_ROWS, join_spread, numbered
 
-__all__ = ["balanced_sample", "fold", "forget", "held_out", "join_spread", "labelled_sample", "numbered", "shared_folder", "table", "written"]
-
-#: A key of more rows than this is hot; so there is at most one hot key for so many rows.
-HOT_ROWS = 200_000
+__all__ = ["HOT_ROWS", "balanced_sample", "fold", "forget", "held_out", "join_spread", "labelled_sample", "numbered", "shared_folder", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,36 +25,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
-def numbered(rows: DataFrame, *order: Column | str, at_once: int = HOT_ROWS) -> DataFrame:
-    """``rows`` with ``_n``, their places in the order from 0. More than ``at_once`` rows
-    are numbered within ranges, and the few ranges' sizes are added up."""
-    if rows.count() <= at_once:
-        return rows.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1)
-    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))  # a row for each range
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    placed = ranged.withColumn("_own", own).join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
-    return placed.withColumn("_n", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")
-
-
-def join_spread(rows: DataFrame, unique: DataFrame, key: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``rows`` joined to ``unique``, which has one row a key, null keys matching nothing.
-
-    Rows of hot keys stay where they are: their rows of ``unique``, at most one for each
-    ``hot_rows`` rows, are broadcast. The others are shuffled. ``rows`` is read three
-    times, so it should be a written table.
-    """
-    hot = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_many")).where(F.col("_many") > hot_rows).select("_hot")
-    hot = written(hot, "hot-keys")
-    if not hot.take(1):
-        return rows.join(unique, key, how)
-    theirs = unique.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_semi")
-    here = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_semi")
-    rest = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_anti")
-    return here.join(F.broadcast(theirs), key, how).unionByName(rest.join(unique, key, how))
-
-
 def _sampled(narrow: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> list:
     """Rows (_id, _tie, _y, _text) for the (_id, _tie, _y) of ``narrow``, a bounded sample;
     repeated rows count once."""
