@@ -110,7 +110,9 @@ def winnowed(df: DataFrame, k: int, window: int, every: int | None) -> DataFrame
     df = df.withColumn("_kept", F.zip_with("_h", F.slice("_high", 1, F.greatest(F.size("_h"), F.lit(1))), lambda h, m: F.when(h == m, h)))
     step = (lambda i: i % every == 0) if every else (lambda i: F.lit(False))
     ends = lambda g, i: F.when(~g["h"].eqNullSafe(g["b"]) | ~g["h"].eqNullSafe(g["a"]) | step(i), g["h"])
-    return df.withColumn("_kept", F.transform(_neighbours(F.col("_kept")), ends))
+    # few texts have such runs; the others are left as they are
+    runs = F.array_contains(F.zip_with("_kept", _later("_kept", 1), lambda a, b: F.coalesce(a == b, F.lit(False))), True)
+    return df.withColumn("_runs", runs).withColumn("_kept", F.when(F.col("_runs"), F.transform(_neighbours(F.col("_kept")), ends)).otherwise(F.col("_kept"))).drop("_runs")
 
 
 def fingerprints(df: DataFrame, keep: list[str], anchors: list[int], k: int = K, window: int = WINDOW, every: int | None = None) -> DataFrame:
@@ -184,7 +186,7 @@ def find_occurrences(
     per_doc = written(per_doc, "seeds")
 
     # lay each item over its document, one seed a row: the document's words beside the item's, from where both have words
-    laid = rows.distinct().join(per_doc, F.col("_id").eqNullSafe(F.col("_seed_id")) & (F.col("_tie") == F.col("_seed_tie")))
+    laid = rows.join(per_doc, F.col("_id").eqNullSafe(F.col("_seed_id")) & (F.col("_tie") == F.col("_seed_tie"))).dropDuplicates(["_id", "_tie"])
     laid = laid.select("_id", "_tie", words_of(F.col("_text")).alias("_all"), "_seeds").select("_id", "_tie", "_all", F.explode_outer("_seeds").alias("_s"))
     begin = F.greatest(F.col("_s._shift"), F.lit(0))
     n = F.greatest(F.least(F.col("_s._shift") + F.col("_s._size"), F.size("_all")) - begin, F.lit(0))
