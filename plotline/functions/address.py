@@ -32,8 +32,16 @@ def expansions() -> Column:
     return F.create_map(*[F.lit(x) for pair in EXPANSIONS.items() for x in pair])
 
 
+#: All that counts as space at either end: the control characters and the space itself.
+_CONTROLS = "".join(map(chr, range(33)))
+
+
+def trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(_CONTROLS))
+
+
 def blank(c: Column) -> Column:
-    return F.coalesce(F.trim(c), F.lit("")) == ""
+    return F.coalesce(trimmed(c), F.lit("")) == ""
 
 
 def normalize_street(street: Column) -> Column:
@@ -44,12 +52,12 @@ def normalize_street(street: Column) -> Column:
 
 
 def normalize_housenumber(number: Column) -> Column:
-    return F.coalesce(F.regexp_replace(F.lower(F.trim(number)), r"\s+", " "), F.lit(""))
+    return F.coalesce(F.regexp_replace(F.lower(trimmed(number)), r"\s+", " "), F.lit(""))
 
 
 def normalize_unit(unit: Column) -> Column:
     """Lower case without the unit words, each taken off once at most, in their order."""
-    out = F.lower(F.trim(unit))
+    out = F.lower(trimmed(unit))
     for prefix in UNIT_PREFIXES:
         out = F.regexp_replace(out, unit_pattern(prefix), "")
     return F.coalesce(out, F.lit(""))
@@ -169,7 +177,7 @@ def leading_number(value: Column) -> Column:
 
 def split_values(value: Column) -> Column:
     """Parts between semicolons, trimmed, spaces squeezed, without empty and repeated ones."""
-    parts = F.transform(F.split(value, ";"), lambda p: F.regexp_replace(F.trim(p), r"\s+", " "))
+    parts = F.transform(F.split(value, ";"), lambda p: F.regexp_replace(trimmed(p), r"\s+", " "))
     return F.array_distinct(F.filter(parts, lambda p: p != ""))
 
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotline.functions import address as A
+from plotline.functions import names as N
 from plotline.functions.geometry import segment_distance
 from plotline.functions.shapes import in_shape, shape_area
+from plotline.operators.elements import leaves_bounds
 from plotline.operators.grid import grid_join, with_box
 
 ROAD_RADIUS = 60.0
@@ -28,6 +31,7 @@ PARITY_SHARE = 0.8
 SIDE_NEAREST = 3.0
 SIDE_FARTHEST = 100.0
 LARGE_BUILDING = 500.0
+STREET_RELATIONS = ("associatedStreet", "street")
 
 
 def side_of(x: Column, y: Column) -> Column:
@@ -53,16 +57,51 @@ def roads_near(points: DataFrame, roads: DataFrame, radius: float) -> DataFrame:
     return pairs.withColumn("distance", F.round(distance, 9)).where(F.col("distance") <= radius)
 
 
-def street_names(addresses: DataFrame, roads: DataFrame, radius: float = STREET_RADIUS) -> DataFrame:
-    """Addresses whose street no road within ``radius`` has: NEAR_MATCH with the nearest
-    road of a name that is the same but for spelling, else NO_ROAD."""
-    near = roads_near(addresses.select("id", "x", "y", "street", "ns"), roads.select("road_id", "name", "key", "ax", "ay", "bx", "by"), radius)
-    seen = near.groupBy(F.col("id").alias("_id")).agg(
-        F.bool_or(F.col("street") == F.col("name")).alias("verbatim"),
-        F.min(F.when(F.col("ns") == F.col("key"), F.struct("distance", "road_id", "name"))).alias("close"),
-    )
-    rows = addresses.where("street IS NOT NULL").join(seen, F.col("id") == F.col("_id"), "left").where(~F.coalesce("verbatim", F.lit(False)))
-    return rows.select("id", "street", F.when(F.col("close").isNotNull(), "NEAR_MATCH").otherwise("NO_ROAD").alias("problem"), F.col("close.name").alias("road"))
+def road_names(roads: DataFrame, relations: DataFrame, members: DataFrame) -> DataFrame:
+    """Every name of a road (road_id, name), once: its name tags' and those of the street
+    relations (rel_id, tags) it is a member of (rel_id, road_id)."""
+    own = roads.select("road_id", F.explode(N.display_names(F.col("tags"))).alias("name"))
+    return own.unionByName(relation_names(relations, members, "road_id")).distinct()
+
+
+def relation_names(relations: DataFrame, members: DataFrame, member: str) -> DataFrame:
+    """Names of the street relations that a member is in (member, name)."""
+    tag = lambda k: F.try_element_at("tags", F.lit(k))
+    streets = relations.where(tag("type").isin(*STREET_RELATIONS)).select("rel_id", F.explode(A.split_values(tag("name"))).alias("name"))
+    return members.join(streets, "rel_id").select(member, "name")
+
+
+def street_names(
+    addresses: DataFrame, roads: DataFrame, radius: float = STREET_RADIUS, names: DataFrame | None = None, exempt: DataFrame | None = None, bounds: DataFrame | None = None
+) -> DataFrame:
+    """Streets of addresses that no road within ``radius`` has: NEAR_MATCH with the nearest
+    road of a name that is the same but for spelling, else NO_ROAD, or NO_ROAD_AT_EDGE if
+    the search leaves the downloaded ``bounds`` (dxmin, dymin, dxmax, dymax).
+
+    A street of several parts between semicolons is checked part by part. ``names``
+    (road_id, name) are the roads' names, their own column else; ``exempt`` (id, name)
+    are streets that addresses belong to by other means. Without roads nothing is said.
+    """
+    if not roads.take(1):
+        return addresses.select("id", "street", F.lit("").alias("problem"), F.lit("").alias("road")).limit(0)
+    parts = addresses.where(~A.blank(F.col("street"))).select("id", "x", "y", F.explode(A.split_values(F.col("street"))).alias("street"))
+    parts = parts.withColumn("_key", N.street_key(F.col("street")))
+    if exempt is not None:
+        named = exempt.select(F.col("id").alias("_i"), N.canonical(F.col("name")).alias("_canon")).distinct()
+        parts = parts.withColumn("_c", N.canonical(F.col("street"))).join(named, (F.col("id") == F.col("_i")) & (F.col("_c") == F.col("_canon")), "left_anti").drop("_c")
+    names = roads.select("road_id", "name").distinct() if names is None else names
+    names = names.select(F.col("road_id").alias("_r"), F.col("name").alias("_name"), N.street_key(F.col("name")).alias("_nkey"))
+    near = roads_near(parts.select("id", "x", "y").distinct(), roads.select("road_id", "ax", "ay", "bx", "by"), radius).select("id", "road_id", "distance")
+    near = near.groupBy("id", "road_id").agg(F.min("distance").alias("distance")).join(names, F.col("road_id") == F.col("_r"))
+    # only a road of the part's key can settle it
+    seen = parts.select(F.col("id").alias("_id"), "street", "_key").join(near, (F.col("_id") == F.col("id")) & (F.col("_key") == F.col("_nkey")))
+    seen = seen.groupBy("_id", F.col("street").alias("_s")).agg(F.bool_or(F.col("street") == F.col("_name")).alias("verbatim"), F.min(F.struct("distance", "road_id", "_name")).alias("close"))
+    rows = parts.join(seen, (F.col("id") == F.col("_id")) & (F.col("street") == F.col("_s")), "left").where(~F.coalesce("verbatim", F.lit(False)))
+    missing = F.lit("NO_ROAD")
+    if bounds is not None:
+        rows = leaves_bounds("s", bounds, with_box(rows, "s", "x", "y", radius))
+        missing = F.when(F.col("leaves"), "NO_ROAD_AT_EDGE").otherwise("NO_ROAD")
+    return rows.select("id", "street", F.when(F.col("close").isNotNull(), "NEAR_MATCH").otherwise(missing).alias("problem"), F.col("close._name").alias("road"))
 
 
 def neighbour_streets(addresses: DataFrame, roads: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def shown_fields(fields: Column) -> Column:
 def source_address(said: Column) -> Column:
     """Where a source is defined: an address as it is, or the public file of a source's id."""
     trimmed = F.trim(said)
-    return F.when(trimmed.rlike("(?i)^https?://"), trimmed).otherwise(F.concat(F.lit(SOURCE_FILE.split("{}")[0]), F.lower(trimmed), F.lit(SOURCE_FILE.split("{}")[1])))
+    return F.when(trimmed.rlike("(?i)^https?://"), trimmed).otherwise(F.concat(F.lit(SOURCE_FILE.split("{}")[0]), F.lower(F.regexp_replace(trimmed, r"\.json$", "")), F.lit(SOURCE_FILE.split("{}")[1])))
 
 
 def parcel_datasets(entries: DataFrame) -> DataFrame:
