@@ -24,7 +24,7 @@ NEIGHBOUR_RADIUS = 60.0
 MAX_NEIGHBOURS = 6
 MIN_NEIGHBOURS = 4
 AGREEMENT = 0.75
-MIN_GAP = 2.0
+MIN_GAP = 8.0
 MIN_SIDE = 3
 MIN_PARITY_SIDE = 4
 PARITY_SHARE = 0.8

@@ -197,7 +197,7 @@ SQL = {
     "neighbour_vote": _BASE + "SELECT id, ns AS street, other AS expected, agree AS agreeing, total AS neighbours FROM bv WHERE total >= 4 AND other <> ns AND agree >= 0.75 * total AND other = key",
     "street_sides": _BASE + "SELECT id, road_id, side, round(m, 6) AS metres, house FROM pl",
     "sequence_inversion": _BASE + """SELECT id, road_id, side, house, before, after FROM sq JOIN dr USING (road_id) WHERE n >= 3 AND dir <> 0 AND dir * before < dir * after
-        AND ((dir * house < dir * before AND m - at0 >= 2) OR (dir * house > dir * after AND at1 - m >= 2))""",
+        AND ((dir * house < dir * before AND m - at0 >= 8) OR (dir * house > dir * after AND at1 - m >= 8))""",
     "parity_side": _BASE + """SELECT id, road_id, side, house FROM (SELECT *, count(*) OVER s AS n, count(*) FILTER (house % 2 = 0) OVER s AS e FROM pl WINDOW s AS (PARTITION BY road_id, side))
         WHERE n >= 4 AND house % 2 <> CASE WHEN e >= 0.8 * n THEN 0 WHEN n - e >= 0.8 * n THEN 1 END""",
     "node_in_building": _BASE + """SELECT id, bid, CASE WHEN inside >= 2 OR (ns <> '' AND bns <> '' AND ns <> bns AND area >= 500) THEN 'OTHER' ELSE 'WARNING' END AS severity, inside
