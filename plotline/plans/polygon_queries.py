@@ -19,6 +19,7 @@ from plotline.operators.settings import MatchSettings
 from plotline.plans import match_queries, quality_queries, town
 from plotline.plans.match_queries import SETTINGS, Town
 from plotline.plans.match_sql import select
+from plotline.session import written
 
 SCALE = 5
 TURNED = MatchSettings(match_distance=SETTINGS.match_distance * SCALE, far_match=SETTINGS.far_match * SCALE, min_area=SETTINGS.min_area * SCALE**2)
@@ -175,13 +176,35 @@ def mean_places(spark, sf_dir) -> DataFrame:
 # ---- nearest-site cells ----
 
 
-def _site_cells(spark, sf_dir) -> DataFrame:
-    """Trimmed nearest-site cells of the addresses' places, as shapes."""
+def _site_rings(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sites, reaches and trimmed nearest-site cells of the addresses' places."""
     sites = quality_queries._sites(spark, sf_dir)
-    spacing = P.local_spacing(sites).select("sid", F.greatest(F.lit(SETTINGS.min_reach), SETTINGS.reach_factor * F.col("spacing")).alias("reach"))
-    cells = P.site_cells(sites.join(spacing.select("sid"), "sid", "left_semi"), spacing)
+    reach = P.local_spacing(sites).select("sid", F.greatest(F.lit(SETTINGS.min_reach), SETTINGS.reach_factor * F.col("spacing")).alias("reach"))
+    reach = written(reach, "reach")
+    sites = sites.join(reach.select("sid"), "sid", "left_semi")
+    return sites, reach, P.site_cells(sites, reach)
+
+
+def _as_cells(rings: DataFrame) -> DataFrame:
     closed = F.concat("ring", F.slice("ring", 1, 1))
-    return S.with_rings(cells.where("area > 0").select(F.concat(F.lit("S"), F.col("sid").cast("string")).alias("cell_id"), closed.alias("ring")), F.array("ring"), "c").drop("ring")
+    return S.with_rings(rings.where("area > 0").select(F.concat(F.lit("S"), F.col("sid").cast("string")).alias("cell_id"), closed.alias("ring")), F.array("ring"), "c").drop("ring")
+
+
+def _site_cells(spark, sf_dir) -> DataFrame:
+    return _as_cells(_site_rings(spark, sf_dir)[2])
+
+
+def road_clipped_cells(spark, sf_dir) -> DataFrame:
+    """The clipped cell that holds each building's centre, well within the site's reach."""
+    from plotline.operators.grid import grid_join, with_box
+
+    sites, reach, rings = _site_rings(spark, sf_dir)
+    roads = quality_queries._roads(spark, sf_dir).withColumns({"ax": F.lit(-1000.0), "bx": F.lit(2000.0)})  # beyond the outermost cells
+    cells = written(_as_cells(P.road_clipped(rings, sites, roads)), "clipped")
+    b = town.buildings(spark, sf_dir, SETTINGS).select("bid", ((F.col("bxmin") + F.col("bxmax")) / 2).alias("x"), ((F.col("bymin") + F.col("bymax")) / 2).alias("y"))
+    held = grid_join(with_box(b, "p", "x", "y"), cells, "p", "c", 40.0, S.in_shape(cells, "c", F.col("x"), F.col("y"), strict=True)).select("bid", "x", "y", F.substring("cell_id", 2, 20).cast("long").alias("sid"))
+    held = held.join(sites, "sid").join(reach, "sid")
+    return held.where(F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)) < 0.99 * F.col("reach")).select("bid", "sid")
 
 
 class SiteTown(Town):
@@ -190,8 +213,6 @@ class SiteTown(Town):
     synthetic = True
 
     def __init__(self, spark, sf_dir):
-        from plotline.session import written
-
         super().__init__(spark, sf_dir)
         self.cells = written(_site_cells(spark, sf_dir), "site-cells")
 
@@ -212,7 +233,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         turned_parcels, turned_overlap, turned_bucket_assign, turned_node_in_building, turned_street_sides, notched_overlap, notched_area, touching_view,
-        assembled_polygons, parcels_of_map, mean_places, site_cell_of_address, site_bucket_assign,
+        assembled_polygons, parcels_of_map, mean_places, site_cell_of_address, site_bucket_assign, road_clipped_cells,
     )
 }
 
@@ -247,4 +268,10 @@ SQL = {
     ),
     # an address lies in the cell of its own place, named by the least address there
     "site_cell_of_address": select("id, 'S' || min(id) OVER (PARTITION BY x, y) AS cell_id, false AS snapped", "addresses"),
+    # strictly nearest, within reach, and on the same side of every road; none lies on a road
+    "road_clipped_cells": quality_queries._BASE + """, sp AS (SELECT a AS sid, greatest(15.0::DOUBLE, 2 * coalesce(median(gap), (SELECT median(gap) FROM gaps))) AS reach FROM rk LEFT JOIN gaps ON b = sid WHERE r <= 10 GROUP BY a),
+bc AS (SELECT bid, (bxmin + bxmax) / 2 AS x, (bymin + bymax) / 2 AS y FROM buildings),
+sd AS (SELECT bid, sid, sx, sy, x, y, sqrt((x - sx) ** 2 + (y - sy) ** 2) AS d FROM bc JOIN sites ON abs(x - sx) <= 120 AND abs(y - sy) <= 120),
+n1 AS (SELECT *, min(d) OVER (PARTITION BY bid) AS least, count(*) OVER (PARTITION BY bid, d) AS same FROM sd)
+SELECT bid, sid FROM n1 JOIN sp USING (sid) WHERE d = least AND same = 1 AND d < 0.99 * reach AND (sy % 30 = 15 OR floor((y + 15) / 30) = floor((sy + 15) / 30)) AND y % 30 <> 15""",
 }
