@@ -17,7 +17,7 @@ def test_flagship(spark):
     assert df.columns == ["id", "bucket", "confidence", "target", "kind", "keeps_node"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["bucket_counts", "neighbour_vote", "apply_edits", "expand_street", "tile_cover"])
+@pytest.mark.parametrize("name", ["bucket_counts", "neighbour_vote", "apply_edits", "expand_street", "tile_cover", "turned_overlap", "notched_overlap", "assembled_polygons", "chain_sequence", "source_layers", "catalog_join", "esri_features", "tag_predicates", "street_parts_check", "map_extract", "vector_tiles"])
 def test_against_sql(spark, tiny, name):
     con = duckdb.connect()
     for p in Path(tiny).glob("*.parquet"):
