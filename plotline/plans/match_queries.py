@@ -26,9 +26,17 @@ class Town:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.cells = town.cells(spark, sf_dir)
-        self.addresses = A.with_normal(town.addresses(spark, sf_dir))
-        self.buildings = A.with_normal(town.buildings(spark, sf_dir, SETTINGS), "b_")
-        self.existing = A.with_normal(town.existing(spark, sf_dir), "e_")
+        self.addresses = town.addresses(spark, sf_dir)
+        self.plain_buildings = town.buildings(spark, sf_dir, SETTINGS)
+        self.plain_existing = town.existing(spark, sf_dir)
+
+    @cached_property
+    def buildings(self) -> DataFrame:
+        return written(A.with_normal(self.plain_buildings, "b_"), "buildings")
+
+    @cached_property
+    def existing(self) -> DataFrame:
+        return written(A.with_normal(self.plain_existing, "e_"), "existing")
 
     @cached_property
     def located(self) -> DataFrame:
@@ -36,7 +44,7 @@ class Town:
 
     @cached_property
     def groups(self) -> DataFrame:
-        return written(M.group_addresses(self.located), "groups")
+        return written(A.with_normal(M.group_addresses(self.located)), "groups")
 
     @cached_property
     def pairs(self) -> DataFrame:

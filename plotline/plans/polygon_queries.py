@@ -51,8 +51,8 @@ class TurnedTown(Town):
 
     def __init__(self, spark, sf_dir):
         super().__init__(spark, sf_dir)
-        self.cells, self.buildings = _turned_boxes(self.cells, "c"), _turned_boxes(self.buildings, "b")
-        self.addresses, self.existing = _turned_points(self.addresses, "x", "y"), _turned_points(self.existing, "ex", "ey")
+        self.cells, self.plain_buildings = written(_turned_boxes(self.cells, "c"), "turned-cells"), _turned_boxes(self.plain_buildings, "b")
+        self.addresses, self.plain_existing = _turned_points(self.addresses, "x", "y"), _turned_points(self.plain_existing, "ex", "ey")
 
 
 def turned_parcels(spark, sf_dir) -> DataFrame:
@@ -225,7 +225,7 @@ def site_cell_of_address(spark, sf_dir) -> DataFrame:
 def site_bucket_assign(spark, sf_dir) -> DataFrame:
     """The whole match by way of nearest-site cells."""
     t = SiteTown(spark, sf_dir)
-    final = match_addresses(t.addresses, t.cells, t.buildings, t.existing, SETTINGS, synthetic=True)
+    final = match_addresses(A.with_normal(t.addresses), t.cells, t.buildings, t.existing, SETTINGS, synthetic=True)
     return final.select("id", "bucket", F.round("confidence", 6).alias("confidence"), "target", "kind", "keeps_node")
 
 
