@@ -272,6 +272,8 @@ SQL = {
     "road_clipped_cells": quality_queries._BASE + """, sp AS (SELECT a AS sid, greatest(15.0::DOUBLE, 2 * coalesce(median(gap), (SELECT median(gap) FROM gaps))) AS reach FROM rk LEFT JOIN gaps ON b = sid WHERE r <= 10 GROUP BY a),
 bc AS (SELECT bid, (bxmin + bxmax) / 2 AS x, (bymin + bymax) / 2 AS y FROM buildings),
 sd AS (SELECT bid, sid, sx, sy, x, y, sqrt((x - sx) ** 2 + (y - sy) ** 2) AS d FROM bc JOIN sites ON abs(x - sx) <= 120 AND abs(y - sy) <= 120),
+rm AS (SELECT max(c_custkey // 40) AS m FROM customer),
 n1 AS (SELECT *, min(d) OVER (PARTITION BY bid) AS least, count(*) OVER (PARTITION BY bid, d) AS same FROM sd)
-SELECT bid, sid FROM n1 JOIN sp USING (sid) WHERE d = least AND same = 1 AND d < 0.99 * reach AND (sy % 30 = 15 OR floor((y + 15) / 30) = floor((sy + 15) / 30)) AND y % 30 <> 15""",
+SELECT bid, sid FROM n1 JOIN sp USING (sid), rm WHERE d = least AND same = 1 AND d < 0.99 * reach AND NOT (abs(y % 30) = 15 AND (y + 15) / 30 <= m)
+  AND ((abs(sy % 30) = 15 AND (sy + 15) / 30 <= m) OR least(floor((y + 15) / 30), m) = least(floor((sy + 15) / 30), m))""",
 }
