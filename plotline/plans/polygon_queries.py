@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions import address as A
 from plotline.functions import shapes as S
-from plotline.functions.geometry import box_ring, in_polygon
+from plotline.functions.geometry import box_ring, in_polygon, ring_distance
 from plotline.operators import elements as E
 from plotline.operators import quality as Q
 from plotline.operators import rings as R
@@ -202,7 +202,9 @@ def road_clipped_cells(spark, sf_dir) -> DataFrame:
     roads = quality_queries._roads(spark, sf_dir).withColumns({"ax": F.lit(-1000.0), "bx": F.lit(2000.0)})  # beyond the outermost cells
     cells = written(_as_cells(P.road_clipped(rings, sites, roads)), "clipped")
     b = town.buildings(spark, sf_dir, SETTINGS).select("bid", ((F.col("bxmin") + F.col("bxmax")) / 2).alias("x"), ((F.col("bymin") + F.col("bymax")) / 2).alias("y"))
-    held = grid_join(with_box(b, "p", "x", "y"), cells, "p", "c", 40.0, S.in_shape(cells, "c", F.col("x"), F.col("y"), strict=True)).select("bid", "x", "y", F.substring("cell_id", 2, 20).cast("long").alias("sid"))
+    held = grid_join(with_box(b, "p", "x", "y"), cells, "p", "c", 40.0, S.in_shape(cells, "c", F.col("x"), F.col("y"), strict=True))
+    # what lies on the border of two cells may fall on either side of it
+    held = held.where(ring_distance(F.col("x"), F.col("y"), F.col("crings")[0]) > 1e-6).select("bid", "x", "y", F.substring("cell_id", 2, 20).cast("long").alias("sid"))
     held = held.join(sites, "sid").join(reach, "sid")
     return held.where(F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)) < 0.99 * F.col("reach")).select("bid", "sid")
 
