@@ -133,3 +133,45 @@ FROM d LEFT JOIN g USING (text)
 
 
 SECRETS_SQL = _secrets_sql()
+
+#: The checksum's table follows from its polynomial; near words share what one place leaves.
+SPELLING_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([k] || range(8), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t
+  FROM range(256) AS r(k)),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents),
+counted AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM runs WHERE length(run) >= 6 GROUP BY 1, 2),
+coded AS (
+  SELECT run, n, hex(encode(id || ':' || run)) AS hx FROM counted),
+summed AS (
+  SELECT run, n, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM coded, crc),
+thinned AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM thinned WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+places AS (
+  SELECT word, n, unnest(range(length(word))) AS i FROM words),
+gaps AS (
+  SELECT DISTINCT word, n, i, substr(word, 1, i) AS head, substr(word, i + 2) AS tail FROM places),
+shorter AS (
+  SELECT DISTINCT word, n, head || tail AS less FROM gaps),
+pairs AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION ALL SELECT s.word, s.n, w.word, w.n FROM shorter s JOIN words w ON s.less = w.word
+  UNION ALL SELECT w.word, w.n, s.word, s.n FROM shorter s JOIN words w ON s.less = w.word),
+placed AS (
+  SELECT word, n, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS place FROM pairs),
+formed AS (
+  SELECT w.word, w.n, coalesce(p.n_near, 0) AS n_near, CASE WHEN p.m >= 5 * w.n THEN p.other END AS form, CASE WHEN p.m >= 5 * w.n THEN p.m END AS form_n
+  FROM words w LEFT JOIN placed p ON w.word = p.word AND p.place = 1),
+chain AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON f.word = c.word JOIN formed e ON c.at = e.word AND e.form IS NULL
+"""
