@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.llm import decontaminate, langid, licenses, mixing, neighbours, quality, secrets, simhash, spelling, toxicity, urls, whitening
+from plotline.llm import decontaminate, extraction, langid, licenses, mixing, neighbours, quality, secrets, simhash, spelling, toxicity, urls, whitening
 from plotline.llm.shared import held_out, table
 from plotline.llm.sql import DECONTAMINATE_SQL, MIXING_SQL, SECRETS_SQL, SPELLING_SQL, URLS_SQL
 
@@ -68,6 +68,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_spellings(table(spark, sf_dir, "documents"))
 
@@ -80,7 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_license_scan, op2_decontaminate, op3_mix_sources, op4_simhash, op5_nearest,
         op6_url_filter, op7_toxicity, op8_quality, op9_secret_scan, op10_language,
-        op12_spelling, op13_whitening,
+        op11_extraction, op12_spelling, op13_whitening,
     )
     return {f.__name__: f for f in own}
 
