@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotline.functions.geometry import _crossed, _edges, box, box_distance, box_overlap, box_ring, in_box, in_polygon, polygon_distance, ring_area, ring_area_signed
+from plotline.functions.geometry import _crossed, _edges, box, box_distance, box_overlap, box_ring, in_box, in_polygon, polygon_distance, ring_area, ring_area_signed, ring_centroid
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 SHAPE = ("rings", "edges")
@@ -38,6 +38,13 @@ def rings_area(rings: Column) -> Column:
     return _total(F.zip_with(rings, ring_signs(rings), lambda r, s: s * ring_area(r)))
 
 
+def rings_centroid(rings: Column) -> Column:
+    """Centre of mass of a shape with holes and parts, as struct(x, y)."""
+    weights = F.zip_with(rings, ring_signs(rings), lambda r, s: s * ring_area(r))
+    part = lambda c: _total(F.zip_with(rings, weights, lambda r, w: w * ring_centroid(r)[c])) / _total(weights)
+    return F.struct(part("x").alias("x"), part("y").alias("y"))
+
+
 def shape_edges(rings: Column) -> Column:
     """The rings' edges from left to right (x0, y0, x1, y1), each with the sign by which the
     area below it counts; upright edges have no area below them and are left out."""
