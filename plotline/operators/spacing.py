@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotline.operators.arrangement import piece_area, piece_of_site
 from plotline.operators.grid import grid_join, with_box
 from plotline.session import ship, written
 from plotline.spread import numbered
@@ -131,56 +132,34 @@ def site_cells(sites: DataFrame, reach: DataFrame) -> DataFrame:
     return full.mapInPandas(cut, "sid long, area double, ring array<struct<x:double,y:double>>")
 
 
-def _clipped(ring: np.ndarray, site: tuple[float, float], a: tuple[float, float], b: tuple[float, float]) -> np.ndarray:
-    """The part of a convex ring on the site's side of a straight road from a to b, if the
-    road goes right through; else the ring."""
-    nx, ny = -(b[1] - a[1]), b[0] - a[0]
-    side = lambda x, y: (x - a[0]) * nx + (y - a[1]) * ny
-    values, own = side(ring[:, 0], ring[:, 1]), side(*site)
-    if own == 0 or not (values.min() < 0 < values.max()):
-        return ring
-    following = np.roll(values, -1)
-    cut = np.flatnonzero((values < 0) != (following < 0))
-    t = values[cut] / (values[cut] - following[cut])
-    points = ring[cut] + t[:, None] * (np.roll(ring, -1, axis=0)[cut] - ring[cut])
-    where = ((points - np.array(a)) @ np.array([b[0] - a[0], b[1] - a[1]])) / ((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2)
-    if len(cut) != 2 or where.min() < -1e-9 or where.max() > 1 + 1e-9:
-        return ring
-    out = []
-    for i in range(len(ring)):
-        j = (i + 1) % len(ring)
-        if values[i] * own >= 0:
-            out.append(ring[i])
-        if values[i] * values[j] < 0:
-            out.append(ring[i] + values[i] / (values[i] - values[j]) * (ring[j] - ring[i]))
-    return np.array(out)
-
-
 def road_clipped(cells: DataFrame, sites: DataFrame, roads: DataFrame) -> DataFrame:
-    """Cells (sid, ring) cut at the straight road pieces (ax, ay, bx, by) that go right
-    through them: of each the part with its site (sid, sx, sy) stays. A site on a road
-    keeps its cell, as do cells that a road only enters."""
+    """Cells (sid, ring) cut along roads, given as straight pieces (ax, ay, bx, by): of each
+    the part with its site (sid, sx, sy) stays, as ring, holes and area.
+
+    Roads may bend, branch and end within a cell; what they do not cut off stays (see
+    operators.arrangement). Of a site on a road the largest part beside it counts.
+    """
     ship(cells.sparkSession)
     corner = lambda c: F.transform("ring", lambda p: p[c])
     rows = cells.where(F.size("ring") > 2).join(sites.select(F.col("sid").alias("_s"), "sx", "sy"), F.col("sid") == F.col("_s")).drop("_s")
     boxed = rows.withColumns({"cxmin": F.array_min(corner("x")), "cymin": F.array_min(corner("y")), "cxmax": F.array_max(corner("x")), "cymax": F.array_max(corner("y"))})
-    pieces = roads.select("ax", "ay", "bx", "by").withColumns({"rxmin": F.least("ax", "bx"), "rymin": F.least("ay", "by"), "rxmax": F.greatest("ax", "bx"), "rymax": F.greatest("ay", "by")})
-    near = grid_join(boxed.select("sid", "cxmin", "cymin", "cxmax", "cymax"), pieces, "c", "r", 60.0).distinct()
-    near = near.groupBy(F.col("sid").alias("_n")).agg(F.array_sort(F.collect_list(F.array("ax", "ay", "bx", "by"))).alias("pieces"))  # a cell's own roads
-    full = rows.join(near, F.col("sid") == F.col("_n"), "left").select("sid", "sx", "sy", corner("x").alias("xs"), corner("y").alias("ys"), "pieces")
+    lines = roads.select("ax", "ay", "bx", "by").withColumns({"rxmin": F.least("ax", "bx"), "rymin": F.least("ay", "by"), "rxmax": F.greatest("ax", "bx"), "rymax": F.greatest("ay", "by")})
+    near = grid_join(boxed.select("sid", "cxmin", "cymin", "cxmax", "cymax"), lines, "c", "r", 60.0).distinct()
+    near = near.groupBy(F.col("sid").alias("_n")).agg(F.array_sort(F.collect_list(F.array("ax", "ay", "bx", "by"))).alias("lines"))  # a cell's own roads
+    full = rows.join(near, F.col("sid") == F.col("_n"), "left").select("sid", "sx", "sy", corner("x").alias("xs"), corner("y").alias("ys"), "lines")
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples():
-                ring = np.column_stack([row.xs, row.ys])
-                for ax, ay, bx, by in row.pieces if row.pieces is not None else ():
-                    ring = _clipped(ring, (row.sx, row.sy), (ax, ay), (bx, by))
-                area = 0.5 * abs(float(np.sum(ring[:, 0] * np.roll(ring[:, 1], -1) - np.roll(ring[:, 0], -1) * ring[:, 1])))
-                out.append((row.sid, area, [{"x": float(x), "y": float(y)} for x, y in ring]))
-            yield pd.DataFrame(out, columns=["sid", "area", "ring"])
-
-    return full.mapInPandas(cut, "sid long, area double, ring array<struct<x:double,y:double>>")
+                own = np.array([list(line) for line in row.lines] if row.lines is not None else [], float).reshape(-1, 4)
+                rings = piece_of_site(np.column_stack([row.xs, row.ys]), own, (row.sx, row.sy))
+                shown = [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
+                out.append((row.sid, piece_area(rings), shown[0], shown[1:]))
+            yield pd.DataFrame(out, columns=["sid", "area", "ring", "holes"])
+
+    point = "struct<x:double,y:double>"
+    return full.mapInPandas(cut, f"sid long, area double, ring array<{point}>, holes array<array<{point}>>")
 
 
 def even_sample(rows: DataFrame, order: str, most: int) -> DataFrame:

@@ -186,27 +186,65 @@ def _site_rings(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _as_cells(rings: DataFrame) -> DataFrame:
-    closed = F.concat("ring", F.slice("ring", 1, 1))
-    return S.with_rings(rings.where("area > 0").select(F.concat(F.lit("S"), F.col("sid").cast("string")).alias("cell_id"), closed.alias("ring")), F.array("ring"), "c").drop("ring")
+    closed = lambda r: F.concat(r, F.slice(r, 1, 1))
+    all_rings = F.array(closed(F.col("ring")))
+    if "holes" in rings.columns:
+        all_rings = F.concat(all_rings, F.transform("holes", closed))
+    return S.with_rings(rings.where("area > 0").select(F.concat(F.lit("S"), F.col("sid").cast("string")).alias("cell_id"), all_rings.alias("_all")), F.col("_all"), "c").drop("_all")
 
 
 def _site_cells(spark, sf_dir) -> DataFrame:
     return _as_cells(_site_rings(spark, sf_dir)[2])
 
 
-def road_clipped_cells(spark, sf_dir) -> DataFrame:
-    """The clipped cell that holds each building's centre, well within the site's reach."""
+def _held_centres(spark, sf_dir, roads: DataFrame) -> DataFrame:
+    """Buildings' centres (bid, x, y) with the site (sid, sx, sy) whose clipped cell holds
+    them, well within its reach, but for what lies on a border."""
     from plotline.operators.grid import grid_join, with_box
 
     sites, reach, rings = _site_rings(spark, sf_dir)
-    roads = quality_queries._roads(spark, sf_dir).withColumns({"ax": F.lit(-1000.0), "bx": F.lit(2000.0)})  # beyond the outermost cells
     cells = written(_as_cells(P.road_clipped(rings, sites, roads)), "clipped")
     b = town.buildings(spark, sf_dir, SETTINGS).select("bid", ((F.col("bxmin") + F.col("bxmax")) / 2).alias("x"), ((F.col("bymin") + F.col("bymax")) / 2).alias("y"))
     held = grid_join(with_box(b, "p", "x", "y"), cells, "p", "c", 40.0, S.in_shape(cells, "c", F.col("x"), F.col("y"), strict=True))
     # what lies on the border of two cells may fall on either side of it
     held = held.where(ring_distance(F.col("x"), F.col("y"), F.col("crings")[0]) > 1e-6).select("bid", "x", "y", F.substring("cell_id", 2, 20).cast("long").alias("sid"))
     held = held.join(sites, "sid").join(reach, "sid")
-    return held.where(F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)) < 0.99 * F.col("reach")).select("bid", "sid")
+    return held.where(F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)) < 0.99 * F.col("reach"))
+
+
+def road_clipped_cells(spark, sf_dir) -> DataFrame:
+    """The clipped cell that holds each building's centre; of a site on a road the larger
+    part beside it is the cell, which SQL can't tell, so that these are left out."""
+    roads = quality_queries._roads(spark, sf_dir).withColumns({"ax": F.lit(-1000.0), "bx": F.lit(2000.0)})  # beyond the outermost cells
+    held = _held_centres(spark, sf_dir, roads)
+    on = roads.select(F.col("ay").alias("_y")).distinct()
+    return held.join(F.broadcast(on), F.col("sy") == F.col("_y"), "left_anti").select("bid", "sid")
+
+
+def _bent_roads(spark, sf_dir) -> DataFrame:
+    """Roads that bend four metres up and down every twenty metres, in straight pieces."""
+    k = F.col("k")
+    rows = quality_queries._roads(spark, sf_dir).select(F.col("ay").alias("y")).distinct()
+    x = lambda n: F.when(n == 0, -1000.0).when(n == 42, 2000.0).otherwise(n * 20 - 30.0)
+    return rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(41)))).select(x(k).alias("ax"), (F.col("y") + k % 2 * 4).alias("ay"), x(k + 1).alias("bx"), (F.col("y") + (k + 1) % 2 * 4).alias("by"))
+
+
+def bent_road_cells(spark, sf_dir) -> DataFrame:
+    """The cell, cut along bending roads, that holds each building's centre, where the straight
+    way from the site to the centre meets at most one road and neither end is on one."""
+    from plotline.operators.grid import grid_join
+
+    roads = _bent_roads(spark, sf_dir)
+    held = written(_held_centres(spark, sf_dir, roads), "held")
+    ways = held.withColumns({"pxmin": F.least("x", "sx"), "pymin": F.least("y", "sy"), "pxmax": F.greatest("x", "sx"), "pymax": F.greatest("y", "sy")})
+    lines = roads.withColumns({"rxmin": F.least("ax", "bx"), "rymin": F.least("ay", "by"), "rxmax": F.greatest("ax", "bx"), "rymax": F.greatest("ay", "by")})
+    side = lambda x, y: (F.col("bx") - F.col("ax")) * (F.col(y) - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col(x) - F.col("ax"))
+    turn = lambda x, y: (F.col("sx") - F.col("x")) * (F.col(y) - F.col("y")) - (F.col("sy") - F.col("y")) * (F.col(x) - F.col("x"))
+    met = grid_join(ways, lines, "p", "r", 60.0).withColumns({"s1": side("x", "y"), "s2": side("sx", "sy"), "t1": turn("ax", "ay"), "t2": turn("bx", "by")})
+    touched = (F.abs("s1") < 1e-6) | (F.abs("s2") < 1e-6)
+    crossed = (F.signum("s1") * F.signum("s2") < 0) & (F.signum("t1") * F.signum("t2") <= 0)
+    bad = met.groupBy(F.col("bid").alias("_b"), F.col("sid").alias("_s")).agg(F.count_if(crossed).alias("n"), F.bool_or(touched).alias("on")).where("n > 1 OR `on`")
+    return held.join(bad, (F.col("bid") == F.col("_b")) & (F.col("sid") == F.col("_s")), "left_anti").select("bid", "sid")
 
 
 class SiteTown(Town):
@@ -235,7 +273,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         turned_parcels, turned_overlap, turned_bucket_assign, turned_node_in_building, turned_street_sides, notched_overlap, notched_area, touching_view,
-        assembled_polygons, parcels_of_map, mean_places, site_cell_of_address, site_bucket_assign, road_clipped_cells,
+        assembled_polygons, parcels_of_map, mean_places, site_cell_of_address, site_bucket_assign, road_clipped_cells, bent_road_cells,
     )
 }
 
@@ -243,6 +281,11 @@ _OVER = "greatest(0, least(bxmax, cxmax) - greatest(bxmin, cxmin)) * greatest(0,
 _NOTCH = "greatest(0, least(bxmax, cxmax) - greatest((bxmin + bxmax) / 2, cxmin)) * greatest(0, least(bymax, cymax) - greatest((bymin + bymax) / 2, cymin))"
 _YARD = "greatest(0, least(bxmin + 2, cxmax) - greatest(bxmin + 1, cxmin)) * greatest(0, least(bymin + 2, cymax) - greatest(bymin + 1, cymin))"
 _SIZE = "(bxmax - bxmin) * (bymax - bymin)"
+_NEAREST = quality_queries._BASE + """, sp AS (SELECT a AS sid, greatest(15.0::DOUBLE, 2 * coalesce(median(gap), (SELECT median(gap) FROM gaps))) AS reach FROM rk LEFT JOIN gaps ON b = sid WHERE r <= 10 GROUP BY a),
+bc AS (SELECT bid, (bxmin + bxmax) / 2 AS x, (bymin + bymax) / 2 AS y FROM buildings),
+sd AS (SELECT bid, sid, sx, sy, x, y, sqrt((x - sx) ** 2 + (y - sy) ** 2) AS d FROM bc JOIN sites ON abs(x - sx) <= 120 AND abs(y - sy) <= 120),
+rm AS (SELECT max(c_custkey // 40) AS m FROM customer),
+n1 AS (SELECT *, min(d) OVER (PARTITION BY bid) AS least, count(*) OVER (PARTITION BY bid, d) AS same FROM sd)"""
 SQL = {
     "turned_parcels": select("id, cell_id, snapped, round(cell_distance, 6) AS distance", "located WHERE cell_id IS NOT NULL"),
     "turned_overlap": select("bid, cell_id, area_in, round(share, 6) AS share", "pairs"),
@@ -271,11 +314,18 @@ SQL = {
     # an address lies in the cell of its own place, named by the least address there
     "site_cell_of_address": select("id, 'S' || min(id) OVER (PARTITION BY x, y) AS cell_id, false AS snapped", "addresses"),
     # strictly nearest, within reach, and on the same side of every road; none lies on a road
-    "road_clipped_cells": quality_queries._BASE + """, sp AS (SELECT a AS sid, greatest(15.0::DOUBLE, 2 * coalesce(median(gap), (SELECT median(gap) FROM gaps))) AS reach FROM rk LEFT JOIN gaps ON b = sid WHERE r <= 10 GROUP BY a),
-bc AS (SELECT bid, (bxmin + bxmax) / 2 AS x, (bymin + bymax) / 2 AS y FROM buildings),
-sd AS (SELECT bid, sid, sx, sy, x, y, sqrt((x - sx) ** 2 + (y - sy) ** 2) AS d FROM bc JOIN sites ON abs(x - sx) <= 120 AND abs(y - sy) <= 120),
-rm AS (SELECT max(c_custkey // 40) AS m FROM customer),
-n1 AS (SELECT *, min(d) OVER (PARTITION BY bid) AS least, count(*) OVER (PARTITION BY bid, d) AS same FROM sd)
+    "road_clipped_cells": _NEAREST + """
 SELECT bid, sid FROM n1 JOIN sp USING (sid), rm WHERE d = least AND same = 1 AND d < 0.99 * reach AND NOT (abs(y % 30) = 15 AND (y + 15) / 30 <= m)
-  AND ((abs(sy % 30) = 15 AND (sy + 15) / 30 <= m) OR least(floor((y + 15) / 30), m) = least(floor((sy + 15) / 30), m))""",
+  AND NOT (abs(sy % 30) = 15 AND (sy + 15) / 30 <= m) AND least(floor((y + 15) / 30), m) = least(floor((sy + 15) / 30), m)""",
+    "bent_road_cells": _NEAREST + """,
+bent AS (
+  SELECT CASE k WHEN 0 THEN -1000.0 ELSE k * 20 - 30.0 END::DOUBLE AS ax, r * 30 - 15.0::DOUBLE + k % 2 * 4 AS ay, CASE k WHEN 41 THEN 2000.0 ELSE k * 20 - 10.0 END::DOUBLE AS bx, r * 30 - 15.0::DOUBLE + (k + 1) % 2 * 4 AS b_y
+  FROM (SELECT DISTINCT c_custkey // 40 AS r FROM customer), range(42) AS w(k)),
+cand AS (SELECT bid, sid, x, y, sx, sy FROM n1 JOIN sp USING (sid) WHERE d = least AND same = 1 AND d < 0.99 * reach),
+met AS (
+  SELECT bid, sid, (bx - ax) * (y - ay) - (b_y - ay) * (x - ax) AS s1, (bx - ax) * (sy - ay) - (b_y - ay) * (sx - ax) AS s2,
+    (sx - x) * (ay - y) - (sy - y) * (ax - x) AS t1, (sx - x) * (b_y - y) - (sy - y) * (bx - x) AS t2
+  FROM cand JOIN bent ON least(x, sx) <= greatest(ax, bx) AND greatest(x, sx) >= least(ax, bx) AND least(y, sy) <= greatest(ay, b_y) AND greatest(y, sy) >= least(ay, b_y))
+SELECT bid, sid FROM cand WHERE NOT EXISTS (
+  SELECT 1 FROM met WHERE met.bid = cand.bid AND met.sid = cand.sid AND (abs(s1) < 1e-6 OR abs(s2) < 1e-6 OR (sign(s1) * sign(s2) < 0 AND sign(t1) * sign(t2) <= 0)))""",
 }
