@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotline.plans import apply_queries, catalog_queries, chain_queries, element_queries, match_queries, polygon_queries, quality_queries, reader_queries, review_queries, source_queries, stand_in_queries, text_queries
+from plotline.plans import apply_queries, catalog_queries, chain_queries, element_queries, match_queries, polygon_queries, quality_queries, reader_queries, review_queries, source_queries, stand_in_queries, text_queries, validation_queries
 
 FLAGSHIP = "bucket_assign"
-MODULES = (apply_queries, catalog_queries, chain_queries, element_queries, match_queries, polygon_queries, text_queries, quality_queries, reader_queries, review_queries, source_queries, stand_in_queries)
+MODULES = (apply_queries, catalog_queries, chain_queries, element_queries, match_queries, polygon_queries, text_queries, quality_queries, reader_queries, review_queries, source_queries, stand_in_queries, validation_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

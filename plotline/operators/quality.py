@@ -72,8 +72,9 @@ def relation_names(relations: DataFrame, members: DataFrame, member: str) -> Dat
 
 
 def street_names(
-    addresses: DataFrame, roads: DataFrame, radius: float = STREET_RADIUS, names: DataFrame | None = None, exempt: DataFrame | None = None, bounds: DataFrame | None = None
-) -> DataFrame:
+    addresses: DataFrame, roads: DataFrame, radius: float = STREET_RADIUS, names: DataFrame | None = None, exempt: DataFrame | None = None, bounds: DataFrame | None = None,
+    with_road: bool = False,
+) -> DataFrame:
     """Streets of addresses that no road within ``radius`` has: NEAR_MATCH with the nearest
     road of a name that is the same but for spelling, else NO_ROAD, or NO_ROAD_AT_EDGE if
     the search leaves the downloaded ``bounds`` (dxmin, dymin, dxmax, dymax).
@@ -81,9 +82,12 @@ def street_names(
     A street of several parts between semicolons is checked part by part. ``names``
     (road_id, name) are the roads' names, their own column else; ``exempt`` (id, name)
     are streets that addresses belong to by other means. Without roads nothing is said.
+    ``with_road`` adds the near road's id.
     """
+    more = [F.col("close.road_id").alias("road_id")] if with_road else []
     if not roads.take(1):
-        return addresses.select("id", "street", F.lit("").alias("problem"), F.lit("").alias("road")).limit(0)
+        nothing = addresses.select("id", "street", F.lit("").alias("problem"), F.lit("").alias("road")).limit(0)
+        return nothing.crossJoin(roads.select("road_id")) if with_road else nothing
     parts = addresses.where(~A.blank(F.col("street"))).select("id", "x", "y", F.explode(A.split_values(F.col("street"))).alias("street"))
     parts = parts.withColumn("_key", N.street_key(F.col("street")))
     if exempt is not None:
@@ -101,7 +105,7 @@ def street_names(
     if bounds is not None:
         rows = leaves_bounds("s", bounds, with_box(rows, "s", "x", "y", radius))
         missing = F.when(F.col("leaves"), "NO_ROAD_AT_EDGE").otherwise("NO_ROAD")
-    return rows.select("id", "street", F.when(F.col("close").isNotNull(), "NEAR_MATCH").otherwise(missing).alias("problem"), F.col("close._name").alias("road"))
+    return rows.select("id", "street", F.when(F.col("close").isNotNull(), "NEAR_MATCH").otherwise(missing).alias("problem"), F.col("close._name").alias("road"), *more)
 
 
 def neighbour_streets(addresses: DataFrame, roads: DataFrame) -> DataFrame:
@@ -111,6 +115,11 @@ def neighbour_streets(addresses: DataFrame, roads: DataFrame) -> DataFrame:
     not so near that this is a corner, and enough of the nearest neighbours on the same
     side of the road are in the road's street.
     """
+    return agreeing_neighbours(addresses, roads).drop("near")
+
+
+def agreeing_neighbours(addresses: DataFrame, roads: DataFrame) -> DataFrame:
+    """As ``neighbour_streets``, with the agreeing neighbours' ids (near), nearest first."""
     points = addresses.select("id", "x", "y", F.col("ns").alias("own"))
     near = roads_near(points, roads.select("road_id", "key", "ax", "ay", "bx", "by"), STREET_RADIUS)
     beside = near.where(F.col("distance") <= ROAD_RADIUS).groupBy("id").agg(F.min(F.struct("distance", "road_id", "key", "ax", "ay", "bx", "by", "x", "y", "own")).alias("r"))
@@ -123,10 +132,12 @@ def neighbour_streets(addresses: DataFrame, roads: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("d", apart).where((F.col("nid") != F.col("id")) & (F.col("d") <= NEIGHBOUR_RADIUS) & (side_of(F.col("nx"), F.col("ny")) == F.col("side")))
     order = Window.partitionBy("id").orderBy("d", "nid")
     first = pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= MAX_NEIGHBOURS)
-    votes = first.groupBy("id", "own", "key", "nkey").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("id", "own", "key").agg(F.sum("n").alias("all"), F.max_by("nkey", F.struct("n", "nkey")).alias("other"), F.max("n").alias("agree"))
+    near_first = F.transform(F.array_sort(F.collect_list(F.struct("rn", "nid"))), lambda v: v["nid"])  # at most MAX_NEIGHBOURS
+    votes = first.groupBy("id", "own", "key", "nkey").agg(F.count(F.lit(1)).alias("n"), near_first.alias("near"))
+    most = F.struct("n", "nkey")
+    best = votes.groupBy("id", "own", "key").agg(F.sum("n").alias("all"), F.max_by("nkey", most).alias("other"), F.max("n").alias("agree"), F.max_by("near", most).alias("near"))
     return best.where((F.col("all") >= MIN_NEIGHBOURS) & (F.col("other") != F.col("own")) & (F.col("agree") >= AGREEMENT * F.col("all")) & (F.col("other") == F.col("key"))).select(
-        "id", F.col("own").alias("street"), F.col("other").alias("expected"), F.col("agree").alias("agreeing"), F.col("all").alias("neighbours")
+        "id", F.col("own").alias("street"), F.col("other").alias("expected"), F.col("agree").alias("agreeing"), F.col("all").alias("neighbours"), "near"
     )
 
 

@@ -28,7 +28,7 @@ def out_of_sequence(placed: DataFrame, subjects: DataFrame | None = None) -> Dat
     neighbours but are not reported, nor is anything but ``subjects`` (id)."""
     rows = without_stray_heads(placed)
     side, order = Window.partitionBy(*SIDE), Window.partitionBy(*SIDE).orderBy("at", "id")
-    rows = rows.withColumns({f"_{c}0": F.lag(c).over(order) for c in ("house", "at", "low", "high")} | {f"_{c}1": F.lead(c).over(order) for c in ("house", "at", "low", "high")})
+    rows = rows.withColumns({f"_{c}0": F.lag(c).over(order) for c in ("id", "house", "at", "low", "high")} | {f"_{c}1": F.lead(c).over(order) for c in ("id", "house", "at", "low", "high")})
     rows = rows.withColumn("_step", F.coalesce(F.signum(F.col("house") - F.col("_house0")), F.lit(0.0)))
     rows = rows.withColumns({"n": F.count(F.lit(1)).over(side), "_own": F.sum("_step").over(side), "_net": F.sum("_step").over(Window.partitionBy("key", "chain"))})
     rows = rows.withColumn("dir", F.when(F.col("_net") != 0, F.signum("_net")).otherwise(F.signum("_own")))
@@ -40,7 +40,7 @@ def out_of_sequence(placed: DataFrame, subjects: DataFrame | None = None) -> Dat
 
     a, b, c = (F.col("dir") * F.col(x) for x in ("_house0", "house", "_house1"))
     wrong = (a < c) & (((b < a) & apart("0")) | ((b > c) & apart("1")))
-    out = rows.where((F.col("n") >= MIN_SIDE) & (F.col("dir") != 0) & ~F.col("loop") & wrong).select("id", "key", "chain", "side", "house", F.col("_house0").alias("before"), F.col("_house1").alias("after"))
+    out = rows.where((F.col("n") >= MIN_SIDE) & (F.col("dir") != 0) & ~F.col("loop") & wrong).select("id", "key", "chain", "side", "house", F.col("_house0").alias("before"), F.col("_house1").alias("after"), F.col("_id0").alias("before_id"), F.col("_id1").alias("after_id"))
     return out if subjects is None else out.join(subjects.select("id"), "id", "left_semi")
 
 

@@ -20,13 +20,13 @@ def _turned(x, y):
     return tx / SCALE, ty / SCALE
 
 
-def _roads(spark, sf_dir) -> DataFrame:
+def _roads(spark, sf_dir, place=_turned) -> DataFrame:
     """Ways (key, way, nodes, xs, ys, service) of the roads."""
     roads = quality_queries._roads(spark, sf_dir)
     r, j = F.col("road_id"), F.col("j")
     x = lambda k: F.col("ax") + (F.col("bx") - F.col("ax")) * k / PIECES
     ways = roads.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
-    (xa, ya), (xb, yb) = _turned(x(j), F.col("ay")), _turned(x(j + 1), F.col("ay"))
+    (xa, ya), (xb, yb) = place(x(j), F.col("ay")), place(x(j + 1), F.col("ay"))
     back = (r * PIECES + j) % 3 == 0
     pair = lambda a, b: F.when(back, F.array(b, a)).otherwise(F.array(a, b))
     return ways.select("key", (r * PIECES + j).alias("way"), pair(r * 10 + j, r * 10 + j + 1).alias("nodes"), pair(xa, xb).alias("xs"), pair(ya, yb).alias("ys"), F.lit(None).cast("string").alias("service"))

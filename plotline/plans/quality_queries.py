@@ -19,12 +19,12 @@ def _roads(spark, sf_dir) -> DataFrame:
     return town.roads(spark, sf_dir).withColumn("key", A.normalize_street(F.col("name")))
 
 
-def _addresses(spark, sf_dir) -> DataFrame:
+def _addresses(spark, sf_dir, style=lambda k: k % 3 * 2 % 5) -> DataFrame:
     """The town's addresses, with some streets of the next row and some numbers that are off."""
     k = F.col("id")
     a = town.addresses(spark, sf_dir)
     moved = F.when(k % 29 == 0, k + 40).otherwise(k)
-    a = town.with_tags(a, moved, style=moved % 3 * 2 % 5)
+    a = town.with_tags(a, moved, style=style(moved))
     house = F.when(k % 23 == 0, k % 97).otherwise(100 + 2 * (k % 40)).cast("bigint")
     return A.with_normal(a).withColumn("house", house)
 
@@ -126,9 +126,9 @@ QUERIES = {
 }
 
 
-def _base() -> str:
+def _base(style: str = "({k} % 3 * 2 % 5)") -> str:
     moved = "(CASE WHEN c_custkey % 29 = 0 THEN c_custkey + 40 ELSE c_custkey END)"
-    n, s, u = town._tags_sql(moved, f"({moved} % 3 * 2 % 5)")
+    n, s, u = town._tags_sql(moved, style.format(k=moved))
     return f"""WITH {town_sql()},
 ad0 AS (SELECT c_custkey AS id, x, y, {n} AS number, {s} AS street, {u} AS unit, CAST(CASE WHEN c_custkey % 23 = 0 THEN c_custkey % 97 ELSE 100 + 2 * (c_custkey % 40) END AS BIGINT) AS house
   FROM customer JOIN addresses ON id = c_custkey),
