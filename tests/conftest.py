@@ -12,7 +12,7 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", **{"spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
+    session = local_session("4", **{"spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "3"})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
