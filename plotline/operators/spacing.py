@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotline.functions.geometry import in_polygon
+from plotline.functions.shapes import shape_columns
 from plotline.operators.arrangement import piece_area, piece_of_site
 from plotline.operators.grid import grid_join, with_box
 from plotline.session import ship, written
@@ -172,9 +174,12 @@ def even_sample(rows: DataFrame, order: str, most: int) -> DataFrame:
 def _held(samples: DataFrame, parcels: DataFrame, shifts: DataFrame) -> DataFrame:
     """For each offset and building the most outline points that one parcel holds."""
     reach = 14.0
-    near = grid_join(with_box(samples, "p", "x", "y", reach), parcels.select("cell_id", "cxmin", "cymin", "cxmax", "cymax"), "p", "c", 40.0).select("bid", "x", "y", "cell_id", "cxmin", "cymin", "cxmax", "cymax")
+    shape = shape_columns(parcels, "c")
+    near = grid_join(with_box(samples, "p", "x", "y", reach), parcels.select("cell_id", *shape), "p", "c", 40.0).select("bid", "x", "y", "cell_id", *shape)
     # a stated, small set of offsets against all points
     moved = near.crossJoin(F.broadcast(shifts)).where("x >= cxmin + dx AND x <= cxmax + dx AND y >= cymin + dy AND y <= cymax + dy")
+    if "crings" in shape:
+        moved = moved.where(in_polygon(F.col("x") - F.col("dx"), F.col("y") - F.col("dy"), F.col("crings")))
     return moved.groupBy("dx", "dy", "bid", "cell_id").agg(F.count(F.lit(1)).alias("n")).groupBy("dx", "dy", "bid").agg(F.max("n").alias("n"))
 
 

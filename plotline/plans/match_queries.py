@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions import address as A
 from plotline.operators import match as M
+from plotline.operators.realign import estimate, run_summary
 from plotline.operators.settings import MatchSettings
 from plotline.plans import town
 from plotline.plans.match_sql import select
@@ -149,25 +150,16 @@ def address_shift(spark, sf_dir) -> DataFrame:
     return estimate(rows.select(((F.col("bxmin") + F.col("bxmax")) / 2 - F.col("x")).alias("dx"), ((F.col("bymin") + F.col("bymax")) / 2 - F.col("y")).alias("dy")))
 
 
-def estimate(offsets: DataFrame) -> DataFrame:
-    """Shift of a set of offsets (dx, dy): medians, spread (median distance from them), and
-    whether it is significant; no row for fewer than five."""
-    middle = offsets.agg(F.median("dx").alias("mx"), F.median("dy").alias("my"))  # one row
-    both = offsets.crossJoin(F.broadcast(middle))
-    out = both.agg(
-        F.first("mx").alias("dx"), F.first("my").alias("dy"), F.count(F.lit(1)).alias("samples"),
-        F.median(F.sqrt(F.pow(F.col("dx") - F.col("mx"), 2) + F.pow(F.col("dy") - F.col("my"), 2))).alias("spread"),
-    ).where("samples >= 5")
-    distance = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    significant = (F.col("samples") >= 20) & (distance >= 5) & (F.col("spread") < 0.5 * distance)
-    return out.select(*[F.round(c, 6).alias(c) for c in ("dx", "dy", "spread")], "samples", significant.alias("significant"))
+def analysis_summary(spark, sf_dir) -> DataFrame:
+    t = Town(spark, sf_dir)
+    return run_summary(t.addresses, t.groups, t.cells, t.final)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         address_in_parcel, snap_to_parcel, exact_key_dedup, cross_cell_duplicates, building_cell_overlap, home_parcel, rank_buildings, runner_up_ratio,
-        compare_existing, bucket_rules, bucket_assign, bucket_counts, shared_building_pass, unit_groups, split_by_parcel, address_shift,
+        compare_existing, bucket_rules, bucket_assign, bucket_counts, shared_building_pass, unit_groups, split_by_parcel, address_shift, analysis_summary,
     )
 }
 
@@ -186,6 +178,11 @@ SQL = {
     "bucket_assign": select(_SHOWN + ", keeps_node", "final"),
     "bucket_counts": select("bucket, count(*) AS n, round(avg(confidence), 6) AS mean_confidence", "final GROUP BY bucket"),
     "shared_building_pass": select("id, bucket, target", "final WHERE keeps_node"),
+    "analysis_summary": select(
+        "(SELECT count(*) FROM addresses) AS addresses, (SELECT sum(dups) FROM groups)::BIGINT AS duplicates, (SELECT count(*) FROM cells) AS cells, "
+        "(SELECT count(DISTINCT CASE WHEN kind IS NULL AND target IS NOT NULL THEN 'b' || target ELSE 'n' || id END) FROM final) AS proposals",
+        "n",
+    ),
     "unit_groups": select("plain AS address, count(DISTINCT target) AS buildings", "pr1 WHERE hu AND target IS NOT NULL GROUP BY plain"),
     "split_by_parcel": select(
         "target, round(min(share), 6) AS least",

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from plotline.functions import address as A
 from plotline.functions.shapes import shape_area
 from plotline.operators import quality as Q
+from plotline.operators import realign as R
 from plotline.operators import spacing as P
 from plotline.plans import sqltext as S
 from plotline.plans import town
 from plotline.plans.match_queries import SETTINGS
+from plotline.plans.match_sql import match_ctes
 from plotline.plans.town import town_sql
+from plotline.session import written
 
 
 def _roads(spark, sf_dir) -> DataFrame:
@@ -117,11 +120,37 @@ def parcel_shift_search(spark, sf_dir) -> DataFrame:
     return P.shift_estimate(_outline(spark, sf_dir), _moved_cells(spark, sf_dir))
 
 
+def outline_samples(spark, sf_dir) -> DataFrame:
+    """Points along the outlines of the town's sampled buildings, as shares of their ways round."""
+    points = R.outline_samples(town.buildings(spark, sf_dir, SETTINGS))
+    return points.select("bid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def _beside(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A town whose addresses lie 12 m too far south and whose parcels 4 m too far east and 3 m too far south."""
+    k = F.col("id")
+    orderly = {"x": ((k % 40) * 20 + (k * 7) % 3 - 1).cast("double"), "y": (F.floor(k / 40) * 30 + (k * 13) % 3 - 13).cast("double")}
+    addresses = town.addresses(spark, sf_dir).withColumns(orderly)
+    buildings, existing = (A.with_normal(f, p) for f, p in ((town.buildings(spark, sf_dir, SETTINGS), "b_"), (town.existing(spark, sf_dir), "e_")))
+    return written(A.with_normal(addresses), "addresses"), written(_moved_cells(spark, sf_dir), "cells"), written(buildings, "buildings"), written(existing, "existing")
+
+
+def settled_shifts(spark, sf_dir) -> DataFrame:
+    """What each round of the match finds of the layers' shifts, and whether they are moved."""
+    return R.settle(*_beside(spark, sf_dir), settings=SETTINGS).shifts
+
+
+def settled_match(spark, sf_dir) -> DataFrame:
+    """The match of these layers once they have been moved."""
+    done = R.settle(*_beside(spark, sf_dir), settings=SETTINGS).proposals
+    return done.select("id", "bucket", F.round("confidence", 6).alias("confidence"), "target", "kind", "keeps_node")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         roads_within_radius, street_name_check, neighbour_vote, street_sides, sequence_inversion, parity_side, node_in_building, outbuilding_addresses,
-        local_spacing, nearest_site_cells, voronoi_cells, parcel_shift_scores, parcel_shift_search,
+        local_spacing, nearest_site_cells, voronoi_cells, parcel_shift_scores, parcel_shift_search, outline_samples, settled_shifts, settled_match,
     )
 }
 
@@ -189,6 +218,19 @@ FROM sb3, ag WHERE samples >= 5"""
     return out
 
 
+def _settled_ctes() -> str:
+    """The match of the layers of ``_beside`` with the addresses where they belong."""
+    out = match_ctes()
+    for was, now in (
+        ("(c_custkey * 7) % 23 - 11", "(c_custkey * 7) % 3 - 1"), ("(c_custkey * 13) % 37 - 18", "(c_custkey * 13) % 3 - 1"),
+        ("* 20 - 10.0::DOUBLE AS cxmin", "* 20 - 6.0::DOUBLE AS cxmin"), ("* 20 + 10.0::DOUBLE AS cxmax", "* 20 + 14.0::DOUBLE AS cxmax"),
+        ("* 30 - 15.0::DOUBLE AS cymin", "* 30 - 18.0::DOUBLE AS cymin"), ("* 30 + 15.0::DOUBLE AS cymax", "* 30 + 12.0::DOUBLE AS cymax"),
+    ):
+        assert was in out
+        out = out.replace(was, now)
+    return f"WITH {out} "
+
+
 _BASE = _base()
 SQL = {
     "roads_within_radius": _BASE + "SELECT id, road_id, round(distance, 6) AS distance FROM near WHERE distance <= 30",
@@ -206,6 +248,9 @@ SQL = {
     "local_spacing": _BASE + "SELECT a AS sid, round(coalesce(median(gap), (SELECT median(gap) FROM gaps)), 6) AS spacing FROM rk LEFT JOIN gaps ON b = sid WHERE r <= 10 GROUP BY a",
     "nearest_site_cells": _BASE + """SELECT bid, id AS sid, round(d, 6) AS distance FROM (SELECT bid, id, sqrt((x - (bxmin + bxmax) / 2) ** 2 + (y - (bymin + bymax) / 2) ** 2) AS d
         FROM buildings JOIN addresses ON abs(x - (bxmin + bxmax) / 2) <= 120 AND abs(y - (bymin + bymax) / 2) <= 120) QUALIFY row_number() OVER (PARTITION BY bid ORDER BY d, id) = 1""",
+    "settled_match": _settled_ctes() + "SELECT id, bucket, round(confidence, 6) AS confidence, target, kind, keeps_node FROM final",
+    # no outline is longer than 120 m, so that points are a metre apart
+    "outline_samples": _BASE + "SELECT bid, x, y FROM outl",
     "parcel_shift_search": _BASE + _search_sql(),
     "parcel_shift_scores": _BASE + "SELECT dx, dy, round(sum(n / points) / (SELECT count(*) FROM pts), 6) AS score FROM bs JOIN pts USING (bid) GROUP BY dx, dy",
 }
