@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,11 @@ from plotline.plans import sqltext as S
 from plotline.plans.match_queries import SETTINGS, Town
 from plotline.plans.match_sql import match_ctes
 from plotline.plans.text_queries import _tags
-from plotline.session import written
+from plotline.session import shared_folder, written
+from plotline.sinks import layers as L
+from plotline.sources.openaddr import read_nodes
+
+ORIGIN = (-112.175, 33.565)
 
 
 def _proposals(t: Town) -> DataFrame:
@@ -63,7 +69,37 @@ def command_counts(spark, sf_dir) -> DataFrame:
     return done.groupBy("layer", "op").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("proposal").alias("proposals"))
 
 
-QUERIES = {f.__name__: f for f in (edit_commands, edit_commands_in_place, stand_in_commands, command_counts)}
+def _layer(t: Town) -> DataFrame:
+    """The layer that is edited: buildings and existing addresses with their tags."""
+    nowhere = F.lit(None).cast("double")
+    built = _tags(t.buildings, "b_").select(F.concat(F.lit("b"), F.col("bid").cast("string")).alias("pkey"), F.col("b_tags").alias("tags"), nowhere.alias("x"), nowhere.alias("y"))
+    return built.unionByName(_tags(t.existing, "e_").select(F.concat(F.lit("e"), F.col("eid").cast("string")).alias("pkey"), F.col("e_tags").alias("tags"), F.col("ex").alias("x"), F.col("ey").alias("y")))
+
+
+def _parts(layer: DataFrame) -> DataFrame:
+    tag = lambda k: F.try_element_at("tags", F.lit(k)).alias(k.split(":")[1])
+    return layer.select("pkey", tag("addr:housenumber"), tag("addr:street"), tag("addr:unit"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def edited_layer(spark, sf_dir) -> DataFrame:
+    """Addresses of the edited layer after all commands."""
+    t = Town(spark, sf_dir)
+    done = written(P.commands(_proposals(t), _tags(t.groups, ""), P.target_shapes(t.buildings), _here(t)), "commands")
+    return _parts(L.edited(_layer(t), done))
+
+
+def extract_round_trip(spark, sf_dir) -> DataFrame:
+    """The nodes of the edited layer, written as an extract in XML and read again."""
+    t = Town(spark, sf_dir)
+    done = written(P.commands(_proposals(t), _tags(t.groups, ""), P.target_shapes(t.buildings), _here(t)), "commands")
+    nodes = L.edited(_layer(t), done).where("x IS NOT NULL").withColumn("id", F.substring("pkey", 2, 20).cast("long") * 2 + F.startswith("pkey", F.lit("e")).cast("int"))
+    path = f"{shared_folder(spark)}/plotline/extract-{uuid4().hex}"
+    L.write_nodes(L.with_degrees(nodes, *ORIGIN), path)
+    tag = lambda k: F.try_element_at("tags", F.lit(k)).alias(k.split(":")[1])
+    return read_nodes(spark, path).select("id", tag("addr:housenumber"), tag("addr:street"), tag("addr:unit"), "lon", "lat")
+
+
+QUERIES = {f.__name__: f for f in (edit_commands, edit_commands_in_place, stand_in_commands, command_counts, edited_layer, extract_round_trip)}
 
 _ADDR = "'addr:housenumber=' || number || ';addr:street=' || street || coalesce(';addr:unit=' || unit, '')"
 _IN_BOX = "{x} > bxmin AND {x} < bxmax AND {y} > bymin AND {y} < bymax"
@@ -135,7 +171,20 @@ commands AS (
 
 
 _ROWS = "SELECT proposal, step, layer, op, pkey, tags, round(x, 6) AS x, round(y, 6) AS y FROM commands"
+_EDITED = """,
+had AS (SELECT 'b' || bid AS pkey, b_number AS housenumber, b_street AS street, b_unit AS unit, NULL::DOUBLE AS x, NULL::DOUBLE AS y FROM buildings UNION ALL
+  SELECT 'e' || eid, e_number, e_street, e_unit, ex, ey FROM existing),
+parsed AS (SELECT *, nullif(regexp_extract(tags, 'addr:housenumber=([^;]*)', 1), '') AS n1, nullif(regexp_extract(tags, 'addr:street=([^;]*)', 1), '') AS s1,
+  nullif(regexp_extract(tags, 'addr:unit=([^;]*)', 1), '') AS u1 FROM commands),
+sets AS (SELECT pkey, arg_max(n1, {'p': proposal, 'v': n1}) FILTER (n1 IS NOT NULL) AS n1, arg_max(s1, {'p': proposal, 'v': s1}) FILTER (s1 IS NOT NULL) AS s1, arg_max(u1, {'p': proposal, 'v': u1}) FILTER (u1 IS NOT NULL) AS u1
+  FROM parsed WHERE op = 'set_tags' GROUP BY pkey),
+edited AS (SELECT h.pkey, coalesce(n1, housenumber) AS housenumber, coalesce(s1, street) AS street, coalesce(u1, unit) AS unit, x, y FROM had h LEFT JOIN sets USING (pkey) UNION ALL
+  SELECT pkey, n1, s1, u1, x, y FROM parsed WHERE op = 'add_node')
+"""
 SQL = {
+    "edited_layer": _commands_sql(False) + _EDITED + "SELECT pkey, housenumber, street, unit, round(x, 6) AS x, round(y, 6) AS y FROM edited",
+    "extract_round_trip": _commands_sql(False) + _EDITED + f"""SELECT substr(pkey, 2)::BIGINT * 2 + (pkey LIKE 'e%')::INT AS id, housenumber, street, unit,
+        round({ORIGIN[0]}::DOUBLE + x / (111320.0::DOUBLE * cos(radians({ORIGIN[1]}::DOUBLE))), 7) AS lon, round({ORIGIN[1]}::DOUBLE + y / 110540.0::DOUBLE, 7) AS lat FROM edited WHERE x IS NOT NULL""",
     "edit_commands": _commands_sql(False) + _ROWS,
     "edit_commands_in_place": _commands_sql(True) + _ROWS,
     "command_counts": _commands_sql(False) + "SELECT layer, op, count(*) AS n, count(DISTINCT proposal) AS proposals FROM commands GROUP BY layer, op",
