@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plotline.plans.town import table
 from plotline.sources import catalog as C
+from plotline.sources import custom as S
 
 
 def _part(spark, sf_dir) -> DataFrame:
@@ -92,7 +93,38 @@ def source_addresses(spark, sf_dir) -> DataFrame:
     return _part(spark, sf_dir).select("id", C.source_address(said).alias("address"), C.file_of(said).alias("file"), C.layer_of_address(said).alias("layer"))
 
 
-QUERIES = {f.__name__: f for f in (source_layers, catalog_join, extent_checks, field_lists, esri_features, point_layers, source_addresses)}
+def _sources(spark, sf_dir) -> DataFrame:
+    """Descriptions of sources, one a customer, with whatever can be wrong with them."""
+    k = F.col("c_custkey")
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    url = F.concat(F.lit("https://x/"), (k % 7).cast("string"))
+    fields = F.create_map(F.lit("number"), F.when(k % 3 == 0, " ").otherwise("NUM"), F.lit("street"), F.when(k % 4 == 0, "ST + Dir").otherwise("st"), F.lit("pid"), F.lit("APN"))
+    return table(spark, sf_dir, "customer").select(
+        k.alias("id"), F.when(k % 11 == 0, " ").otherwise(F.concat(F.lit(" Source "), F.when(k % 13 == 0, "twin").otherwise(k.cast("string")))).alias("name"),
+        pick(("ARCGIS", "OGC_FEATURES", "PMTILES"), k).alias("protocol"), F.when(k % 17 == 0, "").otherwise(url).alias("url"), pick(("ADDRESSES", "PARCELS", "BUILDINGS", "ADDRESSES"), F.floor(k / 3)).alias("kind"),
+        fields.alias("fields"), pick(("POINTS", "POLYGONS", "OTHER", "POLYGONS", "POINTS"), F.floor(k / 5)).alias("geometry"),
+        F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("num"), F.lit("St"), F.lit("apn"))).alias("service_fields"),
+        F.when(k % 19 == 0, "https://y").otherwise(url).alias("checked_url"), pick(("ARCGIS", "OGC_FEATURES", "PMTILES"), k).alias("checked_protocol"),
+        (-(k % 100)).cast("double").alias("west"), (k % 50).cast("double").alias("south"), F.when(k % 23 == 0, -200.0).otherwise(10.0).alias("east"), F.lit(60.0).alias("north"),
+    )
+
+
+def source_problems(spark, sf_dir) -> DataFrame:
+    rows = S.names_taken(_sources(spark, sf_dir))
+    columns = ("name", "protocol", "url", "kind", "fields", "geometry", "service_fields", "checked_url", "checked_protocol", "taken")
+    return rows.select("id", S.problem(*[F.col(c) for c in columns]).alias("problem"))
+
+
+def stored_sources(spark, sf_dir) -> DataFrame:
+    """Sources that come back from their stored entries, a few of which can't be read."""
+    entries = S.stored(_sources(spark, sf_dir))
+    broken = F.map_concat(F.map_filter("entry", lambda k, v: k != "kind"), F.create_map(F.lit("kind"), F.lit("LAKES")))
+    entries = entries.withColumn("entry", F.when(F.col("id") % 29 == 0, broken).otherwise(F.col("entry")))
+    field = lambda k: F.try_element_at("fields", F.lit(k)).alias(k)
+    return S.loaded(entries).select("id", "name", "kind", field("number"), field("street"), field("pid"), "west", "north")
+
+
+QUERIES = {f.__name__: f for f in (source_problems, stored_sources, source_layers, catalog_join, extent_checks, field_lists, esri_features, point_layers, source_addresses)}
 
 _NAMES = ("Kern, ca, us", "Reno, us", "OpenAddresses", "ny")
 
@@ -101,7 +133,17 @@ def _pick(k: str, values: tuple) -> str:
     return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + f"][({k}) % {len(values)} + 1]"
 
 
+_SOURCES = """WITH b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'Source ' || CASE WHEN c_custkey % 13 = 0 THEN 'twin' ELSE c_custkey::VARCHAR END END AS name,
+    ['ARCGIS', 'OGC_FEATURES', 'PMTILES'][c_custkey % 3 + 1] AS protocol, ['ADDRESSES', 'PARCELS', 'BUILDINGS', 'ADDRESSES'][(c_custkey // 3) % 4 + 1] AS kind,
+    ['POINTS', 'POLYGONS', 'OTHER', 'POLYGONS', 'POINTS'][(c_custkey // 5) % 5 + 1] AS geometry FROM customer),
+n AS (SELECT *, count(*) OVER (PARTITION BY lower(name)) > 1 AS taken FROM b) """
 SQL = {
+    "source_problems": _SOURCES + """SELECT id, CASE WHEN id % 17 = 0 THEN 'the layer''s address is missing' WHEN id % 19 = 0 THEN 'the layer has not been checked' WHEN name = '' THEN 'the name is missing'
+        WHEN taken THEN 'another source is called ' || name WHEN protocol = 'PMTILES' AND kind <> 'ADDRESSES' THEN 'tile archives hold addresses only'
+        WHEN geometry = 'POINTS' AND kind <> 'ADDRESSES' THEN 'points can be addresses only' WHEN geometry = 'OTHER' THEN 'the layer holds neither points nor polygons'
+        WHEN kind = 'ADDRESSES' AND id % 3 = 0 THEN 'no field holds the housenumber' WHEN kind = 'ADDRESSES' AND id % 4 = 0 AND id % 5 <> 0 THEN 'the layer has no field Dir' END AS problem FROM n""",
+    "stored_sources": _SOURCES + """SELECT id, name, kind, CASE WHEN kind = 'ADDRESSES' AND id % 3 <> 0 THEN 'NUM' END AS number, CASE WHEN kind = 'ADDRESSES' THEN CASE WHEN id % 4 = 0 THEN 'ST,Dir' ELSE 'st' END END AS street,
+        CASE WHEN kind = 'PARCELS' THEN 'APN' END AS pid, CASE WHEN id % 23 <> 0 THEN (-(id % 100))::DOUBLE END AS west, CASE WHEN id % 23 <> 0 THEN 60.0::DOUBLE END AS north FROM n WHERE id % 29 <> 0""",
     "source_layers": f"""WITH d AS (SELECT p_partkey AS id, {_pick("p_partkey", _NAMES)} AS base FROM part WHERE p_partkey % 11 <> 0)
 SELECT id, 'PARCELS' AS kind, base || ' parcels (lots)' AS name, 'https://p.com/' || id AS url, 'A=1' AS condition, '{{"url":"x"}}' AS licence, 'APN' AS fields FROM d UNION ALL
 SELECT id, 'ADDRESSES', base || ' addresses', 'https://e.com/' || id, NULL, 'root', CASE WHEN id % 3 = 0 THEN 'HOUSE,ST,TYPE' ELSE 'PRE,HOUSE,ST,TYPE' END FROM d WHERE id % 5 <> 0 AND id % 3 <> 2""",

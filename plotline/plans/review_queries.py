@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotline.functions.shapes import shape_area
+from plotline.operators import describe as D
 from plotline.operators import review as R
 from plotline.plans import town
 from plotline.plans.match_queries import Town
@@ -79,13 +81,60 @@ def perturbed_layer(spark, sf_dir) -> DataFrame:
     return rows.select("id", _text(F.map_filter(R.perturbed(F.col("tags"), F.col("id")), lambda k, v: F.startswith(k, F.lit("addr:")))).alias("tags"))
 
 
-QUERIES = {f.__name__: f for f in (result_order, bulk_apply, highlight_sets, address_centre, match_scores, address_carriers, stripped_layer, perturbed_layer)}
+def proposal_reasons(spark, sf_dir) -> DataFrame:
+    """Why addresses were assigned to their buildings."""
+    t = Town(spark, sf_dir)
+    why = D.building_reasons(t.proposals, t.groups, written(t.ranked, "ranked"), t.pairs, t.buildings, t.settings)
+    return why.select("target", "proposal", "addresses", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def proposal_labels(spark, sf_dir) -> DataFrame:
+    """The lines of a list of proposals."""
+    t = Town(spark, sf_dir)
+    ranked = t.ranked.groupBy(F.col("id").alias("_r")).agg(F.count(F.lit(1)).alias("candidates"))
+    b = t.buildings.select(F.col("bid").alias("_b"), "building", shape_area(t.buildings, "b").alias("area"))
+    rows = t.final.join(t.groups.select(F.col("id").alias("_g"), "number", "street", "unit"), F.col("id") == F.col("_g"))
+    rows = rows.join(b, F.col("target") == F.col("_b"), "left").join(ranked, F.col("id") == F.col("_r"), "left")
+    found = F.when(F.col("kind").isNotNull() & F.col("target").isNotNull(), F.concat(F.lit("b"), F.col("target").cast("string")))
+    layer = F.when(F.col("target").isNotNull(), "building")
+    said = D.described(F.col("number"), F.col("street"), F.col("unit"))
+    label = D.row_label(said, F.col("bucket"), found, layer, F.col("building"), F.col("area"), F.coalesce("candidates", F.lit(0)), F.col("confidence"))
+    return rows.select("id", label.alias("label"))
+
+
+QUERIES = {f.__name__: f for f in (proposal_reasons, proposal_labels, result_order, bulk_apply, highlight_sets, address_centre, match_scores, address_carriers, stripped_layer, perturbed_layer)}
 
 _ORDER = "list_position(['CLEAN','FILL_EXISTING','MULTI_ADDRESS_BUILDING','REVIEW','NO_BUILDING','AMBIGUOUS_BUILDING','EXISTING_ADDRESS','DUPLICATE','OUTSIDE_CELLS'], bucket)"
 _TAGS = """WITH t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 3 THEN CASE WHEN c_custkey % 10 = 0 THEN '7B' ELSE CAST(100 + c_custkey AS VARCHAR) END END AS number,
   CASE WHEN c_custkey % 3 = 0 THEN '2' END AS unit, c_custkey % 5 = 0 AS building, c_custkey % 7 = 0 AS cafe, c_custkey % 2 = 0 AS src FROM customer),
 r AS (SELECT *, ('0x' || substr(md5('strip' || id), 1, 8))::BIGINT / 4294967296 AS strip, ('0x' || substr(md5('roll' || id), 1, 8))::BIGINT / 4294967296 AS roll, ('0x' || substr(md5('side' || id), 1, 8))::BIGINT / 4294967296 AS side FROM t) """
+_SAID = "trim(coalesce(number, '?') || coalesce(' #' || unit, '') || ' ' || coalesce(street, ''))"
+_REASONS = """(
+  SELECT p.bid AS target, f.id AS proposal, p.n, p.nc, p.worst, p.sn, p.far, p.ls, f.cell_id, cn.c, p.inside, p.away, p.lc,
+    (SELECT (bxmax - bxmin) * (bymax - bymin) FROM buildings b WHERE b.bid = p.bid) AS area, r2.area2, r2.kind2
+  FROM (SELECT o.bid, count(*) AS n, count(DISTINCT o.cell_id) AS nc, max(o.ratio) AS worst, bool_or(o.snapped) AS sn, max(o.far) AS far, min(o.share) AS ls, min(o.id) AS first,
+      arg_min(o.cell_id, {'s': o.share, 'c': o.cell_id}) AS lc, bool_and(r.hold) AS inside, max(g.cell_distance) AS away
+    FROM opens o JOIN ranked r ON r.id = o.id AND r.rank = 1 JOIN groups g ON g.id = o.id GROUP BY o.bid) p
+  JOIN groups f ON f.id = p.first JOIN (SELECT id, count(*) AS c FROM ranked GROUP BY id) cn ON cn.id = p.first
+  LEFT JOIN (SELECT r.id, (bxmax - bxmin) * (bymax - bymin) AS area2, b.building AS kind2 FROM ranked r JOIN buildings b USING (bid) WHERE rank = 2) r2 ON r2.id = p.first)"""
 SQL = {
+    "proposal_reasons": select(
+        """target, proposal, n AS addresses, concat_ws('; ',
+          CASE WHEN c > 1 THEN 'Largest of ' || c || ' buildings in parcel ' || cell_id || ' (' || round(area)::BIGINT || ' m² against ' || round(area2)::BIGINT || ' m² of building=' || coalesce(kind2, '?') || ')' ELSE 'Only building in parcel ' || cell_id END,
+          CASE WHEN worst > 0 THEN 'Runner-up scores ' || round(worst * 100)::BIGINT || '% of it' END,
+          CASE WHEN inside THEN CASE WHEN n > 1 THEN 'All address points are inside' ELSE 'Address point is inside' END END,
+          CASE WHEN sn THEN 'Address point snapped to a parcel ' || round(away)::BIGINT || ' m away' END,
+          CASE WHEN nc > 1 THEN 'Covers ' || nc || ' addressed parcels' WHEN n > 1 THEN CASE WHEN worst >= 0.25 THEN n || ' addresses share the parcel with ' || c || ' buildings' ELSE n || ' addresses; each stays a node' END END,
+          CASE WHEN far > 100 THEN round(far)::BIGINT || ' m from the address point' END,
+          CASE WHEN nc = 1 AND worst < 0.75 AND NOT (n > 1 AND worst >= 0.25) AND far <= 100 AND ls < 1 - 0.2::DOUBLE THEN 'A parcel line splits it: only ' || round(ls * 100)::BIGINT || '% is in parcel ' || lc END) AS reasons""",
+        _REASONS,
+    ),
+    "proposal_labels": select(
+        f"""f.id, {_SAID} || CASE WHEN f.bucket IN ('CLEAN', 'FILL_EXISTING') AND f.kind IS NOT NULL AND f.target IS NOT NULL THEN CASE f.bucket WHEN 'CLEAN' THEN ' → already on b' ELSE ' → fills b' END || f.target
+          WHEN f.target IS NOT NULL THEN ' → building=' || coalesce(b.building, '?') || ' (' || round((b.bxmax - b.bxmin) * (b.bymax - b.bymin))::BIGINT || ' m²)'
+          WHEN f.bucket = 'AMBIGUOUS_BUILDING' AND c.n > 0 THEN ' → pick one of ' || c.n || ' buildings' ELSE '' END || '  ' || round(f.confidence * 100)::BIGINT || '%' AS label""",
+        "final f JOIN groups g ON g.id = f.id LEFT JOIN buildings b ON b.bid = f.target LEFT JOIN (SELECT id, count(*) AS n FROM ranked GROUP BY id) c ON c.id = f.id",
+    ),
     "result_order": select(f"id, bucket, row_number() OVER (ORDER BY {_ORDER}, CASE WHEN bucket = 'CLEAN' THEN -round(confidence, 6) ELSE round(confidence, 6) END, id) - 1 AS place", "final"),
     "bulk_apply": select("id, bucket", "final WHERE bucket IN ('CLEAN', 'FILL_EXISTING', 'MULTI_ADDRESS_BUILDING') AND id % 5 <> 0"),
     "highlight_sets": select(
