@@ -25,11 +25,12 @@ FEATURES = [
     ("building", 2, [box(20.0, 0.0, 60.0, 40.0), box(32.0, 12.0, 48.0, 28.0)], None, None),
     ("hint", 3, [L_SHAPE], None, None),
     ("hint", 4, [box(100.0, 0.0, 110.0, 20.0)], None, None),
-    ("node", 5, [[(206 * 1.0, 0.0), (200.0, 6.0), (194.0, 0.0), (200.0, -6.0), (206.0, 0.0)]], 200.0, 0.0),
+    ("node", 5, [[(206.0, 0.0), (200.0, 6.0), (194.0, 0.0), (200.0, -6.0), (206.0, 0.0)]], 200.0, 0.0),
+    ("node", 6, [[(306.0, 0.0), (300.0, 6.0), (294.0, 0.0), (300.0, -6.0), (306.0, 0.0)]], 300.0, 0.0),
 ]
 
 
-def run(spark, proposals, points, **more):
+def run(spark, proposals, points, features=FEATURES, **more):
     """Commands as (proposal, step, layer, op, pkey, tags, place) for proposals
     (id, bucket, layer, target, kind, keeps, found key, found tags) and points id -> (x, y, dups, unit)."""
     groups = []
@@ -39,7 +40,7 @@ def run(spark, proposals, points, **more):
             tags["addr:unit"] = rest[1]
         groups.append((i, x, y, tags, rest[0] if rest else []))
     frames = {k: spark.createDataFrame(*v) if isinstance(v, tuple) else v for k, v in more.items()}
-    out = P.commands(spark.createDataFrame(proposals, SHOWN), spark.createDataFrame(groups, GROUPS), spark.createDataFrame(FEATURES, RINGS), **frames)
+    out = P.commands(spark.createDataFrame(proposals, SHOWN), spark.createDataFrame(groups, GROUPS), spark.createDataFrame(features, RINGS), **frames)
     rows = [(r["proposal"], r["step"], r["layer"], r["op"], r["pkey"], r["tags"], None if r["x"] is None else (r["x"], r["y"])) for r in out.collect()]
     return sorted(rows, key=lambda r: (r[0], r[1], r[4]))
 
@@ -48,57 +49,69 @@ def proposal(i, bucket, layer=None, target=None, kind=None, keeps=False, key=Non
     return (i, bucket, layer, target, kind, keeps, key, tags)
 
 
-def test_alone_on_a_building_tags_it_and_goes(spark):
-    got = run(spark, [proposal(7, "CLEAN", "building", 1)], {7: (5.0, 5.0, [8, 9])})
+ALONE = {7: (5.0, 5.0, [8, 9])}
+FOUND = {i: (0.0, 0.0) for i in range(11, 17)}
+SEVERAL = {21: (22.0, 2.0), 22: (22.1, 2.0), 23: (40.0, 20.0)}
+HINTED = {31: (101.0, 1.0), 32: (19.0, 1.0)}
+BESIDE = {41: (203.0, 0.0), 42: (250.0, 0.0), 43: (303.0, 0.0)}
+
+
+@pytest.fixture(scope="module")
+def done(spark):
+    """Commands of the sketches that don't touch each other, by proposal."""
+    rows = [proposal(7, "CLEAN", "building", 1)]
+    rows += [proposal(11, "FILL_EXISTING", None, None, "PARTIAL", key="e4", tags={"addr:unit": "1"}), proposal(12, "CLEAN", "building", 1, "IDENTICAL", key="b1", tags={"addr:housenumber": "x"})]
+    rows += [proposal(13, "EXISTING_ADDRESS", None, None, "IDENTICAL", key="e5", tags={}), proposal(14, "EXISTING_ADDRESS", None, None, "UNIT_DIFF"), proposal(15, "DUPLICATE"), proposal(16, "OUTSIDE_CELLS")]
+    rows += [proposal(i, "MULTI_ADDRESS_BUILDING", "building", 2) for i in (21, 22, 23)]
+    rows += [proposal(31, "CLEAN", "hint", 4), proposal(32, "CLEAN", "hint", 3)]
+    rows += [proposal(i, "MULTI_ADDRESS_BUILDING", "node", 5) for i in (41, 42)] + [proposal(43, "CLEAN", "node", 6)]
+    return run(spark, rows, ALONE | FOUND | SEVERAL | HINTED | BESIDE)
+
+
+def test_alone_on_a_building_tags_it_and_goes(done):
+    got = [r for r in done if r[0] == 7]
     assert got == [(7, 1, "target", "set_tags", "b1", {"addr:housenumber": "7"}, None)] + [(7, 2, "source", "delete_node", f"n{i}", {}, None) for i in (7, 8, 9)]
 
 
-def test_what_has_the_address_gets_what_it_lacks(spark):
-    rows = [proposal(1, "FILL_EXISTING", None, None, "PARTIAL", key="e4", tags={"addr:unit": "1"}), proposal(2, "CLEAN", "building", 1, "IDENTICAL", key="b1", tags={"addr:housenumber": "x"})]
-    rows += [proposal(3, "EXISTING_ADDRESS", None, None, "IDENTICAL", key="e5", tags={}), proposal(4, "EXISTING_ADDRESS", None, None, "UNIT_DIFF"), proposal(5, "DUPLICATE"), proposal(6, "OUTSIDE_CELLS")]
-    got = run(spark, rows, {i: (0.0, 0.0) for i in range(1, 7)})
-    assert [(r[0], r[3], r[4], r[5]) for r in got] == [
-        (1, "set_tags", "e4", {"addr:housenumber": "1"}), (1, "delete_node", "n1", {}), (2, "delete_node", "n2", {}), (3, "delete_node", "n3", {}),
+def test_what_has_the_address_gets_what_it_lacks(done):
+    assert [(r[0], r[3], r[4], r[5]) for r in done if r[0] in FOUND] == [
+        (11, "set_tags", "e4", {"addr:housenumber": "11"}), (11, "delete_node", "n11", {}), (12, "delete_node", "n12", {}), (13, "delete_node", "n13", {}),
     ]
 
 
-def test_several_on_a_building_become_nodes_in_it(spark):
-    rows = [proposal(i, "MULTI_ADDRESS_BUILDING", "building", 2) for i in (1, 2, 3)]
-    got = [r for r in run(spark, rows, {1: (22.0, 2.0), 2: (22.1, 2.0), 3: (40.0, 20.0)}) if r[1] == 1]
-    assert {r[0] for r in got} == {1} and [r[4] for r in got] == ["n1", "n2", "n3"] and got[0][6] == (22.0, 2.0)
+def test_several_on_a_building_become_nodes_in_it(done):
+    got = [r for r in done if r[0] in SEVERAL and r[1] == 1]
+    assert {r[0] for r in got} == {21} and [r[4] for r in got] == ["n21", "n22", "n23"] and got[0][6] == (22.0, 2.0)
     for r in got[1:]:
         x, y = r[6]
         assert 20 < x < 60 and 0 < y < 40 and not (32 <= x <= 48 and 12 <= y <= 28)
     assert math.dist(got[1][6], got[2][6]) >= 2
 
 
-def test_hints_get_nodes_and_one_stands_in_the_middle(spark):
-    got = run(spark, [proposal(1, "CLEAN", "hint", 4), proposal(2, "CLEAN", "hint", 3)], {1: (101.0, 1.0), 2: (19.0, 1.0)})
-    at = {r[0]: r[6] for r in got if r[1] == 1}
-    assert at[1] == (105.0, 10.0)
-    x, y = at[2]  # the centre of mass of the angle lies outside it
+def test_hints_get_nodes_and_one_stands_in_the_middle(done):
+    at = {r[0]: r[6] for r in done if r[1] == 1}
+    assert at[31] == (105.0, 10.0)
+    x, y = at[32]  # the centre of mass of the angle lies outside it
     assert (0 < x < 20 and 0 < y < 4) or (0 < x < 4 and 0 < y < 20)
 
 
-def test_beside_a_building_node(spark):
-    rows = [proposal(i, "MULTI_ADDRESS_BUILDING", "node", 5) for i in (1, 2)]
-    at = {r[4]: r[6] for r in run(spark, rows, {1: (203.0, 0.0), 2: (250.0, 0.0)}) if r[1] == 1}
+def test_beside_a_building_node(done):
+    at = {r[4]: r for r in done if r[1] == 1}
     # the spot east of the node is too near to the address that stayed
-    assert at["n1"] == (203.0, 0.0) and at["n2"] == pytest.approx((200 + math.sqrt(2), math.sqrt(2)))
-    alone = run(spark, [proposal(1, "CLEAN", "node", 5)], {1: (203.0, 0.0)})
-    assert alone[0][3:5] == ("set_tags", "m5")
+    assert at["n41"][6] == (203.0, 0.0) and at["n42"][6] == pytest.approx((200 + math.sqrt(2), math.sqrt(2)))
+    assert at["m6"][3] == "set_tags" and at["m6"][0] == 43
 
 
 def test_another_address_in_the_footprint_keeps_the_node(spark):
-    here = ([(50, 5.0, 5.0, False)], "node_id long, hx double, hy double, source boolean")
-    rows, points = [proposal(1, "CLEAN", "building", 1)], {1: (2.0, 2.0)}
-    assert run(spark, rows, points, here=here)[0][3:] == ("add_node", "n1", {"addr:housenumber": "1"}, (2.0, 2.0))
-    on_edge = ([(50, 10.0, 5.0, False)], here[1])
-    assert run(spark, rows, points, here=on_edge)[0][3] == "set_tags"
-    outline = ([("building", 1, 50)], "layer string, fid long, node_id long")
-    assert run(spark, rows, points, here=here, outline=outline)[0][3] == "set_tags"
-    own = ([(1, 2.0, 2.0, True), (8, 2.0, 2.5, True)], here[1])
-    assert run(spark, rows, {1: (2.0, 2.0, [8])}, here=own)[0][3] == "set_tags"
+    """Alike buildings with an address node inside, on the border, on the outline, and of their own."""
+    features = FEATURES + [("building", 100 + k, [box(1000.0 * k, 0.0, 1000.0 * k + 10, 10.0)], None, None) for k in range(4)]
+    rows = [proposal(100 + k, "CLEAN", "building", 100 + k) for k in range(4)]
+    points = {100: (2.0, 2.0), 101: (1002.0, 2.0), 102: (2002.0, 2.0), 103: (3002.0, 2.0, [8])}
+    here = [(50, 5.0, 5.0, False), (51, 1010.0, 5.0, False), (52, 2005.0, 5.0, False), (103, 3002.0, 2.0, True), (8, 3002.0, 2.5, True)]
+    more = {"here": (here, "node_id long, hx double, hy double, source boolean"), "outline": ([("building", 102, 52)], "layer string, fid long, node_id long")}
+    got = {r[0]: r for r in run(spark, rows, points, features=features, **more) if r[1] == 1}
+    assert got[100][3:] == ("add_node", "n100", {"addr:housenumber": "100"}, (2.0, 2.0))
+    assert [got[k][3] for k in (101, 102, 103)] == ["set_tags"] * 3
 
 
 def test_in_one_layer_nodes_move_and_duplicates_go(spark):
