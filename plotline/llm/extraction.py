@@ -34,6 +34,8 @@ ARTICLE_SHARE, OTHER_SHARE = 0.5, 0.8
 MENU_LINES = 3
 #: Elements nested deeper count as part of the one at this depth, as in browsers.
 DEPTH = 512
+#: Between two blocks.
+JOINT = "\n\n"
 
 # fixed values: elements of HTML by what they mean for the text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -320,18 +322,18 @@ def _menus(lines: list[Line], within: list[int], low: np.ndarray, least: int) ->
 
 
 def main_text(html: str | None) -> str:
-    """The article's blocks, joined by line feeds."""
+    """The article's blocks, an empty line between them."""
     page = Page()
     page.feed(html or "")
     page.close()
-    return "\n".join(x.text for x in content(page))
+    return JOINT.join(x.text for x in content(page))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id, url, text, n_chars.
 
     Character references are decoded, white space within a block is one space, and blocks
-    come in page order, one a line. Text is empty for a null or empty page and for one
+    come in page order, joined by two line feeds. Text is empty for a null or empty page and for one
     without text; n_chars counts code points. Repeated rows and null ids are returned
     each; pages of any length are read whole; an empty table gives an empty result;
     other columns are not read. Row by row: no shuffle.

@@ -15,7 +15,7 @@ MENU = "<nav><ul>" + "".join(f"<li><a href='/{k}'>Page {k}</a></li>" for k in ra
 FOOT = "<footer><p>&copy; 2024 The Paper. All rights reserved in every country of the world.</p></footer>"
 HEAD = "<head><title>Bridge &amp; tunnel</title><style>p{margin:0}</style><script>var a='<p>no text</p>';</script></head>"
 TITLE = "Bridge to be mended"
-WANTED = "\n".join([TITLE, *BODY])
+WANTED = "\n\n".join([TITLE, *BODY])
 
 
 def page(body, head=HEAD):
@@ -53,20 +53,20 @@ def test_short_paragraphs_at_the_ends_stay():
     texts = ["One.", "Two.", *BODY, "Three."]
     plain = "".join(f"<p>{t}</p>" for t in texts)
     for before, after in (("", ""), (MENU, FOOT), ("<ul><li><a href='/'>Home</a><li><a href='/b'>News</a></ul>", "")):
-        assert E.main_text(page(f"{before}<h1>{TITLE}</h1>{plain}{after}")) == "\n".join([TITLE, *texts])
+        assert E.main_text(page(f"{before}<h1>{TITLE}</h1>{plain}{after}")) == "\n\n".join([TITLE, *texts])
 
 
 def test_text_within_blocks():
     body = "<article><h1>Caf&eacute;&nbsp;&#8211; <i>new</i>\n\t menu</h1><p>one<br>two <b>th</b>ree<p>four &lt;five&gt; &amp;amp; six &#x1F600;<li>a<li>b<!-- no --><table><tr><td>c<td>d</table>"
     inline = "<article><p>one <script>x()</script>two <span class='ad'>buy <b>now</b></span>three <svg><text>four</text></svg><math>x=1</math></p><span class='ad'><p>five</p></span></article>"
     assert E.main_text(inline) == "one two three x=1"
-    assert E.main_text(body) == "Café – new menu\none two three\nfour <five> &amp; six 😀\na\nb\nc\nd"
+    assert E.main_text(body) == "Café – new menu\n\none two three\n\nfour <five> &amp; six 😀\n\na\n\nb\n\nc\n\nd"
 
 
 def test_pages_without_text_and_broken_ones():
     assert [E.main_text(x) for x in (None, "", "   ", "<p></p>", "<script>x", "<!-- open", MENU)] == [""] * 7
     assert E.main_text("just words") == "just words"
-    assert E.main_text("<p>one</b></i></div><p>two <a href='x") == "one\ntwo"
+    assert E.main_text("<p>one</b></i></div><p>two <a href='x") == "one\n\ntwo"
     assert E.main_text(f"<head><title>t<p>{SENTENCE}") in (SENTENCE, "")  # a title that never ends holds the rest
     assert E.main_text(f"<head><meta charset=utf-8><p>{SENTENCE}") == SENTENCE
 
@@ -76,7 +76,7 @@ def test_very_long_and_deep_pages():
     assert E.main_text(page(f"{MENU}<article><p>{words}</p></article>")) == words
     assert E.main_text("<div>" * 5000 + SENTENCE) == SENTENCE
     many = "".join(f"<p>{k} {SENTENCE}" for k in range(5000))
-    assert E.main_text(page(f"<article>{many}</article>")).count("\n") == 4999
+    assert E.main_text(page(f"<article>{many}</article>")).count("\n\n") == 4999
     assert E.main_text("<b>" * 20_000 + "</i>" * 20_000 + SENTENCE + "</p>" * 20_000) == SENTENCE
 
 
@@ -95,7 +95,7 @@ def by_pattern(source):
     """The article of a page whose layout is known, cut out by patterns."""
     inner = re.sub(r"</?(p|h1)>", "\n", re.search("<article>(.*)</article>", source, re.S)[1])
     inner = re.sub("</?b>", "", inner.replace("<br>", " "))
-    return "\n".join(x for x in (" ".join(html.unescape(line).split()) for line in inner.split("\n")) if x)
+    return "\n\n".join(x for x in (" ".join(html.unescape(line).split()) for line in inner.split("\n")) if x)
 
 
 def test_whole_table_against_patterns(spark, tiny):
