@@ -89,8 +89,13 @@ def datasets_for(found: DataFrame, datasets: DataFrame) -> DataFrame:
     the dataset's place in the list that a view shows, the most local first."""
     from pyspark.sql import Window
 
-    joined = found.select("view", F.col("place").alias("_place"), "map").join(datasets, "map")
+    # a view's first coverage of a map and a source's first entry of it decide; so neither many
+    # coverages nor many entries of a map are paired with each other
     rest = [c for c in datasets.columns if c not in ("map", "source")]
+    first = lambda c: F.min(F.struct(c))[c]
+    nearest = found.groupBy("view", "map").agg(first("place").alias("_place"))
+    entries = datasets.groupBy("map", "source").agg(F.min_by(F.struct(*rest), F.struct("seq")).alias("_d")).select("map", "source", "_d.*")
+    joined = nearest.join(entries, "map")
     one = joined.groupBy("view", "source").agg(F.min_by(F.struct("map", *rest), F.struct("_place", "seq")).alias("d")).select("view", "source", "d.*")
     order = Window.partitionBy("view").orderBy(level_rank(F.col("level")), "source")
     return one.withColumn("place", F.row_number().over(order))
