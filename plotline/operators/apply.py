@@ -23,7 +23,7 @@ from plotline.operators.edits import applicable
 from plotline.operators.grid import grid_join, with_box
 from plotline.operators.match import GRID
 from plotline.operators.placing import STAND_IN, placed_beside, placed_inside
-from plotline.session import written
+from plotline.spread import stored
 
 #: A node nearer than this to its new place stays where it is.
 STAYS = 0.05
@@ -115,7 +115,7 @@ def places(rows: DataFrame, features: DataFrame) -> DataFrame:
     wanted = rows.select(F.col("layer").alias("_layer"), F.col("fid").alias("_fid")).distinct()
     shapes = features.join(wanted, (F.col("layer") == F.col("_layer")) & (F.col("fid") == F.col("_fid")), "left_semi")
     shapes = with_interior_point(shapes, "rings", "_inner").withColumn("_centre", rings_centroid(F.col("rings")))
-    shapes = written(shapes.select(F.struct("layer", "fid").alias("key"), "rings", "fx", "fy", "_inner", "_centre"), "targets")
+    shapes = stored(shapes.select(F.struct("layer", "fid").alias("key"), "rings", "fx", "fy", "_inner", "_centre"), "targets")
     rows = rows.withColumn("_k", F.struct("layer", "fid")).select("id", "x", "y", "_k", (F.col("alone") & (F.col("layer") == "hint")).alias("_middle"))
     joined = rows.join(shapes, F.col("_k") == F.col("key")).drop("_k")
     centred = in_polygon(F.col("_centre.x"), F.col("_centre.y"), F.col("rings"), strict=True)
@@ -137,11 +137,11 @@ def commands(
     delete the source nodes that are no longer needed and still exist. ``here`` are the
     address nodes now in the edited layer; see ``shared_footprints`` and ``steps``.
     """
-    rows = written(steps(proposals, groups, live, picks), "steps")
+    rows = stored(steps(proposals, groups, live, picks), "steps")
     if here is not None:
         held = shared_footprints(rows.where("action = 'tag'"), features, here, outline).select(F.col("id").alias("_held"))
         rows = rows.join(held, F.col("id") == F.col("_held"), "left")
-        rows = written(rows.withColumn("action", F.when(F.col("_held").isNotNull(), "place").otherwise(F.col("action"))).drop("_held"), "steps")
+        rows = stored(rows.withColumn("action", F.when(F.col("_held").isNotNull(), "place").otherwise(F.col("action"))).drop("_held"), "steps")
     spots = places(rows.where("action = 'place'"), features).select(F.col("id").alias("_s"), "px", "py")
     nowhere, own = F.lit(None).cast("double"), own_tags(F.col("tags"))
     nothing = F.create_map().cast("map<string,string>")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from plotline.operators.graph import components
 from plotline.operators.quality import along, roads_near, side_of
-from plotline.session import ship, written
+from plotline.session import ship
+from plotline.spread import stored
 
 MAX_TURN = 120.0
 #: Longest loop, in metres, that is the bulb at the end of a street and not a street.
@@ -152,7 +153,7 @@ def placed_on_chains(addresses: DataFrame, pieces: DataFrame, outlines: DataFram
     another name is much closer.
     """
     points = addresses.where("house >= 0").select("id", "x", "y", "ns", "house")
-    near = written(roads_near(points, pieces, radius), "near-chains")
+    near = stored(roads_near(points, pieces, radius), "near-chains")
     own = near.where("ns = key").groupBy("id").agg(F.min(F.struct("distance", "chain", "i", "key", "n", "run", "loop", "dead_start", "dead_end", "ax", "ay", "bx", "by", "x", "y", "house")).alias("r")).select("id", "r.*")
     at, past, end = _metres(F.col("x"), F.col("y"))
     length = F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2))
@@ -166,7 +167,7 @@ def placed_on_chains(addresses: DataFrame, pieces: DataFrame, outlines: DataFram
     kept = own.where((F.col("distance") >= MIN_OFFSET) & (F.col("side") != 0) & ~goes_on & ~corner).select("id", "key", "chain", "side", "at", "house", "head", "loop")
     if outlines is None:
         return kept.withColumns({"low": F.col("at"), "high": F.col("at")})
-    return written(kept, "on-chains").join(_stretches(kept, pieces, outlines), F.col("id") == F.col("_s"), "left").select(
+    return stored(kept, "on-chains").join(_stretches(kept, pieces, outlines), F.col("id") == F.col("_s"), "left").select(
         *kept.columns, F.coalesce(F.least("at", "_low"), "at").alias("low"), F.coalesce(F.greatest("at", "_high"), "at").alias("high")
     )
 

@@ -19,7 +19,7 @@ from plotline.functions.shapes import BOX, SHAPE, in_shape, shape_distance
 from plotline.operators import match as M
 from plotline.operators.grid import grid_join, with_box
 from plotline.operators.settings import MatchSettings
-from plotline.session import written
+from plotline.spread import stored
 
 NODE, HINT = "node", "hint"
 
@@ -113,27 +113,27 @@ def match_with_stand_ins(
     whether they keep their own node is decided for buildings only.
     """
     settings = settings or MatchSettings()
-    groups = written(M.group_addresses(M.assign_cells(addresses, cells, settings)), "groups")
+    groups = stored(M.group_addresses(M.assign_cells(addresses, cells, settings)), "groups")
     addressed = groups.where("cell_id IS NOT NULL")
-    pairs = written(M.building_cells(buildings, cells, addressed, settings), "pairs")
-    ranked = written(M.rank_buildings(groups, pairs, buildings, settings), "ranked")
-    matches = written(M.best_existing(groups, M.existing_in_cells(existing, cells)), "matches") if existing is not None else None
+    pairs = stored(M.building_cells(buildings, cells, addressed, settings), "pairs")
+    ranked = stored(M.rank_buildings(groups, pairs, buildings, settings), "ranked")
+    matches = stored(M.best_existing(groups, M.existing_in_cells(existing, cells)), "matches") if existing is not None else None
     hint_cells = ranked_hints = None
     if hints is not None:
         outlines = as_buildings(hints)
-        hint_cells = written(M.building_cells(outlines, cells, addressed, settings), "hint-pairs")
+        hint_cells = stored(M.building_cells(outlines, cells, addressed, settings), "hint-pairs")
         ranked_hints = M.rank_buildings(groups, hint_cells, outlines, settings)
-    rows = written(diverted(groups, ranked, matches, nodes_in_cells(nodes, cells) if nodes is not None else None, ranked_hints, settings), "diverted")
+    rows = stored(diverted(groups, ranked, matches, nodes_in_cells(nodes, cells) if nodes is not None else None, ranked_hints, settings), "diverted")
     gone = rows.select(F.col("id").alias("_gone"))
     own = groups.join(gone, F.col("id") == F.col("_gone"), "left_anti")
     own_ranked = ranked.join(gone, F.col("id") == F.col("_gone"), "left_anti")
     stood = node_proposals(rows)
     if hint_cells is not None:
         stood = stood.unionByName(hint_proposals(rows, hint_cells, settings))
-    stood = written(stood, "stand-ins")
+    stood = stored(stood, "stand-ins")
     proposals = M.bucket_addresses(own, own_ranked, pairs, matches, settings)
     elsewhere = stood.select("id", "bucket", "confidence", F.lit(None).cast("long").alias("target"), "ratio", F.lit(None).cast("string").alias("kind"))
-    both = written(proposals.unionByName(elsewhere), "proposals")
+    both = stored(proposals.unionByName(elsewhere), "proposals")
     final = M.shared_building_pass(both, groups, buildings, existing)
     placed = stood.select(F.col("id").alias("_s"), F.col("target_layer").alias("_layer"), F.col("target").alias("_target"))
     final = final.join(placed, F.col("id") == F.col("_s"), "left")

@@ -17,7 +17,8 @@ from plotline.plans import sqltext as S
 from plotline.plans.match_queries import SETTINGS, Town
 from plotline.plans.match_sql import match_ctes
 from plotline.plans.text_queries import _tags
-from plotline.session import shared_folder, written
+from plotline.session import shared_folder
+from plotline.spread import stored
 from plotline.sinks import layers as L
 from plotline.sources.openaddr import read_nodes
 
@@ -27,7 +28,7 @@ ORIGIN = (-112.175, 33.565)
 def _proposals(t: Town) -> DataFrame:
     layered = t.final.withColumn("target_layer", F.when(F.col("target").isNotNull(), "building"))
     located = M.existing_in_cells(_tags(t.existing, "e_"), t.cells)
-    return written(P.found_features(layered, t.groups, located, _tags(t.buildings, "b_")), "found")
+    return stored(P.found_features(layered, t.groups, located, _tags(t.buildings, "b_")), "found")
 
 
 def _here(t: Town) -> DataFrame:
@@ -59,7 +60,7 @@ def stand_in_commands(spark, sf_dir) -> DataFrame:
     hints, nodes = stand_ins.hints(spark, sf_dir), stand_ins.nodes(spark, sf_dir)
     final = match_with_stand_ins(with_normal(t.addresses), t.cells, t.buildings, t.existing, nodes, hints, SETTINGS)
     located = M.existing_in_cells(_tags(t.existing, "e_"), t.cells)
-    found = P.found_features(written(final, "final"), t.groups, located, _tags(t.buildings, "b_"))
+    found = P.found_features(stored(final, "final"), t.groups, located, _tags(t.buildings, "b_"))
     return _shown(P.commands(found, _tags(t.groups, ""), P.target_shapes(t.buildings, hints, nodes), _here(t)))
 
 
@@ -84,14 +85,14 @@ def _parts(layer: DataFrame) -> DataFrame:
 def edited_layer(spark, sf_dir) -> DataFrame:
     """Addresses of the edited layer after all commands."""
     t = Town(spark, sf_dir)
-    done = written(P.commands(_proposals(t), _tags(t.groups, ""), P.target_shapes(t.buildings), _here(t)), "commands")
+    done = stored(P.commands(_proposals(t), _tags(t.groups, ""), P.target_shapes(t.buildings), _here(t)), "commands")
     return _parts(L.edited(_layer(t), done))
 
 
 def extract_round_trip(spark, sf_dir) -> DataFrame:
     """The nodes of the edited layer, written as an extract in XML and read again."""
     t = Town(spark, sf_dir)
-    done = written(P.commands(_proposals(t), _tags(t.groups, ""), P.target_shapes(t.buildings), _here(t)), "commands")
+    done = stored(P.commands(_proposals(t), _tags(t.groups, ""), P.target_shapes(t.buildings), _here(t)), "commands")
     nodes = L.edited(_layer(t), done).where("x IS NOT NULL").withColumn("id", F.substring("pkey", 2, 20).cast("long") * 2 + F.startswith("pkey", F.lit("e")).cast("int"))
     path = f"{shared_folder(spark)}/plotline/extract-{uuid4().hex}"
     L.write_nodes(L.with_degrees(nodes, *ORIGIN), path)

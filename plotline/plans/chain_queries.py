@@ -10,7 +10,7 @@ from plotline.operators import chains as C
 from plotline.operators import sequence as Q
 from plotline.plans import quality_queries
 from plotline.plans.polygon_queries import SCALE, turned
-from plotline.session import written
+from plotline.spread import stored
 
 PIECES = 4
 
@@ -38,15 +38,15 @@ def _addresses(spark, sf_dir) -> DataFrame:
 
 
 def _placed(spark, sf_dir) -> DataFrame:
-    roads = written(_roads(spark, sf_dir), "roads")
-    found = C.dead_ends(written(C.road_chains(roads), "chains"), roads)
-    return C.placed_on_chains(_addresses(spark, sf_dir), written(C.chain_pieces(found), "pieces"))
+    roads = stored(_roads(spark, sf_dir), "roads")
+    found = C.dead_ends(stored(C.road_chains(roads), "chains"), roads)
+    return C.placed_on_chains(_addresses(spark, sf_dir), stored(C.chain_pieces(found), "pieces"))
 
 
 def road_chains(spark, sf_dir) -> DataFrame:
     """Each chain's first way, number of ways and length, and whether its ends are dead."""
-    roads = written(_roads(spark, sf_dir), "roads")
-    found = C.dead_ends(written(C.road_chains(roads), "chains"), roads)
+    roads = stored(_roads(spark, sf_dir), "roads")
+    found = C.dead_ends(stored(C.road_chains(roads), "chains"), roads)
     pieces = C.chain_pieces(found)
     length = F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2))
     lengths = pieces.groupBy("chain").agg(F.round(F.sum(length), 6).alias("metres"))

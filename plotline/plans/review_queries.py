@@ -11,7 +11,7 @@ from plotline.operators import review as R
 from plotline.plans import town
 from plotline.plans.match_queries import Town
 from plotline.plans.match_sql import select
-from plotline.session import written
+from plotline.spread import stored
 
 
 def _existing(t: Town) -> DataFrame:
@@ -23,11 +23,11 @@ def _existing(t: Town) -> DataFrame:
 
 
 def result_order(spark, sf_dir) -> DataFrame:
-    return R.in_order(written(Town(spark, sf_dir).final.withColumn("confidence", F.round("confidence", 6)), "final")).select("id", "bucket", F.col("place").cast("long").alias("place"))
+    return R.in_order(stored(Town(spark, sf_dir).final.withColumn("confidence", F.round("confidence", 6)), "final")).select("id", "bucket", F.col("place").cast("long").alias("place"))
 
 
 def bulk_apply(spark, sf_dir) -> DataFrame:
-    final = written(Town(spark, sf_dir).final, "final")
+    final = stored(Town(spark, sf_dir).final, "final")
     applied = final.where("id % 5 = 0")
     return R.bulk(final, F.col("bucket"), applied).select("id", "bucket")
 
@@ -84,7 +84,7 @@ def perturbed_layer(spark, sf_dir) -> DataFrame:
 def proposal_reasons(spark, sf_dir) -> DataFrame:
     """Why addresses were assigned to their buildings."""
     t = Town(spark, sf_dir)
-    why = D.building_reasons(t.proposals, t.groups, written(t.ranked, "ranked"), t.pairs, t.buildings, t.settings)
+    why = D.building_reasons(t.proposals, t.groups, stored(t.ranked, "ranked"), t.pairs, t.buildings, t.settings)
     return why.select("target", "proposal", "addresses", F.array_join("reasons", "; ").alias("reasons"))
 
 

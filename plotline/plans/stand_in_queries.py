@@ -10,7 +10,7 @@ from plotline.operators import stand_ins as S
 from plotline.plans import town
 from plotline.plans.match_queries import SETTINGS, Town
 from plotline.plans.match_sql import match_ctes
-from plotline.session import written
+from plotline.spread import stored
 
 
 def hints(spark, sf_dir) -> DataFrame:
@@ -36,10 +36,10 @@ def nodes(spark, sf_dir) -> DataFrame:
 def _diverted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     t = Town(spark, sf_dir)
     outlines = S.as_buildings(hints(spark, sf_dir))
-    hint_cells = written(M.building_cells(outlines, t.cells, t.groups.where("cell_id IS NOT NULL"), SETTINGS), "hint-pairs")
+    hint_cells = stored(M.building_cells(outlines, t.cells, t.groups.where("cell_id IS NOT NULL"), SETTINGS), "hint-pairs")
     ranked_hints = M.rank_buildings(t.groups, hint_cells, outlines, SETTINGS)
     rows = S.diverted(t.groups, t.ranked, t.matches, S.nodes_in_cells(nodes(spark, sf_dir), t.cells), ranked_hints, SETTINGS)
-    return written(rows, "diverted"), hint_cells
+    return stored(rows, "diverted"), hint_cells
 
 
 def _shown(rows: DataFrame) -> DataFrame:

@@ -10,22 +10,22 @@ from plotline.operators import chains as C
 from plotline.operators import validation as V
 from plotline.plans import chain_queries, quality_queries, town
 from plotline.plans.match_queries import SETTINGS
-from plotline.session import written
+from plotline.spread import stored
 
 BOUNDS = (-100.0, -100.0, 600.0, 100000.0)
 
 
 def _context(spark, sf_dir) -> dict:
     """Addresses, roads and buildings of the town, and its addresses along chains of roads."""
-    ways = written(chain_queries._roads(spark, sf_dir, lambda x, y: (x, y)), "ways")
-    chains = C.dead_ends(written(C.road_chains(ways), "chains"), ways)
-    addresses = written(quality_queries._addresses(spark, sf_dir), "addresses")
+    ways = stored(chain_queries._roads(spark, sf_dir, lambda x, y: (x, y)), "ways")
+    chains = C.dead_ends(stored(C.road_chains(ways), "chains"), ways)
+    addresses = stored(quality_queries._addresses(spark, sf_dir), "addresses")
     bounds = spark.range(1).select(*[F.lit(v).alias(c) for c, v in zip(("dxmin", "dymin", "dxmax", "dymax"), BOUNDS)])
     return {
         "addresses": addresses,
-        "roads": written(quality_queries._roads(spark, sf_dir), "roads"),
-        "buildings": written(A.with_normal(town.buildings(spark, sf_dir, SETTINGS), "b_"), "buildings"),
-        "placed": written(C.placed_on_chains(addresses, written(C.chain_pieces(chains), "pieces")), "placed"),
+        "roads": stored(quality_queries._roads(spark, sf_dir), "roads"),
+        "buildings": stored(A.with_normal(town.buildings(spark, sf_dir, SETTINGS), "b_"), "buildings"),
+        "placed": stored(C.placed_on_chains(addresses, stored(C.chain_pieces(chains), "pieces")), "placed"),
         "bounds": bounds,
     }
 

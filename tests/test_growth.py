@@ -13,3 +13,27 @@ def test_datasets_pair_no_coverage_with_every_entry_of_its_map(spark):
     # both sides of the join are reduced before it
     assert rows._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1].count("Aggregate") >= 2
     assert sorted((r["source"], r["seq"], r["place"]) for r in rows.collect()) == [("s0", 2, 1), ("s1", 1, 2)]
+
+
+def test_large_tables_are_not_broadcast_by_the_size_of_their_files(spark):
+    from plotline.spread import BROADCAST_BYTES, joined_by_shuffle, stored
+
+    # Spark guesses 10 bytes of file a row, and would broadcast an array of a hundred
+    wide = stored(spark.range(200_000).withColumn("many", F.array_repeat(F.col("id"), 100)), "wide")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(spark.range(10**9).join(wide.withColumn("id", F.col("id") * 2), "id"))
+    few = stored(spark.range(10), "few")
+    assert joined_by_shuffle(few, few.written_path) is few and BROADCAST_BYTES > 1000
+    assert "BroadcastHashJoin" in plan(spark.range(10**9).join(F.broadcast(wide), "id"))  # what is asked for holds
+
+
+def test_each_overlap_is_computed_once(spark, tiny):
+    from plotline.operators import match as M
+    from plotline.plans.polygon_queries import TURNED, _turned_boxes
+    from plotline.plans import town
+
+    cells, buildings = _turned_boxes(town.cells(spark, tiny), "c"), _turned_boxes(town.buildings(spark, tiny, TURNED), "b")
+    pairs = M.building_cells(buildings, cells, cells.select("cell_id"), TURNED)
+    # the shapes are read by the join alone, not again for the home parcels
+    assert "brings" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.count() > 0
