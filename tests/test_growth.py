@@ -37,3 +37,16 @@ def test_each_overlap_is_computed_once(spark, tiny):
     # the shapes are read by the join alone, not again for the home parcels
     assert "brings" not in pairs._jdf.queryExecution().optimizedPlan().toString()
     assert pairs.count() > 0
+
+
+def test_few_points_at_the_edge_are_not_compared_with_all_sites(spark, monkeypatch):
+    from plotline.operators import spacing as P
+
+    # a strip of sites: those at its ends find too few within the first radius
+    sites = spark.range(3_000).select(F.col("id").alias("sid"), (F.col("id") * 10.0).alias("sx"), F.lit(0.0).alias("sy"))
+    points = sites.select(F.col("sid").alias("pid"), F.col("sx").alias("px"), F.col("sy").alias("py"))
+    monkeypatch.setattr(P, "FAR_PAIRS", 10_000)
+    near = P.nearest_sites(points, sites, 10, 55.0)
+    assert "BroadcastNestedLoop" not in near._jdf.queryExecution().executedPlan().toString()
+    rows = near.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d")).collect()
+    assert len(rows) == 3_000 and all(r["n"] == 10 and r["d"] == max(50.0, 10.0 * (9 - min(r["pid"], 2_999 - r["pid"]))) for r in rows)
