@@ -50,3 +50,12 @@ def test_few_points_at_the_edge_are_not_compared_with_all_sites(spark, monkeypat
     assert "BroadcastNestedLoop" not in near._jdf.queryExecution().executedPlan().toString()
     rows = near.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d")).collect()
     assert len(rows) == 3_000 and all(r["n"] == 10 and r["d"] == max(50.0, 10.0 * (9 - min(r["pid"], 2_999 - r["pid"]))) for r in rows)
+
+
+def test_nodes_of_buildings_are_not_broadcast(spark):
+    from plotline.plans import polygon_queries
+
+    nodes, ways, _, _ = polygon_queries._ways(spark, "/root/testdata/sf0.1")
+    each = ways.select(F.explode("nodes").alias("node_id"))
+    plan = each.join(nodes, "node_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
