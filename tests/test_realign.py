@@ -50,6 +50,14 @@ def test_what_is_declined_stays(spark):
     assert done.addresses.agg(F.min("x")).first()[0] == 6.0
 
 
+def test_a_layer_of_repeated_addresses_is_measured_too(spark):
+    # as on a map of many towns: every address lies in two cells, so that none is clean
+    repeated = points(spark, -9.0, 5.0).withColumn("exact", F.concat(F.lit("k"), (F.col("id") % 20).cast("string")))
+    done = R.settle(repeated, lots(spark), houses(spark), settings=MatchSettings())
+    assert shifts(done)[0, R.ADDRESSES] == (9.0, -5.0, True, True) and shifts(done)[1, R.ADDRESSES] == (0.0, 0.0, False, False)
+    assert {(r["id"], r["bucket"]) for r in done.proposals.collect()} == {(k, "DUPLICATE") for k, _, _ in LOTS}
+
+
 def test_shapes_move_whole(spark):
     ring = [(0.0, 0.0), (6.0, 0.0), (6.0, 4.0), (0.0, 0.0)]
     made = with_rings(spark.createDataFrame([(1, [ring])], "cell_id long, r array<array<struct<x:double,y:double>>>"), F.col("r"), "c").drop("r")
