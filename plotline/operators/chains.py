@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from plotline.operators.graph import components
 from plotline.operators.quality import along, roads_near, side_of
 from plotline.session import ship
-from plotline.spread import stored
+from plotline.spread import dealt, stored
 
 MAX_TURN = 120.0
 #: Longest loop, in metres, that is the bulb at the end of a street and not a street.
@@ -92,16 +93,20 @@ def road_chains(roads: DataFrame) -> DataFrame:
     edges = touching.select(F.struct("key", F.col("_first").alias("way")).alias("_a"), F.struct("key", "way").alias("_b"))
     parts = components(edges).select(F.col("_node.key").alias("key"), F.col("_node.way").alias("way"), F.col("_root.way").alias("_part"))
     grouped = roads.join(parts, ["key", "way"], "left").withColumn("_part", F.coalesce("_part", "way"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("way")
-        place = {n: (x, y) for r in group.itertuples() for n, x, y in zip(r.nodes, r.xs, r.ys)}
-        found = chain([(r.way, list(r.nodes)) for r in group.itertuples()], place)
-        rows = [(group["key"].iloc[0], used[0], nodes, used, [place[n][0] for n in nodes], [place[n][1] for n in nodes], looped(nodes, place)) for nodes, used in found]
-        return pd.DataFrame(rows, columns=["key", "chain", "nodes", "ways", "xs", "ys", "loops"])
+    # rows of groups, as a pandas frame for each of many small ones would take most of the time
+    streets = grouped.groupBy("key", "_part").agg(F.array_sort(F.collect_list(F.struct("way", "nodes", "xs", "ys"))).alias("_ways"))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, ways in zip(batch["key"], batch["_ways"]):
+                place = {int(n): (float(x), float(y)) for r in ways for n, x, y in zip(r["nodes"], r["xs"], r["ys"])}
+                for nodes, used in chain([(int(r["way"]), [int(n) for n in r["nodes"]]) for r in ways], place):
+                    rows.append((key, used[0], nodes, used, [place[n][0] for n in nodes], [place[n][1] for n in nodes], looped(nodes, place)))
+            yield pd.DataFrame(rows, columns=["key", "chain", "nodes", "ways", "xs", "ys", "loops"])
 
     schema = "key string, chain long, nodes array<long>, ways array<long>, xs array<double>, ys array<double>, loops array<boolean>"
-    return grouped.groupBy("key", "_part").applyInPandas(run, schema)
+    return dealt(streets, "key", "_part").select("key", "_ways").mapInPandas(run, schema)
 
 
 def dead_ends(chains: DataFrame, roads: DataFrame) -> DataFrame:

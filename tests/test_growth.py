@@ -59,3 +59,22 @@ def test_nodes_of_buildings_are_not_broadcast(spark):
     each = ways.select(F.explode("nodes").alias("node_id"))
     plan = each.join(nodes, "node_id")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_few_bytes_of_long_work_are_dealt_to_many_tasks(spark):
+    from plotline.operators import chains as C
+    from plotline.operators import spacing as P
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (9, 0), (9, 9))])
+    cells = spark.range(100).select(F.col("id").alias("sid"), ring.alias("ring"))
+    sites = spark.range(100).select(F.col("id").alias("sid"), F.lit(4.0).alias("sx"), F.lit(1.0).alias("sy"))
+    roads = spark.createDataFrame([(-5.0, 2.0, 20.0, 2.0)], "ax double, ay double, bx double, by double")
+    ways = spark.range(100).select(F.col("id").cast("string").alias("key"), F.col("id").alias("way"), F.array(F.col("id"), F.col("id") + 1).alias("nodes"), F.array(F.lit(0.0), F.lit(9.0)).alias("xs"), F.array(F.lit(0.0), F.lit(0.0)).alias("ys"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # joins as of large tables
+    try:
+        for out in (P.road_clipped(cells, sites, roads), C.road_chains(ways)):
+            assert len({r["p"] for r in out.select(F.spark_partition_id().alias("p")).collect()}) >= tasks
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
