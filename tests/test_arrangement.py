@@ -40,6 +40,22 @@ def test_the_part_with_the_site():
     assert area((10, 10), loop) == 100 and area((1, 1), loop) == 300
 
 
+def test_cells_that_lines_lead_through_are_cut_alike():
+    rng, cut = random.Random(5), 0
+    for _ in range(300):
+        turns = np.sort([rng.uniform(0, 2 * np.pi) for _ in range(rng.randrange(4, 9))])
+        ring = np.column_stack([100 + 15 * np.cos(turns), 50 + 15 * np.sin(turns)])
+        ways = lines(*[[(rng.uniform(60, 140), rng.uniform(20, 80)) for _ in range(2)] for _ in range(rng.randrange(1, 4))])
+        site = (100 + rng.uniform(-8, 8), 50 + rng.uniform(-8, 8))
+        through = R.cut_through(ring, ways, site)
+        if through is not None:
+            (held,) = [p for p in R.pieces(ring, ways) if R.covers(p, site)]
+            assert R.piece_area([through]) == pytest.approx(R.piece_area(held), abs=1e-5) and R.covers([through], site)
+            cut += len(R.pieces(ring, ways)) > 1
+    assert cut > 50
+    assert R.cut_through(SQUARE, lines([(-5, 10), (10, 10)]), (2.0, 2.0)) is None and R.cut_through(SQUARE, lines([(-5, 10), (25, 10)]), (2.0, 10.0)) is None
+
+
 def test_against_an_independent_library(spark):
     jvm = spark._jvm
     reader, maker = jvm.org.locationtech.jts.io.WKTReader(), jvm.org.locationtech.jts.operation.polygonize.Polygonizer
