@@ -14,6 +14,7 @@ from plotline.plans.town import table
 from plotline.session import shared_folder, ship
 from plotline.sources import openaddr as O
 from plotline.sources import tiles as T
+from plotline.spread import dealt, stored
 
 
 def _file(rows: DataFrame) -> str:
@@ -81,12 +82,12 @@ def _block(number: int, data: bytes) -> bytes:
 
 def _tile(ids: list[int], places: list[tuple[int, int]]) -> bytes:
     """A vector tile with one layer of points, each with its id as a property."""
-    features = b""
+    features = []
     for i, (x, y) in enumerate(places):
         commands = _varint(9) + _varint((x << 1) ^ (x >> 31)) + _varint((y << 1) ^ (y >> 31))
-        features += _block(2, _block(2, _varint(0) + _varint(i)) + _varint(3 << 3) + _varint(1) + _block(4, commands))
+        features.append(_block(2, _block(2, _varint(0) + _varint(i)) + _varint(3 << 3) + _varint(1) + _block(4, commands)))
     values = b"".join(_block(4, _block(1, str(i).encode())) for i in ids)
-    layer = _block(1, b"a") + features + _block(3, b"id") + values + _varint(5 << 3) + _varint(4096) + _varint(15 << 3) + _varint(2)
+    layer = _block(1, b"a") + b"".join(features) + _block(3, b"id") + values + _varint(5 << 3) + _varint(4096) + _varint(15 << 3) + _varint(2)
     return _block(3, layer)
 
 
@@ -99,14 +100,18 @@ def vector_tiles(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 6 == 0, px - px % 4096).otherwise(px).alias("px"), F.when(py % 4096 == 0, py + 1).otherwise(py).alias("py"))
     own = rows.select("id", F.floor(F.col("px") / 4096).alias("tx"), F.floor(F.col("py") / 4096).alias("ty"), (F.col("px") % 4096).alias("x"), (F.col("py") % 4096).alias("y"))
     twice = own.where("x = 0 AND tx > 0").select("id", (F.col("tx") - 1).alias("tx"), "ty", F.lit(4096).cast("long").alias("x"), "y")
-    packed = own.unionByName(twice).groupBy("tx", "ty").agg(F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("p"))  # a tile's points
+    # a tile's points, in three columns: structs become a dict each in Python; few tiles a task, however many bytes Spark would put together
+    packed = dealt(own.unionByName(twice).groupBy("tx", "ty").agg(F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("p")), "tx", "ty")
+    packed = packed.select("tx", "ty", *[F.col(f"p.{c}").alias(c) for c in ("id", "x", "y")])
 
     def pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            data = [_tile([int(p["id"]) for p in ps], [(int(p["x"]), int(p["y"])) for p in ps]) for ps in batch["p"]]
-            yield pd.DataFrame({"zoom": 8, "tx": batch["tx"], "ty": batch["ty"], "tile": data})
+            for t in batch.itertuples():
+                data = _tile(t.id.tolist(), list(zip(t.x.tolist(), t.y.tolist())))
+                yield pd.DataFrame({"zoom": [8], "tx": [t.tx], "ty": [t.ty], "tile": [data]})
 
-    found = T.without_seams(T.decode_points(packed.mapInPandas(pack, "zoom int, tx long, ty long, tile binary")))
+    tiles = packed.mapInPandas(pack, "zoom int, tx long, ty long, tile binary")
+    found = T.without_seams(stored(T.decode_points(tiles), "points"))
     return found.select(F.try_element_at("props", F.lit("id")).cast("long").alias("id"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 

@@ -78,3 +78,15 @@ def test_few_bytes_of_long_work_are_dealt_to_many_tasks(spark):
             assert len({r["p"] for r in out.select(F.spark_partition_id().alias("p")).collect()}) >= tasks
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_a_task_holds_few_tiles_and_their_features_one_by_one(spark, tiny):
+    from plotline.plans import reader_queries
+    from plotline.sources import tiles as T
+
+    data = reader_queries._tile([5, 6], [(1, 2), (3, 4)])
+    (name, extent, found), = T.layers(data)
+    assert next(found) == (1, {"id": "5"}, [9, 2, 4]) and next(found)[1] == {"id": "6"}
+    # all tiles of the table came in one task; here most of the few tiles have a task, and so a file, of their own
+    rows = reader_queries.vector_tiles(spark, tiny)
+    assert len(rows.inputFiles()) > 1 and rows.count() == 150
