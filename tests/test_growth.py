@@ -90,3 +90,15 @@ def test_a_task_holds_few_tiles_and_their_features_one_by_one(spark, tiny):
     # all tiles of the table came in one task; here most of the few tiles have a task, and so a file, of their own
     rows = reader_queries.vector_tiles(spark, tiny)
     assert len(rows.inputFiles()) > 1 and rows.count() == 150
+
+
+def test_the_match_broadcasts_no_table_of_the_town(spark):
+    from plotline.operators import match as M
+    from plotline.plans import town
+    from plotline.plans.match_queries import SETTINGS
+
+    sf_dir = "/root/testdata/sf0.1"
+    cells, buildings, existing = town.cells(spark, sf_dir), town.buildings(spark, sf_dir, SETTINGS), town.existing(spark, sf_dir)
+    points = town.addresses(spark, sf_dir)
+    for rows in (M.assign_cells(points, cells, SETTINGS), M.existing_in_cells(existing, cells), points.join(buildings, points["id"] == buildings["bid"])):
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
