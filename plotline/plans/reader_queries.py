@@ -17,6 +17,10 @@ from plotline.sources import tiles as T
 from plotline.spread import dealt, stored
 
 
+#: Rows of a table in a document, about 43 MB.
+DOCUMENT_ROWS = 100_000
+
+
 def _file(rows: DataFrame) -> str:
     """The folder of a text file written from rows of one text column."""
     path = f"{shared_folder(rows.sparkSession)}/plotline/text-{uuid4().hex}"
@@ -61,7 +65,10 @@ def map_extract(spark, sf_dir) -> DataFrame:
         yield from batches
         yield pd.DataFrame({"value": ["</osm>"]})
 
-    path = _file(table(spark, sf_dir, "customer").select(F.explode(F.array(*nodes, way)).alias("value")).mapInPandas(document, "value string"))
+    # Spark's reader takes a document whole, and splits of a table's file say little of where its rows are
+    rows = table(spark, sf_dir, "customer").select("c_custkey")
+    rows = dealt(rows, "c_custkey", least=-(-rows.count() // DOCUMENT_ROWS))
+    path = _file(rows.select(F.explode(F.array(*nodes, way)).alias("value")).mapInPandas(document, "value string"))
     read, ways = O.read_nodes(spark, path), O.read_ways(spark, path)
     rings = O.way_rings(read, ways)
     numbered = read.where("tags['addr:housenumber'] IS NOT NULL").groupBy(F.floor(F.col("id") / 10).alias("w")).agg(F.count(F.lit(1)).alias("numbers"))

@@ -102,3 +102,22 @@ def test_the_match_broadcasts_no_table_of_the_town(spark):
     points = town.addresses(spark, sf_dir)
     for rows in (M.assign_cells(points, cells, SETTINGS), M.existing_in_cells(existing, cells), points.join(buildings, points["id"] == buildings["bid"])):
         assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_document_of_an_extract_holds_most_of_a_table(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from plotline.plans import reader_queries
+
+    sizes = {"spark.sql.files.maxPartitionBytes": "8192", "spark.sql.files.openCostInBytes": "0"}
+    was = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)  # many splits, as of a large file, but all rows lie in the one that holds the row group
+        rows = reader_queries.map_extract(spark, "/root/testdata/sf0.1")
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    bytes_each = [os.path.getsize(urlparse(f).path) for f in rows.inputFiles()]
+    assert sum(bytes_each) > 1_000_000 and max(bytes_each) * 2 < sum(bytes_each)
