@@ -7,6 +7,11 @@ much nearer its rotations are to their own axes than to the bucket's, added up o
 hashes; it probes all buckets up to one loss, which is fitted on a bounded sample of
 queries whose true neighbours are known. What the probes find is reranked by the exact
 inner product of the original vectors.
+
+Vectors are dealt to slices and queries to portions, by their hash, so that no bucket can
+be hot; a task keeps the tables of a slice and has a portion of the queries probe them. A
+bucket is compared with all queries that probe it by one product of matrices, as
+telling which of its vectors each query may skip would take longer than that.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from plotline.llm.shared import join_spread, written
 from plotline.session import ship
@@ -26,15 +32,21 @@ TABLES = 4
 #: The loss is fitted so that this share of the sampled queries' neighbours is found.
 RECALL = 0.955
 SAMPLE_QUERIES = 96
-#: Vectors that a bucket has on average, if they lie evenly; sets the number of hashes.
+#: Vectors that a task's bucket has on average at least, if they lie evenly; sets the number of hashes.
 BUCKET_ROWS = 8
-#: Codes of the leading hashes in a table, by which vectors are dealt to tasks.
+#: Buckets of a table at most, unless it has one hash.
 MOST_CODES = 1 << 16
-#: Vectors, and queries, of one task at most, about.
-TASK_ROWS = 8000
-TASK_QUERIES = 16000
-#: Candidates held at once in a task.
-HELD = 2_000_000
+#: Components of the vectors, and of the queries, of one task at most, about.
+TASK_VALUES = 1 << 23
+QUERY_VALUES = 1 << 20
+#: Tasks for each core, unless slices would be smaller than so many vectors.
+TASKS_A_CORE = 3
+SLICE_ROWS = 256
+#: Candidates held at once in a task, and scores computed at once.
+HELD = 1_000_000
+SCORES = 1 << 18
+#: A task's first vectors, with which all its queries are compared for a first bound.
+FIRST = 512
 SEED = 20
 
 
@@ -55,9 +67,6 @@ class Hashes:
     def __init__(self, dim: int, tables: int, depth: int, seed: int = SEED):
         self.dim, self.tables, self.depth = dim, tables, depth
         self.n = 1 << max(0, dim - 1).bit_length()
-        #: Axes, with signs, and how many leading hashes make the code that deals out rows.
-        self.axes = 2 * self.n
-        self.lead = min(depth, 2 if self.axes * self.axes <= MOST_CODES else 1)
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, depth, 3, self.n))
 
     def nearness(self, vectors: np.ndarray, table: int) -> list[np.ndarray]:
@@ -79,20 +88,9 @@ class Hashes:
 
     def buckets(self, vectors: np.ndarray, table: int) -> np.ndarray:
         """The rows' axes, one column for each hash."""
-        return np.column_stack([y.argmax(axis=1) for y in self.nearness(vectors, table)]).astype(np.int32)
-
-    def code(self, axes: np.ndarray) -> np.ndarray:
-        code = axes[:, 0].astype(np.int64)
-        for j in range(1, self.lead):
-            code = code * self.axes + axes[:, j]
-        return code
-
-    def lead_losses(self, losses: list[np.ndarray]) -> np.ndarray:
-        """Losses of a query at every code of the leading hashes."""
-        out = losses[0]
-        for j in range(1, self.lead):
-            out = (out[:, :, None] + losses[j][:, None, :]).reshape(len(out), -1)
-        return out
+        # in pieces, whose rotations stay small
+        pieces = [vectors[at : at + 4096] for at in range(0, len(vectors), 4096)]
+        return np.concatenate([np.column_stack([y.argmax(axis=1) for y in self.nearness(p, table)]) for p in pieces]).astype(np.int32)
 
 
 def usable(vector: Column) -> Column:
@@ -115,8 +113,8 @@ def nearest(
     k: int = 20,
     tables: int = TABLES,
     recall: float = RECALL,
-    task_rows: int = TASK_ROWS,
-    task_queries: int = TASK_QUERIES,
+    task_rows: int | None = None,
+    task_queries: int | None = None,
 ) -> DataFrame:
     """Rows query_id, rank, vec_id, score: for each query (id divisible by ``query_every``)
     the ``k`` nearest vectors found, ties to the smaller id.
@@ -124,16 +122,18 @@ def nearest(
     Vectors that are null, zero or hold null or non-finite components take no part, nor
     do those without an id. Vectors of different lengths have no inner product: each
     length is searched by itself. Repeated ids count once, with the smallest vector. A
-    query that finds fewer than there are is searched again without a bound on the loss,
-    that is exactly. An empty table gives an empty result; other columns are not read.
+    query finds as many as there are, up to ``k``. An empty table gives an empty result;
+    other columns are not read.
 
     Equal vectors are one entry of the index, with their ``k`` + 1 smallest ids (no more
     can be among a query's nearest), and one query, however many ids they have. Tasks
-    hold ``task_rows`` entries and ``task_queries`` queries: a bucket beyond that is
-    divided on both sides.
+    hold about ``task_rows`` entries and ``task_queries`` queries at most, or else as many
+    as have TASK_VALUES and QUERY_VALUES components.
     """
     ship(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
+    # single precision is kept until scores are computed: half the bytes to shuffle
+    kind = "array<float>" if vectors.schema[vector_col].dataType == ArrayType(FloatType()) else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast(kind).alias("_v"))
     rows = rows.where(F.col("_id").isNotNull() & usable(F.col("_v"))).groupBy("_id").agg(F.min("_v").alias("_v"))
     rows = written(rows.withColumn("_dim", F.size("_v")), "vectors")
     out = rows.select(F.col("_id").alias("query_id"), F.lit(1).alias("rank"), F.col("_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
@@ -141,67 +141,45 @@ def nearest(
     for length in rows.groupBy("_dim").agg(F.count(F.lit(1)).alias("n")).orderBy("_dim").collect():
         if length["n"] > 1:
             same = rows.where(F.col("_dim") == length["_dim"]).drop("_dim")
-            out = out.unionByName(_nearest(same, length["_dim"], length["n"], query_every, k, tables, recall, task_rows, task_queries))
+            out = out.unionByName(_nearest(same, length["_dim"], query_every, k, tables, recall, task_rows, task_queries))
     return out
 
 
-def depth_for(entries: int, dim: int) -> int:
-    """Hashes of a table: as many as make buckets of BUCKET_ROWS, and one more to sift with."""
+def depth_for(entries: float, dim: int) -> int:
+    """Hashes of a table for a slice of so many entries: as many as leave BUCKET_ROWS in a bucket."""
     axes = 2 << max(0, dim - 1).bit_length()
-    return 1 + max(1, math.ceil(math.log(max(2.0, entries / BUCKET_ROWS)) / math.log(axes)))
+    return max(1, math.floor(math.log(max(1.0, min(entries / BUCKET_ROWS, MOST_CODES))) / math.log(axes) + 1e-9))
+
 
+def blocks_for(entries: int, queries: int, task_rows: int, task_queries: int, cores: int) -> tuple[int, int]:
+    """Slices of the entries and portions of the queries: by the sizes of a task, and more
+    slices where that would leave cores without work."""
+    portions = max(1, math.ceil(queries / task_queries))
+    spread = min(math.ceil(TASKS_A_CORE * cores / portions), math.ceil(entries / SLICE_ROWS))
+    return max(1, math.ceil(entries / task_rows), spread), portions
 
-def _nearest(rows: DataFrame, dim: int, total: int, every: int, k: int, tables: int, recall: float, task_rows: int, task_queries: int) -> DataFrame:
+
+def _nearest(rows: DataFrame, dim: int, every: int, k: int, tables: int, recall: float, task_rows: int | None, task_queries: int | None) -> DataFrame:
     same = Window.partitionBy("_v").orderBy("_id")
     first = rows.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1)
     entries = written(first.groupBy("_v").agg(F.array_sort(F.collect_list("_id")).alias("_ids")), "entries")
     queries = rows.where(F.col("_id") % every == 0)
     asked = written(queries.groupBy("_v").agg(F.min("_id").alias("_q")), "asked")
-    hashes = Hashes(dim, tables, depth_for(entries.count(), dim))
-    base, sizes = _index(entries, hashes)
-
-    def search(wanted: DataFrame, loss: float) -> DataFrame:
-        found = _probe(base, sizes, wanted, hashes, loss, k + 1, task_rows, task_queries)
-        # a row for each task that a query went to, with the best there; each query's rows are few
-        every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_best"))))
-        hits = found.groupBy("_q").agg(F.slice(every, 1, k + 1).alias("_hits"))
-        return wanted.join(hits, "_q").select("_v", "_q", "_hits")
-
-    hits = written(search(asked, fitted_loss(entries, asked, hashes, k, recall)), "hits")
-    full = F.size("_hits") >= min(k + 1, total)
-    short = written(hits.where(~full).select("_v", "_q"), "short")
-    if short.take(1):
-        hits = written(hits.where(full).unionByName(search(short, math.inf)), "all-hits")
-    answered = join_spread(queries, hits.select("_v", "_hits"), "_v", how="inner")
+    n = entries.count()
+    task_rows, task_queries = task_rows or max(1, TASK_VALUES // dim), task_queries or max(1, QUERY_VALUES // dim)
+    slices, portions = blocks_for(n, asked.count(), task_rows, task_queries, rows.sparkSession.sparkContext.defaultParallelism)
+    hashes = Hashes(dim, tables, depth_for(n / slices, dim))
+    found = _probe(entries, asked, hashes, fitted_loss(entries, asked, hashes, k, recall), k + 1, slices, portions)
+    # a row for each slice; each query's rows are few
+    best = F.array_sort(F.flatten(F.collect_list("_best")))
+    hits = found.groupBy("_q").agg(F.slice(best, 1, k + 1).alias("_hits"))
+    hits = written(asked.join(hits, "_q").select("_v", "_hits"), "hits")
+    answered = join_spread(queries, hits, "_v", how="inner")
     others = F.slice(F.filter("_hits", lambda h: h["_id"] != F.col("_id")), 1, k)
     ranked = answered.select(F.col("_id").alias("query_id"), F.posexplode(others).alias("_p", "_h"))
     return ranked.select("query_id", (F.col("_p") + 1).alias("rank"), F.col("_h._id").alias("vec_id"), (-F.col("_h._less")).alias("score"))
 
 
-def _index(entries: DataFrame, hashes: Hashes) -> tuple[DataFrame, list[np.ndarray]]:
-    """Rows (_t, _code, _axes, _ids, _v) of every entry in every table, and the number of
-    entries at each code of each table: at most MOST_CODES numbers a table, or one for
-    each axis where there are more axes."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = _matrix(batch.column(0), hashes.dim)
-            for t in range(hashes.tables):
-                axes = hashes.buckets(v, t)
-                lists = pa.ListArray.from_arrays(np.arange(0, axes.size + 1, axes.shape[1], dtype=np.int32), pa.array(axes.ravel()))
-                table = pa.array(np.full(len(v), t, np.int32))
-                yield pa.record_batch([table, pa.array(hashes.code(axes)), lists, batch.column(1), batch.column(0)], ["_t", "_code", "_axes", "_ids", "_v"])
-
-    base = entries.select("_v", "_ids").mapInArrow(run, "_t int, _code bigint, _axes array<int>, _ids array<bigint>, _v array<double>")
-    base = written(base, "index")
-    sizes = [np.zeros(hashes.axes**hashes.lead, np.int64) for _ in range(hashes.tables)]
-    for r in base.groupBy("_t", "_code").agg(F.count(F.lit(1)).alias("n")).collect():
-        sizes[r["_t"]][r["_code"]] = r["n"]
-    return base, sizes
-
-
 def fitted_loss(entries: DataFrame, asked: DataFrame, hashes: Hashes, k: int, recall: float) -> float:
     """The loss up to which buckets must be probed to find ``recall`` of the neighbours of
     at most SAMPLE_QUERIES queries, told by comparing these with all entries, in blocks."""
@@ -221,7 +199,7 @@ def fitted_loss(entries: DataFrame, asked: DataFrame, hashes: Hashes, k: int, re
             i = np.repeat(np.arange(len(q)), n)
             yield pa.record_batch([pa.array(i), pa.array(scores[i, top.ravel()]), batch.column(0).take(pa.array(top.ravel()))], ["_i", "_score", "_v"])
 
-    near = entries.select("_v").mapInArrow(run, "_i bigint, _score double, _v array<double>")
+    near = entries.select("_v").mapInArrow(run, f"_i bigint, _score double, _v {entries.schema['_v'].dataType.simpleString()}")
     best = Window.partitionBy("_i").orderBy(F.desc("_score"), "_v")
     near = near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).select("_i", "_v").collect()  # the sample's neighbours
     i, v = np.array([r["_i"] for r in near]), np.array([r["_v"] for r in near])
@@ -233,106 +211,83 @@ def fitted_loss(entries: DataFrame, asked: DataFrame, hashes: Hashes, k: int, re
     return float(np.quantile(apart, min(1.0, recall), method="higher")) + 1e-9 if len(apart) else 0.0
 
 
-def dealt(sizes: np.ndarray, task_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The group of each code, of consecutive codes with about ``task_rows`` entries, and
-    the parts that each group is divided into."""
-    group = np.maximum(np.cumsum(sizes) - 1, 0) // task_rows
-    # a code that is large by itself does not take its neighbours along
-    group = np.cumsum(np.r_[0, (np.diff(group) > 0) | (sizes[1:] > task_rows) | (sizes[:-1] > task_rows)])
-    rows = np.bincount(group, weights=sizes)
-    return group.astype(np.int32), np.maximum(1, np.ceil(rows / task_rows)).astype(np.int32)
-
-
-def _probe(base: DataFrame, sizes: list[np.ndarray], wanted: DataFrame, hashes: Hashes, loss: float, most: int, task_rows: int, task_queries: int) -> DataFrame:
-    """Rows (_q, _best): for each query the best ``most`` of each task's candidates, as
+def _probe(entries: DataFrame, asked: DataFrame, hashes: Hashes, loss: float, most: int, slices: int, portions: int) -> DataFrame:
+    """Rows (_q, _best): for each query and slice the best ``most`` of the candidates, as
     structs of the score with its sign turned (_less) and _id, best first."""
-    groups, parts = zip(*[dealt(s, task_rows) for s in sizes])
-    width = max(len(p) for p in parts)
-    spark = base.sparkSession
-    sent = spark.sparkContext.broadcast((groups, parts))  # a number for each code
-
-    def to_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, parts = sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                v = _matrix(piece.column(1), hashes.dim)
-                for t in range(hashes.tables):
-                    i, code = np.nonzero(hashes.lead_losses(hashes.losses(v, t)) <= loss)
-                    pair = np.unique(i * width + groups[t][code])
-                    i, g = pair // width, pair % width
-                    n = parts[t][g]
-                    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    i, g = np.repeat(i, n), np.repeat(g, n)
-                    at_i = pa.array(i)
-                    cols = [pa.array(np.full(len(i), t, np.int32)), pa.array(g.astype(np.int32)), pa.array(part.astype(np.int32)), piece.column(0).take(at_i), piece.column(1).take(at_i)]
-                    yield pa.record_batch(cols, ["_t", "_g", "_part", "_q", "_v"])
-
-    probing = written(wanted.select("_q", "_v").mapInArrow(to_groups, "_t int, _g int, _part int, _q bigint, _v array<double>"), "probing")
-    key = ["_t", "_g", "_part"]
-    # a row for each task; only those with more queries than one takes are divided again
-    crowded = probing.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / task_queries).cast("int").alias("_turns")).where("_turns > 1")
-    crowded = written(crowded, "crowded")
-
-    def to_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, parts = sent.value
-        for batch in batches:
-            t, code, spread = (np.asarray(batch.column(j)) for j in (0, 1, 5))
-            g = np.zeros(len(t), np.int32)
-            n = np.ones(len(t), np.int64)
-            for table in np.unique(t):
-                own = t == table
-                g[own] = groups[table][code[own]]
-                n[own] = parts[table][g[own]]
-            yield pa.record_batch([batch.column(0), pa.array(g), pa.array((spread % n).astype(np.int32)), *(batch.column(j) for j in (2, 3, 4))], ["_t", "_g", "_part", "_axes", "_ids", "_v"])
-
-    spread = F.pmod(F.xxhash64(F.col("_ids")[0]), F.lit(1 << 31))
-    placed = base.select("_t", "_code", "_axes", "_ids", "_v", spread.alias("_spread")).mapInArrow(to_parts, "_t int, _g int, _part int, _axes array<int>, _ids array<bigint>, _v array<double>")
-    turns = F.coalesce("_turns", F.lit(1))
-    placed = placed.join(crowded, key, "left").withColumn("_turn", F.explode(F.sequence(F.lit(0), turns - 1))).drop("_turns")
-    probing = probing.join(crowded, key, "left").withColumn("_turn", F.pmod(F.xxhash64("_q"), turns).cast("int")).drop("_turns")
-    task = [*key, "_turn"]
-    return placed.groupBy(*task).cogroup(probing.groupBy(*task)).applyInArrow(lambda b, q: _rerank(b, q, hashes, loss, most), "_q bigint, _best array<struct<_less:double,_id:bigint>>")
-
-
-def _rerank(base: pa.Table, queries: pa.Table, hashes: Hashes, loss: float, most: int) -> pa.Table:
-    """The best of a task's entries for each of its queries, bucket by bucket: only queries
-    whose loss at a bucket is low enough are compared with what is in it."""
+    spark = entries.sparkSession
+    part = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    base = entries.select(part(F.col("_ids")[0], slices).alias("_slice"), each(portions).alias("_portion"), "_ids", "_v")
+    queries = asked.select(each(slices).alias("_slice"), part("_q", portions).alias("_portion"), "_q", "_v")
+    # by number, as Spark would put small partitions together; more than blocks, so that few share one
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * slices * portions)
+    base, queries = (side.repartition(tasks, "_slice", "_portion").groupBy("_slice", "_portion") for side in (base, queries))
+    return base.cogroup(queries).applyInArrow(lambda b, q: _search(b, q, hashes, loss, most), "_q bigint, _best array<struct<_less:double,_id:bigint>>")
+
+
+def _search(base: pa.Table, queries: pa.Table, hashes: Hashes, loss: float, most: int) -> pa.Table:
+    """The best of a slice's entries for each of a portion's queries, table by table and bucket
+    by bucket: only queries whose loss at a bucket is low enough are compared with what is in it."""
     hit = pa.struct([("_less", pa.float64()), ("_id", pa.int64())])
     schema = pa.schema([("_q", pa.int64()), ("_best", pa.list_(hit))])
     if not base.num_rows or not queries.num_rows:
         return schema.empty_table()
     b, q = _matrix(base.column("_v"), hashes.dim), _matrix(queries.column("_v"), hashes.dim)
-    axes = np.asarray(base.column("_axes").combine_chunks().flatten()).reshape(len(b), hashes.depth)
-    code = hashes.code(axes)
-    order = np.argsort(code, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
-    losses = hashes.losses(q, base.column("_t")[0].as_py())
-    kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    new: list[tuple] = []
+    kept: list[tuple] = []
+    least = np.full(len(q), -np.inf)  # what a candidate must score
     held = 0
-    for begin, end in zip(starts, np.r_[starts[1:], len(order)]):
-        there = order[begin:end]
-        spent = sum(losses[j][:, axes[there[0], j]] for j in range(hashes.lead))
-        near = np.flatnonzero(spent <= loss)
-        # as many queries at once as their candidates may be held of
-        step = max(1, HELD // len(there))
-        for at in range(0, len(near), step):
-            some = near[at : at + step]
-            total = np.broadcast_to(spent[some][:, None], (len(some), len(there)))
-            for j in range(hashes.lead, hashes.depth):
-                total = total + losses[j][np.ix_(some, axes[there, j])]
-            i, j = np.nonzero(total <= loss)
-            rows = np.flatnonzero(np.bincount(i, minlength=len(some)))
-            cols = np.flatnonzero(np.bincount(j, minlength=len(there)))
-            if not len(rows):
+
+    def compare(some: np.ndarray, rows: np.ndarray, there: np.ndarray, bound: np.ndarray) -> None:
+        nonlocal held
+        scores = q[some] @ rows.T
+        at = np.flatnonzero(scores >= bound[:, None])
+        i, j = at // len(there), at % len(there)
+        kept.append((some[i], there[j], scores.ravel()[at]))
+        held += len(at)
+
+    def sift() -> None:
+        nonlocal held
+        *best, least[:] = _best(kept, most, len(b), len(q))
+        kept[:] = [tuple(best)]
+        held = 0
+
+    first = min(len(b), max(FIRST, most))
+    for at in range(0, len(q), max(1, SCORES // first)):
+        some = np.arange(at, min(at + max(1, SCORES // first), len(q)))
+        scores = q[some] @ b[:first].T
+        last = np.partition(scores, first - min(most, first), axis=1)[:, first - min(most, first)]
+        compare(some, b[:first], np.arange(first), _floor(last))
+    sift()
+    for t in range(hashes.tables):
+        axes = hashes.buckets(b, t)
+        order = np.lexsort(axes.T[::-1])
+        axes, rows = np.ascontiguousarray(axes[order].T), b[order]
+        losses = [np.empty((hashes.n * 2, len(q))) for _ in range(hashes.depth)]
+        for at in range(0, len(q), 4096):
+            for out, part in zip(losses, hashes.losses(q[at : at + 4096], t)):
+                out[:, at : at + 4096] = part.T
+        # entries that share their axes so far, with the queries that may still probe them and their losses so far
+        open_: list[tuple] = [(0, 0, len(b), np.arange(len(q)), np.zeros(len(q)))]
+        while open_:
+            j, begin, end, near, spent = open_.pop()
+            if j < hashes.depth:
+                starts = begin + np.flatnonzero(np.r_[True, np.diff(axes[j, begin:end]) != 0])
+                for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), end]):
+                    total = spent + losses[j][axes[j, start]][near]
+                    fine = np.flatnonzero(total <= loss)
+                    if len(fine):
+                        open_.append((j + 1, start, stop, near[fine], total[fine]))
                 continue
-            scores = q[some[rows]] @ b[there[cols]].T
-            new.append((some[i], there[j], scores[np.searchsorted(rows, i), np.searchsorted(cols, j)]))
-            held += len(i)
-            if held >= HELD:
-                kept, new, held = _best([kept, *new], most), [], 0
-    i, j, _ = _best([kept, *new], most)
+            for low in range(begin, end, 1024):
+                high = min(low + 1024, end)
+                step = max(1, SCORES // (high - low))
+                for at in range(0, len(near), step):
+                    some = near[at : at + step]
+                    compare(some, rows[low:high], order[low:high], least[some])
+                    if held >= HELD:
+                        sift()
+        sift()
+    i, j, _ = kept[0]
     exact = np.concatenate([(q[i[c : c + 65536]] * b[j[c : c + 65536]]).sum(axis=1) for c in range(0, len(i), 65536)] or [np.zeros(0)])
     ids = base.column("_ids").combine_chunks()
     offsets, flat = np.asarray(ids.offsets).astype(np.int64), np.asarray(ids.values)
@@ -349,13 +304,24 @@ def _rerank(base: pa.Table, queries: pa.Table, hashes: Hashes, loss: float, most
     return pa.table([pa.array(np.asarray(queries.column("_q"))[i[begin]]), lists.cast(pa.list_(hit))], schema=schema)
 
 
-def _best(pieces: list, most: int) -> list[np.ndarray]:
+def _floor(score: np.ndarray) -> np.ndarray:
+    """What may equal a score: a product's last digits depend on a row's place."""
+    with np.errstate(invalid="ignore"):
+        return np.where(np.isinf(score), score, score - (1e-9 * np.abs(score) + 1e-12))
+
+
+def _best(pieces: list, most: int, entries: int, queries: int) -> list[np.ndarray]:
     """Of (query, entry, score) arrays those with a score near or above the query's
-    ``most``-th: a product's last digits depend on a row's place, so ties are all kept."""
+    ``most``-th, ties all kept; then what a query's further candidates must score. An entry
+    that several tables found counts once."""
     i, j, s = (np.concatenate([p[c] for p in pieces]) for c in range(3))
+    once = np.unique(i * entries + j, return_index=True)[1]
+    i, j, s = i[once], j[once], s[once]
     order = np.lexsort((-s, i))
     i, j, s = i[order], j[order], s[order]
-    first = np.searchsorted(i, i)
-    last = np.minimum(first + most, np.searchsorted(i, i, side="right")) - 1
-    keep = s >= s[last] - (1e-9 * np.abs(s[last]) + 1e-12)
-    return [i[keep], j[keep], s[keep]]
+    first, after = np.searchsorted(i, i), np.searchsorted(i, i, side="right")
+    floor = np.where(after - first >= most, _floor(s[np.minimum(first + most, after) - 1]), -np.inf)
+    least = np.full(queries, -np.inf)
+    least[i] = floor
+    keep = s >= floor
+    return [i[keep], j[keep], s[keep], least]
