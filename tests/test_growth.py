@@ -121,3 +121,25 @@ def test_no_document_of_an_extract_holds_most_of_a_table(spark):
             spark.conf.set(k, v)
     bytes_each = [os.path.getsize(urlparse(f).path) for f in rows.inputFiles()]
     assert sum(bytes_each) > 1_000_000 and max(bytes_each) * 2 < sum(bytes_each)
+
+
+def test_shapes_of_relations_are_put_together_once_and_many_at_once(spark, tiny):
+    from plotline.operators import rings as R
+    from plotline.plans import polygon_queries
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    # Python was called for each relation, and in parcels_of_map twice
+    assert "InPandas" not in plan(polygon_queries.parcels_of_map(spark, tiny)) + plan(polygon_queries.assembled_polygons(spark, tiny))
+    nodes = spark.createDataFrame([(n, float(n % 7), float(n // 7)) for n in range(1, 30)], "node_id long, x double, y double")
+    ways = spark.createDataFrame([(1, [1, 2, 3]), (2, [1, 9, 3]), (3, [4, 5, 6, 4]), (4, [7, 8, 99, 7]), (5, [10, 11, 12, 10]), (6, [20, 21]), (7, [])], "way_id long, nodes array<long>")
+    roles = [
+        (1, 2, 1, "outer"), (1, 1, 2, None), (1, 3, 3, "inner"), (1, 4, 5, "label"),  # in the order of seq, not of their numbers
+        (2, 1, 3, "inner"),  # no outer ring
+        (3, 1, 4, "outer"), (3, 2, 5, "outer"),  # a way without one of its nodes is not there
+        (4, 1, 6, "outer"), (5, 1, 3, "outer"), (5, None, 5, ""),
+    ]
+    members = spark.createDataFrame(roles, "rel_id long, seq int, way_id long, role string")
+    points = R.way_points(ways, nodes)
+    assert sorted(r["way_id"] for r in points.collect()) == [1, 2, 3, 5, 6]
+    found = {r["rel_id"]: [[int(p["x"] + 7 * p["y"]) for p in ring] for ring in r["rings"]] for r in R.multipolygons(members, points).collect()}
+    assert found == {1: [[1, 9, 3, 2, 1], [4, 5, 6, 4]], 3: [[10, 11, 12, 10]], 5: [[4, 5, 6, 4], [10, 11, 12, 10]]}
