@@ -39,13 +39,14 @@ MOST_CODES = 1 << 16
 #: Components of the vectors, and of the queries, of one task at most, about.
 TASK_VALUES = 1 << 23
 QUERY_VALUES = 1 << 20
-#: Tasks for each core, unless slices would be smaller than so many vectors.
-TASKS_A_CORE = 3
-SLICE_ROWS = 256
+#: Tasks at least, unless slices would be smaller than so many vectors. Not by the number of
+#: cores, so that what is found does not hang on it.
+LEAST_TASKS = 48
+SLICE_ROWS = 2048
 #: Candidates held at once in a task, and scores computed at once.
 HELD = 1_000_000
 SCORES = 1 << 18
-#: A task's first vectors, with which all its queries are compared for a first bound.
+#: A task's vectors of the smallest ids, with which all its queries are compared for a first bound.
 FIRST = 512
 SEED = 20
 
@@ -151,11 +152,11 @@ def depth_for(entries: float, dim: int) -> int:
     return max(1, math.floor(math.log(max(1.0, min(entries / BUCKET_ROWS, MOST_CODES))) / math.log(axes) + 1e-9))
 
 
-def blocks_for(entries: int, queries: int, task_rows: int, task_queries: int, cores: int) -> tuple[int, int]:
+def blocks_for(entries: int, queries: int, task_rows: int, task_queries: int) -> tuple[int, int]:
     """Slices of the entries and portions of the queries: by the sizes of a task, and more
-    slices where that would leave cores without work."""
+    slices where that would make few tasks."""
     portions = max(1, math.ceil(queries / task_queries))
-    spread = min(math.ceil(TASKS_A_CORE * cores / portions), math.ceil(entries / SLICE_ROWS))
+    spread = min(math.ceil(LEAST_TASKS / portions), math.ceil(entries / SLICE_ROWS))
     return max(1, math.ceil(entries / task_rows), spread), portions
 
 
@@ -167,7 +168,7 @@ def _nearest(rows: DataFrame, dim: int, every: int, k: int, tables: int, recall:
     asked = written(queries.groupBy("_v").agg(F.min("_id").alias("_q")), "asked")
     n = entries.count()
     task_rows, task_queries = task_rows or max(1, TASK_VALUES // dim), task_queries or max(1, QUERY_VALUES // dim)
-    slices, portions = blocks_for(n, asked.count(), task_rows, task_queries, rows.sparkSession.sparkContext.defaultParallelism)
+    slices, portions = blocks_for(n, asked.count(), task_rows, task_queries)
     hashes = Hashes(dim, tables, depth_for(n / slices, dim))
     found = _probe(entries, asked, hashes, fitted_loss(entries, asked, hashes, k, recall), k + 1, slices, portions)
     # a row for each slice; each query's rows are few
@@ -251,12 +252,15 @@ def _search(base: pa.Table, queries: pa.Table, hashes: Hashes, loss: float, most
         kept[:] = [tuple(best)]
         held = 0
 
+    ids = base.column("_ids").combine_chunks()
+    offsets, flat = np.asarray(ids.offsets).astype(np.int64), np.asarray(ids.values)
     first = min(len(b), max(FIRST, most))
+    chosen = np.argsort(flat[offsets[:-1]])[:first]  # rows come in any order
     for at in range(0, len(q), max(1, SCORES // first)):
         some = np.arange(at, min(at + max(1, SCORES // first), len(q)))
-        scores = q[some] @ b[:first].T
+        scores = q[some] @ b[chosen].T
         last = np.partition(scores, first - min(most, first), axis=1)[:, first - min(most, first)]
-        compare(some, b[:first], np.arange(first), _floor(last))
+        compare(some, b[chosen], chosen, _floor(last))
     sift()
     for t in range(hashes.tables):
         axes = hashes.buckets(b, t)
@@ -289,8 +293,6 @@ def _search(base: pa.Table, queries: pa.Table, hashes: Hashes, loss: float, most
         sift()
     i, j, _ = kept[0]
     exact = np.concatenate([(q[i[c : c + 65536]] * b[j[c : c + 65536]]).sum(axis=1) for c in range(0, len(i), 65536)] or [np.zeros(0)])
-    ids = base.column("_ids").combine_chunks()
-    offsets, flat = np.asarray(ids.offsets).astype(np.int64), np.asarray(ids.values)
     n = offsets[j + 1] - offsets[j]
     where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[j], n)
     i, exact, found = np.repeat(i, n), np.repeat(exact, n), flat[where]

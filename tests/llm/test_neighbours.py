@@ -101,3 +101,15 @@ def test_hot_bucket_is_held_in_parts(monkeypatch):
         s = (b * q[r["_q"]]).sum(axis=1)
         assert [h["_id"] for h in r["_best"]] == np.lexsort((np.arange(3000), -s))[:21].tolist()
     assert out.num_rows == 51
+
+
+def test_what_is_found_does_not_hang_on_the_order_of_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "FIRST", 50)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1000, 16))
+    lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, 16, dtype=np.int32)), pa.array(v.ravel()))
+    base, queries = pa.table({"_ids": pa.array([[i] for i in range(1000)]), "_v": lists(v)}), pa.table({"_q": pa.array(np.arange(40)), "_v": lists(v[:40])})
+    once = N._search(base, queries, N.Hashes(16, 2, 1), 0.05, 21)
+    assert once.equals(N._search(base.take(pa.array(rng.permutation(1000))), queries, N.Hashes(16, 2, 1), 0.05, 21))
